@@ -6,7 +6,7 @@ import importlib
 
 from cladeloom.queries.base import Query
 
-MODULES = ["patterns", "models", "trees", "likelihood", "names", "files", "sampling"]
+MODULES = ["patterns", "models", "trees"]
 
 
 def registry() -> dict[str, Query]:
