@@ -286,3 +286,46 @@ def _score(patterns, tree, comps, chains, k: int, steps: int) -> dict:
     found = {(r.chain, r.history): r.value for r in sums.collect()}
     shared.unpersist()
     return found
+
+
+def prior_of_trees(nodes: DataFrame, rate: float) -> DataFrame:
+    """(tree_id, log_prior): sum of ln(rate) - rate * length over the edges."""
+    edges = nodes.filter("parent_id is not null")
+    return edges.groupBy("tree_id").agg(
+        F.sum(F.lit(math.log(rate)) - rate * F.col("length")).alias("log_prior")
+    )
+
+
+def branch_updates(
+    patterns: DataFrame, plan: DataFrame, taxa: DataFrame, new_lengths: dict[int, float],
+    model: SubstitutionModel | None = None,
+) -> DataFrame:
+    """(comp_id, pattern_id, freq, loglik) after changing one edge of a tree at a time.
+
+    Only the merges above the changed edge are recomputed.
+    """
+    trees = load_plans(plan_with_taxa(plan, taxa), model or JukesCantor())
+    (tree,) = trees.values()
+    shared = patterns.sparkSession.sparkContext.broadcast(tree)
+    rows_per_block = max(64, BLOCK_BYTES // (len(tree.kind) * BYTES_PER_VALUE))
+
+    def run(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), rows_per_block):
+                part = pdf.iloc[s : s + rows_per_block]
+                codes = codes_of_strings(part["pattern"].tolist())
+                work = BranchUpdater(shared.value, codes, part["freq"].to_numpy(float))
+                for comp, length in new_lengths.items():
+                    before = work.change(comp, length)
+                    site = kernels.root_loglik(
+                        work.value[work.root], work.scale[work.root], shared.value.model.pi
+                    )
+                    work.restore(before)
+                    yield pd.DataFrame(
+                        {"comp_id": comp, "pattern_id": part["pattern_id"],
+                         "freq": part["freq"], "loglik": site}
+                    )
+
+    return patterns.select("pattern_id", "pattern", "freq").mapInPandas(
+        run, "comp_id bigint, pattern_id bigint, freq bigint, loglik double"
+    )

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.operators.ranking import rank_in_group
-from cladeloom.session import materialize
+from cladeloom.operators.ranking import groups_are_small, rank_in_group
+from cladeloom.session import materialize, metric
 
 KEY = ["tree_id", "node_id"]
 PATH_END = (1 << 63) - 1
@@ -23,6 +23,7 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     and doubles the distance covered, so a tree of height h needs log2(h)
     rounds. ``with_path`` also collects the child positions on the way down.
     """
+    nodes = materialize(nodes, "nodes")
     rooted = F.col("parent_id").isNull()
     step = nodes.select(
         *KEY,
@@ -32,8 +33,9 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
         F.when(rooted | F.lit(not with_path), F.array().cast("array<bigint>"))
         .otherwise(F.array("child_ord")).alias("_path"),
     )
-    step = materialize(step, "walk")
-    while step.filter("_anc is not null").limit(1).count():
+    active = F.count("_anc")
+    step = materialize(step, "walk", active=active)
+    while metric(step, "active"):
         walking, done = step.filter("_anc is not null"), step.filter("_anc is null")
         reach = step.select(
             "tree_id", F.col("node_id").alias("_anc"),
@@ -47,7 +49,7 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
             (F.col("_dist2") + F.col("_dist")).alias("_dist"),
             F.concat("_path2", "_path").alias("_path"),
         )
-        step = materialize(done.unionByName(moved), "walk")
+        step = materialize(done.unionByName(moved), "walk", active=active)
     found = step.select(
         *KEY, F.col("_depth").alias("depth"), F.col("_dist").alias("dist"),
         *([F.col("_path").alias("path")] if with_path else []),
@@ -61,11 +63,14 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
     Meant for shallow hierarchies: the sort key is the path of child positions.
     Parsed trees carry their numbers already.
     """
+    nodes = materialize(nodes, "nodes")
+    small = groups_are_small(nodes, "tree_id")
     walked = root_distances(nodes, with_path=True)
-    ranked = rank_in_group(walked, "tree_id", [F.col("path")], "pre")
+    ranked = rank_in_group(walked, "tree_id", [F.col("path")], "pre", small)
     after = F.concat(F.col("path"), F.array(F.lit(PATH_END)))
     return rank_in_group(
-        ranked.withColumn("_after", after).drop("path"), "tree_id", [F.col("_after")], "post"
+        ranked.withColumn("_after", after).drop("path"), "tree_id", [F.col("_after")], "post",
+        small,
     ).drop("_after")
 
 
@@ -92,6 +97,9 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
     Leaves, nodes, total length, root-to-tip, height and leaf depths, whether
     binary, largest child count, rooted and unrooted cherries.
     """
+    walked = materialize(
+        walked.select(*KEY, "parent_id", "length", "is_leaf", "depth", "dist"), "walked"
+    )
     leaf = F.col("is_leaf")
     per_node = walked.groupBy("tree_id").agg(
         F.count("*").alias("n_nodes"),
@@ -197,10 +205,11 @@ def lengths_from_heights(with_heights: DataFrame) -> DataFrame:
 
 def branch_ids(numbered: DataFrame) -> DataFrame:
     """Internal non-root nodes get -n, -(n+1), ... in postorder, n = leaves of the tree."""
+    numbered = materialize(numbered, "numbered")
     inner = numbered.filter("not is_leaf and parent_id is not null")
     leaves = numbered.filter("is_leaf").groupBy("tree_id").agg(F.count("*").alias("_n"))
     return (
-        rank_in_group(inner, "tree_id", [F.col("post")], "_k")
+        rank_in_group(inner, "tree_id", [F.col("post")], "_k", groups_are_small(inner, "tree_id"))
         .join(leaves, "tree_id")
         .withColumn("branch_id", -(F.col("_n") + F.col("_k")))
         .drop("_n", "_k")
@@ -246,7 +255,11 @@ def contract(nodes: DataFrame, victims: DataFrame) -> DataFrame:
                     .otherwise(F.col("parent_id")))
         .withColumn("_family", F.struct("tree_id", "parent_id"))
     )
-    ranked = rank_in_group(moved.drop("child_ord"), "_family", [F.col("_at"), F.col("_sub")], "child_ord")
+    moved = materialize(moved.drop("child_ord"), "moved")
+    ranked = rank_in_group(
+        moved, "_family", [F.col("_at"), F.col("_sub")], "child_ord",
+        groups_are_small(moved, "_family"),
+    )
     return ranked.select(*nodes.columns)
 
 
@@ -346,17 +359,19 @@ def resolve(numbered: DataFrame) -> DataFrame:
     yields k - 2 chained nodes. Needs ``pre``, ``post``, ``depth``; returns
     fresh ids (postorder numbers), numbers and depths.
     """
+    numbered = materialize(numbered, "numbered")
+    small = groups_are_small(numbered, "tree_id")
     kids = child_counts(numbered).select(*KEY, "n_children")
     nodes = numbered.join(kids, KEY, "left").withColumn(
         "n_children", F.coalesce("n_children", F.lit(0))
     )
-    nodes = _skip_unary(nodes)
+    nodes = materialize(_skip_unary(nodes), "nodes")
     family = nodes.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(
         F.count("*").alias("_k"), F.min(_open_at()).alias("_first_open")
     )
     placed = rank_in_group(
         nodes.withColumn("_family", F.struct("tree_id", "parent_id")), "_family",
-        [F.col("pre")], "_m",
+        [F.col("pre")], "_m", small,
     ).drop("_family")
     placed = placed.join(family, ["tree_id", "parent_id"], "left")
 
@@ -388,7 +403,7 @@ def resolve(numbered: DataFrame) -> DataFrame:
         F.col("_first_open").alias("o"), (-m).alias("o2"),
         _close_at().alias("c"), F.lit(1).cast("bigint").alias("c2"),
     )
-    return _renumber(rows.unionByName(wrappers))
+    return _renumber(rows.unionByName(wrappers), small)
 
 
 def _open_at() -> Column:
@@ -405,9 +420,9 @@ def _skip_unary(nodes: DataFrame) -> DataFrame:
     unary = nodes.filter("n_children = 1").select(
         "tree_id", F.col("node_id").alias("_u"), F.col("parent_id").alias("_next")
     )
-    if unary.isEmpty():
-        return nodes
     jump = materialize(unary, "unary")
+    if not metric(jump):
+        return nodes
     while True:
         hop = jump.select("tree_id", F.col("_u").alias("_next"), F.col("_next").alias("_far"),
                           F.lit(True).alias("_hit"))
@@ -417,10 +432,10 @@ def _skip_unary(nodes: DataFrame) -> DataFrame:
                 "tree_id", "_u",
                 F.when(F.col("_hit"), F.col("_far")).otherwise(F.col("_next")).alias("_next"),
                 F.coalesce("_hit", F.lit(False)).alias("_hit"),
-            ), "unary",
+            ), "unary", hits=F.count_if("_hit"),
         )
         jump = moved.drop("_hit")
-        if moved.filter("_hit").isEmpty():
+        if not metric(moved, "hits"):
             break
     target = jump.select("tree_id", F.col("_u").alias("parent_id"), F.col("_next").alias("_to"),
                          F.lit(True).alias("_skip"))
@@ -429,7 +444,7 @@ def _skip_unary(nodes: DataFrame) -> DataFrame:
     ).drop("_to", "_skip")
 
 
-def _renumber(rows: DataFrame) -> DataFrame:
+def _renumber(rows: DataFrame, small: bool) -> DataFrame:
     """Numbers from the order of brackets: (o, o2) opening and (c, c2) closing.
 
     A node's two brackets stand at 2*pre - depth and 2*post + depth + 1, so
@@ -445,16 +460,16 @@ def _renumber(rows: DataFrame) -> DataFrame:
         F.explode(F.array(bracket(F.col("o"), F.col("o2"), True),
                           bracket(F.col("c"), F.col("c2"), False))).alias("b"),
     ).select("tree_id", "ref", "b.*")
-    placed = rank_in_group(marks, "tree_id", [F.col("at"), F.col("sub")], "_p")
+    placed = rank_in_group(marks, "tree_id", [F.col("at"), F.col("sub")], "_p", small)
     spans = placed.groupBy("tree_id", "ref").agg(
         F.min("_p").alias("_open"), F.max("_p").alias("_close")
     )
-    numbered = rank_in_group(spans, "tree_id", [F.col("_open")], "pre")
+    numbered = rank_in_group(spans, "tree_id", [F.col("_open")], "pre", small)
     numbered = numbered.withColumn("depth", (2 * F.col("pre") - F.col("_open")).cast("int"))
-    numbered = numbered.select(
+    numbered = materialize(numbered.select(
         "tree_id", "ref", "depth", "pre",
         ((F.col("_close") - F.col("depth") - 1) / 2).cast("bigint").alias("post"),
-    )
+    ), "numbers")
     ups = numbered.select("tree_id", F.col("ref").alias("up"), F.col("post").alias("parent_id"))
     return (
         rows.join(numbered, ["tree_id", "ref"])

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.operators.ranking import rank_in_group
+from cladeloom.operators.ranking import groups_are_small, rank_in_group
 from cladeloom.operators.trees import root_distances
 from cladeloom.session import materialize
 
@@ -153,8 +153,10 @@ def pruning_plan(nodes: DataFrame) -> DataFrame:
     Component numbers follow from postorder ranks alone, so the plan is a few
     joins for trees of any size. ``layer`` is left NULL.
     """
-    inner = rank_in_group(nodes.filter("not is_leaf"), "tree_id", [F.col("post")], "_r")
-    tips = rank_in_group(nodes.filter("is_leaf"), "tree_id", [F.col("post")], "_r")
+    nodes = materialize(nodes, "nodes")
+    small = groups_are_small(nodes, "tree_id")
+    inner = rank_in_group(nodes.filter("not is_leaf"), "tree_id", [F.col("post")], "_r", small)
+    tips = rank_in_group(nodes.filter("is_leaf"), "tree_id", [F.col("post")], "_r", small)
     leaves = nodes.groupBy("tree_id").agg(
         F.sum(F.col("is_leaf").cast("bigint")).alias("_n")
     ).filter("_n >= 2")

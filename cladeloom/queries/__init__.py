@@ -6,7 +6,7 @@ import importlib
 
 from cladeloom.queries.base import Query
 
-MODULES = ["patterns", "models", "trees"]
+MODULES = ["patterns", "models", "trees", "likelihood"]
 
 
 def registry() -> dict[str, Query]:

@@ -354,11 +354,11 @@ FROM a LEFT JOIN wcount USING (tree_id) JOIN up USING (tree_id)"""
 
 _PRUNING = f"""
 WITH {RESOLVED},
-at AS (
+places AS (
   SELECT tree_id, CASE WHEN is_leaf THEN 2 * rdepth - 1 ELSE 2 * rdepth END AS d FROM kept WHERE rdepth > 0
   UNION ALL SELECT tree_id, 2 * wdepth FROM wraps)
 SELECT tree_id, CAST(max(d) AS BIGINT) AS pruning_height, {sql_round("avg(d)")} AS pruning_avg_height
-FROM at GROUP BY tree_id"""
+FROM places GROUP BY tree_id"""
 
 QUERIES = {
     "tree_nodes_fk": Query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,13 +46,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", **metrics: Column) -> DataFrame:
+    """``df`` written to the shared folder and read back, unless it already was.
 
     Cuts the lineage like a checkpoint, but computes the input once and keeps
-    the columns prunable and the sizes known to the optimizer.
+    the columns prunable and the sizes known to the optimizer. The row count
+    and any further ``metrics`` are observed during the write.
     """
+    if getattr(df, "_cladeloom_metrics", None) is not None:
+        return df
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]]
+    df.observe(seen, *counts).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._cladeloom_metrics = seen.get
+    return stored
+
+
+def metric(stored: DataFrame, name: str = "rows") -> int:
+    """A number observed while ``materialize`` wrote the table."""
+    return stored._cladeloom_metrics[name]
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """Row count if ``df`` is a materialized table, else None."""
+    found = getattr(df, "_cladeloom_metrics", None)
+    return None if found is None else found["rows"]
