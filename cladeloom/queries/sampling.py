@@ -12,7 +12,7 @@ from cladeloom.operators.simulate import (
     DISTRIBUTIONS, scale_to_height, simulate_sequences, simulate_trees,
 )
 from cladeloom.plans.decomposition import decompose
-from cladeloom.queries.base import Query
+from cladeloom.queries.base import EVENT_TAXA, Query
 from cladeloom.queries.likelihood import T5, T7, event_patterns, line_patterns, one_tree
 from cladeloom.queries.trees import SUPPLIER_TREE
 from cladeloom.sources import tables as T
@@ -71,16 +71,18 @@ def simulated_trees(distribution):
 
 
 def simulated_patterns(spark, sf):
-    """Patterns of sequences evolved on the supplier tree, suppliers as taxa."""
-    states = simulate_sequences(_supplier_nodes(spark, sf), _months(spark, sf), seed=11)
+    """As many sites as the event alignment has, evolved on its tree and compressed."""
+    nodes = one_tree(spark, T5)
+    sites = T.event_sites(spark, sf).select(
+        F.lit(0).cast("bigint").alias("tree_id"),
+        F.xxhash64("user_id", "day").alias("site"),
+    )
+    states = simulate_sequences(nodes, sites, seed=11)
     symbol = F.substring(F.lit(SYMBOLS), F.col("state") + 1, 1)
     columns = states.groupBy("site").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("label", symbol.alias("s")))),
-                        lambda c: c["s"]), "",
-        ).alias("pattern")
+        *[F.max(F.when(F.col("label") == t, symbol)).alias(t) for t in EVENT_TAXA]
     )
-    return compress(columns)
+    return compress(columns.select(F.concat(*EVENT_TAXA).alias("pattern")))
 
 
 def mcmc_trace(layout, proposal="truncated"):
@@ -127,7 +129,7 @@ SELECT label, site, CAST(state AS BIGINT) AS state FROM l3"""
 QUERIES = {
     "simulate_states_fk": Query(simulate_states, _STATES_SQL),
     "simulate_forest": Query(simulate_hashed),
-    "simulate_patterns_fk": Query(simulated_patterns),
+    "simulate_patterns_events": Query(simulated_patterns),
     **{f"simulate_trees_{d}": Query(simulated_trees(d)) for d in DISTRIBUTIONS},
     "mcmc_trace_balanced": Query(mcmc_trace("balanced")),
     "mcmc_trace_pruning": Query(mcmc_trace("pruning")),
