@@ -20,6 +20,7 @@ from cladeloom.functions.codes import codes_of_strings, state_matrix
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
 from cladeloom.operators.pruning import pattern_cells, pruning_loglik
 from cladeloom.plans import kernels
+from cladeloom.session import materialize, metric
 
 MAX_BROADCAST_COMPONENTS = 400_000  # about 20 MB of plan arrays per executor
 GRID_CHUNK_COMPONENTS = 200_000
@@ -173,9 +174,8 @@ def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) ->
 def joined_loglik(patterns, nodes, taxa, model=None) -> DataFrame:
     """The ``long`` way: any tree shape, nothing but joins and grouped sums."""
     model = model or JukesCantor()
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    named = nodes.withColumn("taxon", F.col("label"))
-    scored = pruning_loglik(pattern_cells(patterns, taxa), named, deepest, model)
+    named = materialize(nodes.withColumn("taxon", F.col("label")), "nodes", deepest=F.max("depth"))
+    scored = pruning_loglik(pattern_cells(patterns, taxa), named, metric(named, "deepest"), model)
     return scored.join(patterns.select("pattern_id", "freq"), "pattern_id").select(
         "tree_id", "pattern_id", "freq", "loglik"
     )
@@ -197,8 +197,8 @@ def pattern_loglik(
     ``plan`` from ``decompose``. Taxa without a leaf in the tree are ignored.
     """
     model = model or JukesCantor()
-    placed = plan_with_taxa(plan, taxa)
-    n_components = plan.count() if strategy is None or strategy == "grid" else 0
+    placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
+    n_components = metric(placed)
     if strategy is None:
         strategy = "blocks" if n_components <= MAX_BROADCAST_COMPONENTS else "grid"
     if strategy == "blocks":

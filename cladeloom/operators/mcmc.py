@@ -23,11 +23,13 @@ from cladeloom.functions.codes import codes_of_strings
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
 from cladeloom.operators.likelihood import (
     MAX_BROADCAST_COMPONENTS,
+    PLAN_COLUMNS,
     TreePlan,
     load_plans,
     plan_with_taxa,
 )
 from cladeloom.plans import kernels
+from cladeloom.session import materialize, metric
 
 MAX_LOCAL_BYTES = 512 << 20
 BLOCK_BYTES = 64 << 20
@@ -166,15 +168,16 @@ def run_mcmc(
     components one update touches, not the trace.
     """
     options, model = options or MCMCOptions(), model or JukesCantor()
-    placed = plan_with_taxa(plan, taxa)
-    n_components = plan.count()
+    placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
+    n_components = metric(placed)
     if n_components > MAX_BROADCAST_COMPONENTS:
         raise ValueError("the tree is too large to update inside one task")
     trees = load_plans(placed, model)
     if len(trees) != 1:
         raise ValueError("run_mcmc takes the plan of exactly one tree")
     (tree,) = trees.values()
-    n_patterns = patterns.count()
+    patterns = materialize(patterns.select("pattern_id", "pattern", "freq"), "patterns")
+    n_patterns = metric(patterns)
     if n_components * n_patterns * BYTES_PER_VALUE <= max_local_bytes:
         return _whole_chains(patterns, tree, options)
     return _shared_passes(patterns, tree, options, lookahead)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
-from cladeloom.session import materialize
+from cladeloom.session import materialize, metric
 
 DISTRIBUTIONS = ("uniform", "yule", "caterpillar", "beta_critical")
 
@@ -220,7 +220,11 @@ def simulate_sequences(
     transition row of its parent. All sites of one tree level are one join.
     """
     model, draw = model or JukesCantor(), draw or hashed_uniform(seed)
-    deepest = nodes.agg(F.max("depth")).first()[0]
+    nodes = materialize(
+        nodes.select("tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "depth"),
+        "nodes", deepest=F.max("depth"),
+    )
+    deepest = metric(nodes, "deepest")
     edges = nodes.select("tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "depth")
 
     def uniform():

@@ -11,19 +11,21 @@ is_clade, node_id (lower end of an edge), label, length, layer, depth.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
 from cladeloom.operators.trees import root_distances
-from cladeloom.session import materialize
+from cladeloom.session import materialize, metric
 
 PLAN_SCHEMA = (
     "tree_id bigint, comp_id bigint, left bigint, right bigint, parent bigint, "
     "merge_type int, is_clade boolean, node_id bigint, label string, length double, "
     "layer int, depth int"
 )
+_PLAN_COLUMNS = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
 MAX_GROUPED_NODES = 200_000  # a tree above this is planned by joins, not in one task
 
 
@@ -34,22 +36,62 @@ def decompose(nodes: DataFrame, layout: str = "balanced",
         return pruning_plan(nodes)
     if layout != "balanced":
         raise ValueError(f"unknown layout {layout!r}")
-    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("_size")).filter("_size >= 3")
-    large = sizes.filter(F.col("_size") > max_grouped_nodes)
     columns = ["tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "post"]
-    small = nodes.select(*columns).join(
-        sizes.filter(F.col("_size") <= max_grouped_nodes), "tree_id", "left_semi"
-    )
-    plans = small.groupBy("tree_id").applyInPandas(_plan_one_tree, PLAN_SCHEMA)
-    if large.isEmpty():
-        return plans
+    nodes = materialize(nodes, "nodes")
+    if metric(nodes) <= max_grouped_nodes:
+        return _plan_in_tasks(nodes.select(*columns))
+    sizes = materialize(nodes.groupBy("tree_id").agg(F.count("*").alias("_size")), "sizes",
+                        largest=F.max("_size"))
+    if metric(sizes, "largest") <= max_grouped_nodes:
+        return _plan_in_tasks(nodes.select(*columns))
     from cladeloom.plans.distributed import plan_by_joins
 
-    return plans.unionByName(
+    large = sizes.filter(F.col("_size") > max_grouped_nodes)
+    return _plan_in_tasks(nodes.select(*columns).join(large, "tree_id", "left_anti")).unionByName(
         plan_by_joins(nodes.select(*columns).join(large, "tree_id", "left_semi"))
     )
 
 
+def _plan_in_tasks(nodes: DataFrame) -> DataFrame:
+    """Whole trees per task, many trees per batch; each tree is small by then."""
+    placed = nodes.repartition("tree_id").sortWithinPartitions("tree_id", "post")
+    return placed.mapInPandas(_plan_batches, PLAN_SCHEMA)
+
+
+def _plan_batches(batches):
+    """Cut the sorted rows at tree boundaries; a tree may continue in the next batch."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        ids = pdf["tree_id"].to_numpy()
+        last = int(np.searchsorted(ids, ids[-1]))
+        held = pdf.iloc[last:]
+        if last:
+            yield from _plan_frame(pdf.iloc[:last])
+    if held is not None and len(held):
+        yield from _plan_frame(held)
+
+
+def _plan_frame(pdf: pd.DataFrame):
+    ids = pdf["tree_id"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist() + [len(ids)]
+    node = pdf["node_id"].tolist()
+    parent = pdf["parent_id"].astype(object).where(pdf["parent_id"].notna(), None).tolist()
+    leaf, label, length = (pdf[c].tolist() for c in ("is_leaf", "label", "length"))
+    rows = {c: [] for c in _PLAN_COLUMNS}
+    for a, b in zip(starts, starts[1:]):
+        if b - a >= 3:
+            _plan_one_tree(int(ids[a]), node[a:b], parent[a:b], leaf[a:b], label[a:b],
+                           length[a:b], rows)
+    if rows["tree_id"]:
+        out = pd.DataFrame(rows)
+        for c in ("left", "right", "parent", "node_id"):
+            out[c] = pd.array(rows[c], "Int64")
+        yield out
+
+
 class _Frontier:
     """Unmerged components of one tree and the vertices they meet at."""
 
@@ -96,30 +138,38 @@ class _Frontier:
                     yield j, i, j, 3
 
 
-def _plan_one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge each component, in order, with its lowest-numbered earlier neighbour."""
-    pdf = pdf.sort_values("post")
-    leaf = pdf["is_leaf"].to_numpy()
-    edges = pd.concat([pdf[leaf], pdf[~leaf & pdf["parent_id"].notna().to_numpy()]])
+def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
+    """Merge each component, in order, with its lowest-numbered earlier neighbour.
+
+    Arguments are one tree's nodes in postorder; plan rows are appended to ``rows``.
+    """
+    tips = [k for k, tip in enumerate(leaf) if tip]
+    edges = tips + [k for k, tip in enumerate(leaf) if not tip and parent[k] is not None]
     state = _Frontier()
-    for node, parent, is_leaf in zip(edges["node_id"], edges["parent_id"], edges["is_leaf"]):
-        state.add(int(parent), None if is_leaf else int(node))
+    for k in edges:
+        state.add(parent[k], None if leaf[k] else node[k])
     n_edges, total = len(edges), 2 * len(edges) - 1
-    left, right, kind = [-1] * n_edges, [-1] * n_edges, [0] * n_edges
-    layer, parent_of = [0] * n_edges, [-1] * total
+    left, right, kind = [None] * n_edges, [None] * n_edges, [0] * n_edges
+    layer, parent_of = [0] * n_edges, [None] * total
     for i in range(total):
-        if parent_of[i] >= 0 or i >= len(kind):
+        if parent_of[i] is not None or i >= len(kind):
             continue
-        partners = [o for o in state.options(i) if o[0] < i]
-        if not partners:
+        best = None
+        for option in state.options(i):
+            if option[0] < i and (best is None or option < best):
+                best = option
+        if best is None:
             continue
-        _, a, b, how = min(partners)
-        bud = {1: None, 2: state.bud[b], 3: state.bud[a], 4: None, 5: state.bud[b]}[how]
+        _, a, b, how = best
+        bud = None
+        if how == 3:
+            bud = state.bud[a]
+        elif how in (2, 5):
+            bud = state.bud[b]
         top = state.top[a]
         state.drop(a)
         state.drop(b)
-        made = state.add(top, bud)
-        parent_of[a] = parent_of[b] = made
+        parent_of[a] = parent_of[b] = state.add(top, bud)
         left.append(a)
         right.append(b)
         kind.append(how)
@@ -127,24 +177,19 @@ def _plan_one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     depth = [0] * total
     for i in range(total - 2, -1, -1):
         depth[i] = depth[parent_of[i]] + 1
-    merges = total - n_edges
-    blank = [None] * merges
-    return pd.DataFrame(
-        {
-            "tree_id": pdf["tree_id"].iloc[0],
-            "comp_id": range(total),
-            "left": pd.array([x if x >= 0 else None for x in left], "Int64"),
-            "right": pd.array([x if x >= 0 else None for x in right], "Int64"),
-            "parent": pd.array([x if x >= 0 else None for x in parent_of], "Int64"),
-            "merge_type": kind,
-            "is_clade": [b is None for b in state.bud],
-            "node_id": pd.array(list(edges["node_id"]) + blank, "Int64"),
-            "label": list(edges["label"]) + blank,
-            "length": list(edges["length"]) + blank,
-            "layer": layer,
-            "depth": depth,
-        }
-    )
+    blank = [None] * (total - n_edges)
+    rows["tree_id"] += [tree_id] * total
+    rows["comp_id"] += range(total)
+    rows["left"] += left
+    rows["right"] += right
+    rows["parent"] += parent_of
+    rows["merge_type"] += kind
+    rows["is_clade"] += [b is None for b in state.bud]
+    rows["node_id"] += [node[k] for k in edges] + blank
+    rows["label"] += [label[k] for k in edges] + blank
+    rows["length"] += [length[k] for k in edges] + blank
+    rows["layer"] += layer
+    rows["depth"] += depth
 
 
 def pruning_plan(nodes: DataFrame) -> DataFrame:

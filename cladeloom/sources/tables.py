@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import symbol_of_code
+from cladeloom.session import materialize
 
 MAX_PIVOT_TAXA = 512  # above this the aggregate row would outgrow code generation
 
@@ -143,7 +144,10 @@ def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     )
-    leaf = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    leaf = materialize(
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .select("o_custkey", "o_orderkey", "l_linenumber"), "leaves",
+    )
     ok, ln = F.col("o_orderkey"), F.col("l_linenumber")
     tree = F.col("o_custkey").alias("tree_id")
     leaves = leaf.select(
