@@ -127,6 +127,12 @@ def _schema(total: bool) -> str:
     return "tree_id bigint, pattern_id bigint, freq bigint, loglik double"
 
 
+def _nothing(total: bool) -> pd.DataFrame:
+    kinds = {"bigint": np.int64, "double": float}
+    columns = dict(c.split() for c in _schema(total).split(", "))
+    return pd.DataFrame({name: pd.Series([], dtype=kinds[k]) for name, k in columns.items()})
+
+
 def load_plans(plan: DataFrame, model: SubstitutionModel) -> dict[int, TreePlan]:
     """Plans as arrays; only call below MAX_BROADCAST_COMPONENTS."""
     rows = plan.select(*PLAN_COLUMNS).toPandas()
@@ -162,9 +168,7 @@ def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) ->
     def run(pats: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         trees = {int(t): TreePlan(g, model) for t, g in rows.groupby("tree_id")}
         out = list(_batches([pats], trees, total))
-        return pd.concat(out) if out else pd.DataFrame(
-            {f.split()[0]: [] for f in _schema(total).split(", ")}
-        )
+        return pd.concat(out) if out else _nothing(total)
 
     return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
         run, _schema(total)

@@ -87,9 +87,19 @@ def _padded(names: pd.Series, fill: int) -> tuple[np.ndarray, np.ndarray]:
     return grid, sizes
 
 
+def _best_frame(queries: list, picks: list, gaps: list) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "query": pd.Series(queries, dtype=object),
+            "idx": pd.Series(picks, dtype=np.int64),
+            "distance": pd.Series(gaps, dtype=np.int64),
+        }
+    )
+
+
 def _best_of_block(names: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     if names.empty or candidates.empty:
-        return pd.DataFrame({"query": [], "idx": [], "distance": []})
+        return _best_frame([], [], [])
     candidates = candidates.sort_values("idx")
     grid, sizes = _padded(candidates["name"], -1)
     wanted, wanted_sizes = _padded(names["query"], -2)
@@ -101,7 +111,7 @@ def _best_of_block(names: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFram
         at = int(gap.argmin())
         picks.append(int(candidates["idx"].iloc[at]))
         gaps.append(int(gap[at]))
-    return pd.DataFrame({"query": names["query"].to_numpy(), "idx": picks, "distance": gaps})
+    return _best_frame(names["query"].tolist(), picks, gaps)
 
 
 def rename_leaves(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
