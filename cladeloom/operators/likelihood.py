@@ -215,3 +215,23 @@ def tree_loglik(patterns, plan, taxa, model=None, **options) -> DataFrame:
     """(tree_id, loglik): frequency-weighted total per tree."""
     parts = pattern_loglik(patterns, plan, taxa, model, total=True, **options)
     return parts.groupBy("tree_id").agg(F.sum("loglik").alias("loglik"))
+
+
+def score_nodes(
+    patterns: DataFrame, nodes: DataFrame, taxa: DataFrame,
+    model: SubstitutionModel | None = None, layout: str = "balanced",
+) -> DataFrame:
+    """(tree_id, loglik) of trees of any shape and size.
+
+    Trees that fit a task are resolved, planned and scored on Arrow batches; a
+    forest with a larger tree is scored by joins, which bound no tree.
+    """
+    from cladeloom.operators.trees import resolve
+    from cladeloom.plans.decomposition import decompose
+
+    nodes = materialize(nodes, "nodes")
+    largest = nodes.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if 2 * largest > GRID_CHUNK_COMPONENTS:
+        sites = joined_loglik(patterns, nodes, taxa, model)
+        return sites.groupBy("tree_id").agg(F.sum(F.col("freq") * F.col("loglik")).alias("loglik"))
+    return tree_loglik(patterns, decompose(resolve(nodes), layout), taxa, model)

@@ -6,7 +6,7 @@ many children rely on adaptive skew splitting; grouped results combine first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
@@ -362,16 +362,84 @@ def resolve(numbered: DataFrame) -> DataFrame:
     numbered = materialize(numbered, "numbered")
     small = groups_are_small(numbered, "tree_id")
     kids = child_counts(numbered).select(*KEY, "n_children")
-    nodes = numbered.join(kids, KEY, "left").withColumn(
-        "n_children", F.coalesce("n_children", F.lit(0))
+    nodes = numbered.select(
+        *KEY, "parent_id", "label", "length", "is_leaf", "pre", "post", "depth"
+    ).join(kids, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+    nodes = _skip_unary(materialize(nodes, "counted"))
+    return _resolve_in_tasks(nodes) if small else _resolve_by_joins(nodes)
+
+
+def _resolve_in_tasks(nodes: DataFrame) -> DataFrame:
+    """Trees that fit a task: one shuffle by tree, all numbering in windows."""
+    family = Window.partitionBy("tree_id", "parent_id")
+    m = (F.row_number().over(family.orderBy("pre")) - 1).alias("_m")
+    placed = nodes.repartition("tree_id").select(
+        "*", m, F.count("*").over(family).alias("_k"),
+        F.min(_open_at()).over(family).alias("_first_open"),
     )
-    nodes = materialize(_skip_unary(nodes), "nodes")
+
+    def mark(at, sub, opens, length, leaf, label):
+        return F.struct(
+            at.cast("bigint").alias("at"), sub.cast("bigint").alias("sub"),
+            F.lit(opens).alias("opens"), length.alias("length"), leaf.alias("is_leaf"),
+            label.cast("string").alias("label"),
+        )
+
+    own = [F.col("length"), F.col("is_leaf"), F.col("label")]
+    new = [F.lit(0.0), F.lit(False), F.lit(None)]
+    zero = F.lit(0)
+    wraps = F.col("parent_id").isNotNull() & F.col("_m").between(F.lit(1), F.col("_k") - 2)
+    node_marks = F.array(mark(_open_at(), zero, True, *own), mark(_close_at(), zero, False, *own))
+    wrap_marks = F.array(
+        mark(F.col("_first_open"), -F.col("_m"), True, *new),
+        mark(_close_at(), F.lit(1), False, *new),
+    )
+    marks = placed.select(
+        "tree_id", F.inline(F.when(wraps, F.concat(node_marks, wrap_marks)).otherwise(node_marks))
+    )
+    so_far = Window.partitionBy("tree_id").orderBy("at", "sub").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    opened = F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(so_far)
+    closed = F.sum(F.when(F.col("opens"), 0).otherwise(1)).over(so_far)
+    marks = marks.select("*", opened.alias("_o"), closed.alias("_c")).withColumn(
+        "depth", (F.col("_o") - F.col("_c") - F.when(F.col("opens"), 1).otherwise(0)).cast("int")
+    )
+    # Opening and closing bracket of a node alternate within its depth.
+    level = Window.partitionBy("tree_id", "depth").orderBy("at", "sub").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    closes = marks.withColumn(
+        "pre", F.last(F.when(F.col("opens"), F.col("_o") - 1), True).over(level)
+    ).filter("not opens").withColumn("post", F.col("_c") - 1)
+    # The parent is the next node to close one level up.
+    roles = closes.withColumn(
+        "_up", F.explode(F.when(F.col("is_leaf"), F.array(F.lit(1))).otherwise(
+            F.array(F.lit(0), F.lit(1))))
+    ).withColumn("_ring", F.col("depth") - F.col("_up"))
+    ring = Window.partitionBy("tree_id", "_ring").orderBy(F.col("post").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    found = roles.withColumn(
+        "parent_id", F.last(F.when(F.col("_up") == 0, F.col("post")), True).over(ring)
+    ).filter("_up = 1")
+    order = Window.partitionBy("tree_id", "parent_id").orderBy("post")
+    return found.select(
+        "tree_id", F.col("post").alias("node_id"), "parent_id",
+        (F.row_number().over(order) - 1).cast("bigint").alias("child_ord"),
+        "label", "length", "is_leaf", "depth", "pre", "post",
+    )
+
+
+def _resolve_by_joins(nodes: DataFrame) -> DataFrame:
+    """Trees of any size: ranks over all tasks and joins."""
+    nodes = materialize(nodes, "nodes")
     family = nodes.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(
         F.count("*").alias("_k"), F.min(_open_at()).alias("_first_open")
     )
     placed = rank_in_group(
         nodes.withColumn("_family", F.struct("tree_id", "parent_id")), "_family",
-        [F.col("pre")], "_m", small,
+        [F.col("pre")], "_m",
     ).drop("_family")
     placed = placed.join(family, ["tree_id", "parent_id"], "left")
 
@@ -403,7 +471,7 @@ def resolve(numbered: DataFrame) -> DataFrame:
         F.col("_first_open").alias("o"), (-m).alias("o2"),
         _close_at().alias("c"), F.lit(1).cast("bigint").alias("c2"),
     )
-    return _renumber(rows.unionByName(wrappers), small)
+    return _renumber(rows.unionByName(wrappers))
 
 
 def _open_at() -> Column:
@@ -444,7 +512,7 @@ def _skip_unary(nodes: DataFrame) -> DataFrame:
     ).drop("_to", "_skip")
 
 
-def _renumber(rows: DataFrame, small: bool) -> DataFrame:
+def _renumber(rows: DataFrame) -> DataFrame:
     """Numbers from the order of brackets: (o, o2) opening and (c, c2) closing.
 
     A node's two brackets stand at 2*pre - depth and 2*post + depth + 1, so
@@ -460,11 +528,11 @@ def _renumber(rows: DataFrame, small: bool) -> DataFrame:
         F.explode(F.array(bracket(F.col("o"), F.col("o2"), True),
                           bracket(F.col("c"), F.col("c2"), False))).alias("b"),
     ).select("tree_id", "ref", "b.*")
-    placed = rank_in_group(marks, "tree_id", [F.col("at"), F.col("sub")], "_p", small)
+    placed = rank_in_group(marks, "tree_id", [F.col("at"), F.col("sub")], "_p")
     spans = placed.groupBy("tree_id", "ref").agg(
         F.min("_p").alias("_open"), F.max("_p").alias("_close")
     )
-    numbered = rank_in_group(spans, "tree_id", [F.col("_open")], "pre", small)
+    numbered = rank_in_group(spans, "tree_id", [F.col("_open")], "pre")
     numbered = numbered.withColumn("depth", (2 * F.col("pre") - F.col("_open")).cast("int"))
     numbered = materialize(numbered.select(
         "tree_id", "ref", "depth", "pre",
