@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import codes_of_strings, state_matrix
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
+from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.pruning import pattern_cells, pruning_loglik
 from cladeloom.plans import kernels
 from cladeloom.session import materialize, metric
@@ -25,6 +26,7 @@ from cladeloom.session import materialize, metric
 MAX_BROADCAST_COMPONENTS = 400_000  # about 20 MB of plan arrays per executor
 GRID_CHUNK_COMPONENTS = 200_000
 GRID_BLOCK_CELLS = 32_000_000
+MAX_PRUNING_ROUNDS = 40
 LIVE_VALUES = 1 << 18  # doubles per array inside a kernel: stays in cache
 
 
@@ -223,15 +225,21 @@ def score_nodes(
 ) -> DataFrame:
     """(tree_id, loglik) of trees of any shape and size.
 
-    Trees that fit a task are resolved, planned and scored on Arrow batches; a
-    forest with a larger tree is scored by joins, which bound no tree.
+    Trees that fit a task are resolved, planned and scored on Arrow batches. A
+    forest with a larger tree is scored by joins: level by level while it is
+    shallow, else layer by layer of its balanced plan.
     """
     from cladeloom.operators.trees import resolve
     from cladeloom.plans.decomposition import decompose
 
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", deepest=F.max("depth"))
     largest = nodes.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if 2 * largest > GRID_CHUNK_COMPONENTS:
+    if 2 * largest <= GRID_CHUNK_COMPONENTS:
+        return tree_loglik(patterns, decompose(resolve(nodes), layout), taxa, model)
+    if metric(nodes, "deepest") <= MAX_PRUNING_ROUNDS:
         sites = joined_loglik(patterns, nodes, taxa, model)
-        return sites.groupBy("tree_id").agg(F.sum(F.col("freq") * F.col("loglik")).alias("loglik"))
-    return tree_loglik(patterns, decompose(resolve(nodes), layout), taxa, model)
+    else:
+        cells = pattern_cells(patterns, taxa)
+        scored = layered_loglik(cells, decompose(resolve(nodes)), model)
+        sites = scored.join(patterns.select("pattern_id", "freq"), "pattern_id")
+    return sites.groupBy("tree_id").agg(F.sum(F.col("freq") * F.col("loglik")).alias("loglik"))

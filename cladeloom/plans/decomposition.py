@@ -6,7 +6,8 @@ edges and 2n-3 merges: components 0..n-1 are leaf edges and n..2n-3 inner
 edges, both in postorder, then merges in the order they are made.
 
 Plan table: tree_id, comp_id, left, right, parent, merge_type (0 for an edge),
-is_clade, node_id (lower end of an edge), label, length, layer, depth.
+is_clade, node_id (lower end of an edge), label, length, layer, depth, and span,
+the path length between a segment's two boundaries (NULL for a clade).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from cladeloom.session import materialize, metric
 PLAN_SCHEMA = (
     "tree_id bigint, comp_id bigint, left bigint, right bigint, parent bigint, "
     "merge_type int, is_clade boolean, node_id bigint, label string, length double, "
-    "layer int, depth int"
+    "layer int, depth int, span double"
 )
 _PLAN_COLUMNS = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
 MAX_GROUPED_NODES = 200_000  # a tree above this is planned by joins, not in one task
@@ -151,6 +152,7 @@ def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
     n_edges, total = len(edges), 2 * len(edges) - 1
     left, right, kind = [None] * n_edges, [None] * n_edges, [0] * n_edges
     layer, parent_of = [0] * n_edges, [None] * total
+    span = [None if leaf[k] else length[k] for k in edges]
     for i in range(total):
         if parent_of[i] is not None or i >= len(kind):
             continue
@@ -161,11 +163,11 @@ def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
         if best is None:
             continue
         _, a, b, how = best
-        bud = None
+        bud = across = None
         if how == 3:
-            bud = state.bud[a]
+            bud, across = state.bud[a], span[a]
         elif how in (2, 5):
-            bud = state.bud[b]
+            bud, across = state.bud[b], span[b] + (span[a] if how == 5 else 0.0)
         top = state.top[a]
         state.drop(a)
         state.drop(b)
@@ -174,6 +176,7 @@ def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
         right.append(b)
         kind.append(how)
         layer.append(1 + max(layer[a], layer[b]))
+        span.append(across)
     depth = [0] * total
     for i in range(total - 2, -1, -1):
         depth[i] = depth[parent_of[i]] + 1
@@ -190,6 +193,7 @@ def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
     rows["length"] += [length[k] for k in edges] + blank
     rows["layer"] += layer
     rows["depth"] += depth
+    rows["span"] += span
 
 
 def pruning_plan(nodes: DataFrame) -> DataFrame:
@@ -226,6 +230,7 @@ def pruning_plan(nodes: DataFrame) -> DataFrame:
             parent.alias("parent"), F.lit(kind).alias("merge_type"), clade.alias("is_clade"),
             node.alias("node_id"), label.alias("label"), length.alias("length"),
             F.lit(None).cast("int").alias("layer"), at.cast("int").alias("depth"),
+            F.when(~clade, length).cast("double").alias("span"),
         )
 
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -280,5 +285,5 @@ def with_depths(plan: DataFrame) -> DataFrame:
     return found.select(
         "tree_id", "comp_id", "left", "right", "parent", "merge_type", "is_clade",
         F.col("_node").alias("node_id"), "label", F.col("_length").alias("length"), "layer",
-        F.col("depth").cast("int").alias("depth"),
+        F.col("depth").cast("int").alias("depth"), "span",
     )

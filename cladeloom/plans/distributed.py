@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cladeloom.operators.ranking import rank_in_group
 from cladeloom.session import materialize, metric
 
-_STATE = ["tree_id", "comp_id", "top", "bud", "layer"]
+_STATE = ["tree_id", "comp_id", "top", "bud", "layer", "span"]
 
 
 def _edges(nodes: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def _edges(nodes: DataFrame) -> DataFrame:
             F.col("parent_id").alias("top"),
             F.when(~F.col("is_leaf"), F.col("node_id")).alias("bud"),
             F.lit(0).alias("layer"),
+            F.when(~F.col("is_leaf"), F.col("length")).alias("span"),
             "node_id", "label", "length",
         ), "edges",
     )
@@ -45,7 +46,7 @@ def _pairs(active: DataFrame, counters: DataFrame) -> DataFrame:
     At most three components meet at a vertex: one ending there and one or two
     hanging from it.
     """
-    me = F.struct("comp_id", "top", "bud", "layer")
+    me = F.struct("comp_id", "top", "bud", "layer", "span")
     ends = active.select(
         "tree_id", F.explode(F.array(
             F.struct(F.col("top").alias("v"), F.lit(True).alias("hangs"), me.alias("c")),
@@ -139,6 +140,8 @@ def plan_by_joins(nodes: DataFrame) -> DataFrame:
                 F.when(p["kind"].isin(2, 5), p["r"]["bud"]).when(p["kind"] == 3, p["l"]["bud"])
                 .alias("bud"),
                 (1 + F.greatest(p["l"]["layer"], p["r"]["layer"])).alias("layer"),
+                F.when(p["kind"] == 2, p["r"]["span"]).when(p["kind"] == 3, p["l"]["span"])
+                .when(p["kind"] == 5, p["r"]["span"] + p["l"]["span"]).alias("span"),
             ), "made",
         )
         merges.append(made)
@@ -157,13 +160,13 @@ def plan_by_joins(nodes: DataFrame) -> DataFrame:
     none = F.lit(None)
     plan = edges.select(
         "tree_id", "comp_id", none.cast("bigint").alias("left"), none.cast("bigint").alias("right"),
-        F.lit(0).alias("merge_type"), "bud", "node_id", "label", "length", "layer",
+        F.lit(0).alias("merge_type"), "bud", "node_id", "label", "length", "layer", "span",
     )
     for made in merges:
         plan = plan.unionByName(made.select(
             "tree_id", "comp_id", "left", "right", "merge_type", "bud",
             none.cast("bigint").alias("node_id"), none.cast("string").alias("label"),
-            none.cast("double").alias("length"), "layer",
+            none.cast("double").alias("length"), "layer", "span",
         ))
     plan = materialize(plan, "plan")
     up = plan.filter("merge_type > 0").select(

@@ -9,7 +9,8 @@ from cladeloom.operators import patterns as P
 from cladeloom.operators import trees as O
 from cladeloom.operators.likelihood import joined_loglik, pattern_loglik, tree_loglik
 from cladeloom.operators.mcmc import branch_updates, prior_of_trees
-from cladeloom.operators.pruning import pruning_loglik
+from cladeloom.operators.layered import layered_loglik
+from cladeloom.operators.pruning import pattern_cells, pruning_loglik
 from cladeloom.plans.decomposition import decompose
 from cladeloom.plans.merges import merge_long
 from cladeloom.programs import score_trees
@@ -80,6 +81,13 @@ def site_loglik_hky_joins(spark, sf):
     return _site_rows(joined_loglik(patterns, one_tree(spark, T7), taxa, HKY85(KAPPA, PI)))
 
 
+def site_loglik_layers(spark, sf):
+    patterns, taxa = line_patterns(spark, sf)
+    plan = decompose(one_tree(spark, T7))
+    scored = layered_loglik(pattern_cells(patterns, taxa), plan, HKY85(KAPPA, PI))
+    return _site_rows(scored.join(patterns.select("pattern_id", "freq"), "pattern_id"))
+
+
 def loglik_total(spark, sf):
     patterns, taxa = event_patterns(spark, sf)
     return tree_loglik(patterns, decompose(one_tree(spark, T5)), taxa).select(
@@ -364,6 +372,7 @@ QUERIES = {
     "site_loglik_hky_balanced": Query(site_loglik_lineitem("blocks"), _LINE_LOGLIK),
     "site_loglik_hky_grid": Query(site_loglik_lineitem("grid"), _LINE_LOGLIK),
     "site_loglik_hky_pruning": Query(site_loglik_hky_joins, _LINE_LOGLIK),
+    "site_loglik_hky_layers": Query(site_loglik_layers, _LINE_LOGLIK),
     "loglik_total": Query(
         loglik_total,
         f"WITH {EVENT_SITES}, {_T5_CTES} SELECT {sql_round('sum(freq * loglik)')} AS loglik "

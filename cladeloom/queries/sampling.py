@@ -55,15 +55,13 @@ def simulate_hashed(spark, sf):
 
 
 def simulated_trees(distribution):
-    """One tree per nation with as many taxa as the nation has customers, plus two."""
+    """One tree per customer; its order count, folded below 64, sets the taxa."""
 
     def run(spark, sf):
-        customers = T.read_table(spark, sf, "customer").groupBy("c_nationkey").agg(
-            F.count("*").alias("n")
+        orders = T.read_table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+        replicates = orders.select(
+            F.col("o_custkey").alias("tree_id"), (F.col("n") % 64 + 2).alias("n_taxa")
         )
-        replicates = customers.select(
-            F.col("c_nationkey").cast("bigint").alias("tree_id"), (F.col("n") + 2).alias("n_taxa")
-        ).repartition("tree_id")
         nodes = scale_to_height(simulate_trees(replicates, distribution), 1.0)
         return O.tree_metrics(nodes)
 

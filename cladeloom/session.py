@@ -53,7 +53,11 @@ def materialize(df: DataFrame, name: str = "table", **metrics: Column) -> DataFr
     the columns prunable and the sizes known to the optimizer. The row count
     and any further ``metrics`` are observed during the write.
     """
-    if getattr(df, "_cladeloom_metrics", None) is not None:
+    known = getattr(df, "_cladeloom_metrics", None)
+    if known is not None:
+        missing = [c.alias(k) for k, c in metrics.items() if k not in known]
+        if missing:
+            known.update(df.agg(*missing).first().asDict())
         return df
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -61,7 +65,7 @@ def materialize(df: DataFrame, name: str = "table", **metrics: Column) -> DataFr
     counts = [F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]]
     df.observe(seen, *counts).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    stored._cladeloom_metrics = seen.get
+    stored._cladeloom_metrics = dict(seen.get)
     return stored
 
 

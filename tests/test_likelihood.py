@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import SYMBOLS, state_matrix
 from cladeloom.functions.models import HKY85, JukesCantor
+from cladeloom.operators import likelihood
+from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.likelihood import joined_loglik, pattern_loglik, tree_loglik
 from cladeloom.operators.mcmc import MCMCOptions, branch_updates, run_mcmc
+from cladeloom.operators.pruning import pattern_cells
 from cladeloom.operators.simulate import simulate_sequences, simulate_trees
 from cladeloom.operators.trees import resolve
 from cladeloom.plans import kernels
@@ -80,6 +83,36 @@ def test_golden_joins(nodes, taxa, patterns, patterns5):
     _check(joined_loglik(patterns5, nodes.filter("tree_id >= 2"), taxa), GOLDEN5)
 
 
+def test_golden_layers(nodes, taxa, patterns, patterns5):
+    plan = materialize(decompose(nodes))
+    cells, cells5 = pattern_cells(patterns, taxa), pattern_cells(patterns5, taxa)
+    _check(layered_loglik(cells, plan.filter("tree_id < 2")), GOLDEN)
+    _check(layered_loglik(cells5, plan.filter("tree_id >= 2")), GOLDEN5)
+
+
+def test_layers_equal_blocks_on_a_sparse_caterpillar(spark):
+    n = 40
+    tree = materialize(simulate_trees(spark.createDataFrame([(0, n)], "tree_id bigint, n_taxa int"),
+                                      "caterpillar"))
+    taxa = spark.createDataFrame([(k, f"T{k}") for k in range(n)], "taxon_id bigint, taxon string")
+    rng = np.random.default_rng(6)
+    rows = [(k, "".join(rng.choice(list("0123eeee4"), n)), 1) for k in range(20)]
+    patterns = spark.createDataFrame(rows, "pattern_id bigint, pattern string, freq bigint")
+    plan, model = materialize(decompose(tree)), HKY85(3.0, (0.1, 0.2, 0.3, 0.4))
+    want = {r.pattern_id: r.loglik for r in pattern_loglik(patterns, plan, taxa, model).collect()}
+    got = layered_loglik(pattern_cells(patterns, taxa), plan, model).collect()
+    assert {r.pattern_id: r.loglik for r in got} == pytest.approx(want, abs=1e-9)
+
+
+def test_score_nodes_without_task_sized_trees(nodes, taxa, patterns, monkeypatch):
+    two = nodes.filter("tree_id < 2")
+    for rounds in (40, 1):
+        monkeypatch.setattr(likelihood, "GRID_CHUNK_COMPONENTS", 0)
+        monkeypatch.setattr(likelihood, "MAX_PRUNING_ROUNDS", rounds)
+        got = {r.tree_id: r.loglik for r in likelihood.score_nodes(patterns, two, taxa).collect()}
+        assert got == pytest.approx({0: -38.64134790817047, 1: -38.63460778667425}, abs=1e-10)
+
+
 def test_totals(nodes, taxa, patterns):
     plan = decompose(nodes.filter("tree_id < 2"))
     got = {r.tree_id: r.loglik for r in tree_loglik(patterns, plan, taxa).collect()}
