@@ -21,7 +21,7 @@ from cladeloom.functions.models import JukesCantor, SubstitutionModel
 from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.pruning import pattern_cells, pruning_loglik
 from cladeloom.plans import kernels
-from cladeloom.session import materialize, metric
+from cladeloom.session import materialize, metric, spread
 
 MAX_BROADCAST_COMPONENTS = 400_000  # about 20 MB of plan arrays per executor
 GRID_CHUNK_COMPONENTS = 200_000
@@ -147,7 +147,8 @@ def _blocks(patterns: DataFrame, plan: DataFrame, model, total: bool) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _batches(batches, shared.value, total)
 
-    return patterns.mapInPandas(run, _schema(total))
+    columns = patterns.select("pattern_id", "pattern", "freq")
+    return spread(columns, "pattern_id").mapInPandas(run, _schema(total))
 
 
 def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) -> DataFrame:
@@ -172,9 +173,8 @@ def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) ->
         out = list(_batches([pats], trees, total))
         return pd.concat(out) if out else _nothing(total)
 
-    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
-        run, _schema(total)
-    )
+    left, right = (spread(side, "chunk", "block").groupBy("chunk", "block") for side in (left, right))
+    return left.cogroup(right).applyInPandas(run, _schema(total))
 
 
 def joined_loglik(patterns, nodes, taxa, model=None) -> DataFrame:

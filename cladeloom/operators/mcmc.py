@@ -29,7 +29,7 @@ from cladeloom.operators.likelihood import (
     plan_with_taxa,
 )
 from cladeloom.plans import kernels
-from cladeloom.session import materialize, metric
+from cladeloom.session import materialize, metric, spread
 
 MAX_LOCAL_BYTES = 512 << 20
 BLOCK_BYTES = 64 << 20
@@ -180,7 +180,7 @@ def run_mcmc(
     n_patterns = metric(patterns)
     if n_components * n_patterns * BYTES_PER_VALUE <= max_local_bytes:
         return _whole_chains(patterns, tree, options)
-    return _shared_passes(patterns, tree, options, lookahead)
+    return _shared_passes(spread(patterns, "pattern_id"), tree, options, lookahead)
 
 
 def _whole_chains(patterns: DataFrame, tree: TreePlan, options: MCMCOptions) -> DataFrame:
@@ -329,6 +329,7 @@ def branch_updates(
                          "freq": part["freq"], "loglik": site}
                     )
 
-    return patterns.select("pattern_id", "pattern", "freq").mapInPandas(
+    columns = patterns.select("pattern_id", "pattern", "freq")
+    return spread(columns, "pattern_id").mapInPandas(
         run, "comp_id bigint, pattern_id bigint, freq bigint, loglik double"
     )

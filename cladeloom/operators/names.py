@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.names import lower_ascii, strip_punctuation
+from cladeloom.session import spread
 
 # Kinds of match, best first.
 EXACT, PUNCTUATION, CASE, DISTANCE = "exact", "punctuation", "case", "distance"
@@ -71,7 +72,8 @@ def closest_by_distance(names: DataFrame, candidates: DataFrame, block_rows: int
     right = candidates.select(
         "idx", "name", part(F.col("idx"), blocks, "block"), every(chunks, "chunk")
     )
-    best = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
+    left, right = (spread(side, "chunk", "block").groupBy("chunk", "block") for side in (left, right))
+    best = left.cogroup(right).applyInPandas(
         _best_of_block, "query string, idx bigint, distance bigint"
     )
     nearest = F.min(F.struct("distance", "idx")).alias("b")

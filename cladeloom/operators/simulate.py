@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
-from cladeloom.session import materialize, metric
+from cladeloom.session import materialize, metric, spread
 
 DISTRIBUTIONS = ("uniform", "yule", "caterpillar", "beta_critical")
 
@@ -127,7 +127,12 @@ _GROW = {
 }
 
 
-def _node_rows(tree_id: int, t: _Draft, root: int) -> pd.DataFrame:
+_NODE_COLUMNS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+ROWS_PER_FRAME = 50_000
+
+
+def _add_rows(rows: dict, tree_id: int, t: _Draft, root: int) -> None:
+    """Append the node table of one tree; ids are postorder numbers."""
     order, dist = _walk(t, root)
     pre = {v: k for k, v in enumerate(order)}
     parent, slot, depth, size = {root: None}, {root: 0}, {root: 0}, {}
@@ -137,22 +142,23 @@ def _node_rows(tree_id: int, t: _Draft, root: int) -> pd.DataFrame:
     for v in reversed(order):
         size[v] = 1 + sum(size[c] for c in t.children[v])
     post = {v: pre[v] - depth[v] + size[v] - 1 for v in order}
-    return pd.DataFrame(
-        {
-            "tree_id": tree_id,
-            "node_id": [post[v] for v in order],
-            "parent_id": pd.array(
-                [None if parent[v] is None else post[parent[v]] for v in order], "Int64"),
-            "child_ord": [slot[v] for v in order],
-            "label": [f"T{t.taxon[v]}" if t.taxon[v] >= 0 else None for v in order],
-            "length": [t.length[v] for v in order],
-            "is_leaf": [not t.children[v] for v in order],
-            "depth": [depth[v] for v in order],
-            "pre": [pre[v] for v in order],
-            "post": [post[v] for v in order],
-            "dist": [dist[v] for v in order],
-        }
-    )
+    rows["tree_id"] += [tree_id] * len(order)
+    rows["node_id"] += [post[v] for v in order]
+    rows["parent_id"] += [None if parent[v] is None else post[parent[v]] for v in order]
+    rows["child_ord"] += [slot[v] for v in order]
+    rows["label"] += [f"T{t.taxon[v]}" if t.taxon[v] >= 0 else None for v in order]
+    rows["length"] += [t.length[v] for v in order]
+    rows["is_leaf"] += [not t.children[v] for v in order]
+    rows["depth"] += [depth[v] for v in order]
+    rows["pre"] += [pre[v] for v in order]
+    rows["post"] += [post[v] for v in order]
+    rows["dist"] += [dist[v] for v in order]
+
+
+def _frame(rows: dict) -> pd.DataFrame:
+    out = pd.DataFrame(rows)
+    out["parent_id"] = pd.array(rows["parent_id"], "Int64")
+    return out
 
 
 def simulate_trees(replicates: DataFrame, distribution: str, seed: int = 42) -> DataFrame:
@@ -164,16 +170,23 @@ def simulate_trees(replicates: DataFrame, distribution: str, seed: int = 42) ->
     grow, stream = _GROW[distribution], DISTRIBUTIONS.index(distribution)
 
     def run(batches):
+        rows = {c: [] for c in _NODE_COLUMNS}
         for pdf in batches:
             for tree_id, n in zip(pdf["tree_id"], pdf["n_taxa"]):
                 rng = np.random.Generator(np.random.PCG64([seed, stream, int(tree_id)]))
-                yield _node_rows(int(tree_id), *grow(int(n), rng))
+                _add_rows(rows, int(tree_id), *grow(int(n), rng))
+                if len(rows["tree_id"]) >= ROWS_PER_FRAME:
+                    yield _frame(rows)
+                    rows = {c: [] for c in _NODE_COLUMNS}
+        if rows["tree_id"]:
+            yield _frame(rows)
 
-    return replicates.select("tree_id", "n_taxa").mapInPandas(run, NODE_SCHEMA)
+    return spread(replicates.select("tree_id", "n_taxa"), "tree_id").mapInPandas(run, NODE_SCHEMA)
 
 
 def scale_to_height(nodes: DataFrame, root_to_tip: float) -> DataFrame:
     """Scale each tree so that its deepest leaf lies ``root_to_tip`` below the root."""
+    nodes = materialize(nodes, "nodes")
     deepest = nodes.filter("is_leaf").groupBy("tree_id").agg(F.max("dist").alias("_d"))
     factor = F.when(F.col("_d") > 0, F.lit(root_to_tip) / F.col("_d")).otherwise(1.0)
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
-from cladeloom.session import materialize, metric
+from cladeloom.session import materialize, metric, spread
 
 KEY = ["tree_id", "node_id"]
 PATH_END = (1 << 63) - 1
@@ -373,7 +373,7 @@ def _resolve_in_tasks(nodes: DataFrame) -> DataFrame:
     """Trees that fit a task: one shuffle by tree, all numbering in windows."""
     family = Window.partitionBy("tree_id", "parent_id")
     m = (F.row_number().over(family.orderBy("pre")) - 1).alias("_m")
-    placed = nodes.repartition("tree_id").select(
+    placed = spread(nodes, "tree_id").select(
         "*", m, F.count("*").over(family).alias("_k"),
         F.min(_open_at()).over(family).alias("_first_open"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
 from cladeloom.operators.trees import root_distances
-from cladeloom.session import materialize, metric
+from cladeloom.session import materialize, metric, spread
 
 PLAN_SCHEMA = (
     "tree_id bigint, comp_id bigint, left bigint, right bigint, parent bigint, "
@@ -55,7 +55,7 @@ def decompose(nodes: DataFrame, layout: str = "balanced",
 
 def _plan_in_tasks(nodes: DataFrame) -> DataFrame:
     """Whole trees per task, many trees per batch; each tree is small by then."""
-    placed = nodes.repartition("tree_id").sortWithinPartitions("tree_id", "post")
+    placed = spread(nodes, "tree_id").sortWithinPartitions("tree_id", "post")
     return placed.mapInPandas(_plan_batches, PLAN_SCHEMA)
 
 

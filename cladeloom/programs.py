@@ -90,7 +90,7 @@ def run_simulation(
         reps = spark.range(replicates).select(
             F.col("id").alias("tree_id"), F.lit(ntax).alias("n_taxa")
         )
-        grown = simulate_trees(reps.repartition(replicates), distribution, seed)
+        grown = materialize(simulate_trees(reps, distribution, seed), "grown")
         for height in root_to_tips:
             nodes = materialize(scale_to_height(grown, height), "simulated")
             sites = spark.range(replicates * nsites).select(

@@ -69,6 +69,16 @@ def materialize(df: DataFrame, name: str = "table", **metrics: Column) -> DataFr
     return stored
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for work whose cost is compute, not bytes.
+
+    A fixed partition count keeps adaptive execution from folding small but
+    expensive inputs into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def metric(stored: DataFrame, name: str = "rows") -> int:
     """A number observed while ``materialize`` wrote the table."""
     return stored._cladeloom_metrics[name]
