@@ -32,34 +32,43 @@ MAX_GROUPED_NODES = 200_000  # a tree above this is planned by joins, not in one
 
 def decompose(nodes: DataFrame, layout: str = "balanced",
               max_grouped_nodes: int = MAX_GROUPED_NODES) -> DataFrame:
-    """Plans of binary trees (see ``resolve``) with at least two leaves."""
+    """Plans of binary trees (see ``resolve``) with at least two leaves.
+
+    ``balanced`` and ``pruning`` take trees of any size. ``greedy`` may merge
+    with any neighbour, later ones included, and joins two segments only when
+    nothing else is possible; it is planned in tasks only.
+    """
     if layout == "pruning":
         return pruning_plan(nodes)
-    if layout != "balanced":
+    if layout not in ("balanced", "greedy"):
         raise ValueError(f"unknown layout {layout!r}")
+    greedy = layout == "greedy"
     columns = ["tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "post"]
     nodes = materialize(nodes, "nodes")
     if metric(nodes) <= max_grouped_nodes:
-        return _plan_in_tasks(nodes.select(*columns))
+        return _plan_in_tasks(nodes.select(*columns), greedy)
     sizes = materialize(nodes.groupBy("tree_id").agg(F.count("*").alias("_size")), "sizes",
                         largest=F.max("_size"))
     if metric(sizes, "largest") <= max_grouped_nodes:
-        return _plan_in_tasks(nodes.select(*columns))
+        return _plan_in_tasks(nodes.select(*columns), greedy)
+    if greedy:
+        raise ValueError("a tree is too large for the greedy layout; use balanced")
     from cladeloom.plans.distributed import plan_by_joins
 
     large = sizes.filter(F.col("_size") > max_grouped_nodes)
-    return _plan_in_tasks(nodes.select(*columns).join(large, "tree_id", "left_anti")).unionByName(
+    small = _plan_in_tasks(nodes.select(*columns).join(large, "tree_id", "left_anti"), False)
+    return small.unionByName(
         plan_by_joins(nodes.select(*columns).join(large, "tree_id", "left_semi"))
     )
 
 
-def _plan_in_tasks(nodes: DataFrame) -> DataFrame:
+def _plan_in_tasks(nodes: DataFrame, greedy: bool) -> DataFrame:
     """Whole trees per task, many trees per batch; each tree is small by then."""
     placed = spread(nodes, "tree_id").sortWithinPartitions("tree_id", "post")
-    return placed.mapInPandas(_plan_batches, PLAN_SCHEMA)
+    return placed.mapInPandas(lambda batches: _plan_batches(batches, greedy), PLAN_SCHEMA)
 
 
-def _plan_batches(batches):
+def _plan_batches(batches, greedy: bool):
     """Cut the sorted rows at tree boundaries; a tree may continue in the next batch."""
     held = None
     for pdf in batches:
@@ -70,12 +79,12 @@ def _plan_batches(batches):
         last = int(np.searchsorted(ids, ids[-1]))
         held = pdf.iloc[last:]
         if last:
-            yield from _plan_frame(pdf.iloc[:last])
+            yield from _plan_frame(pdf.iloc[:last], greedy)
     if held is not None and len(held):
-        yield from _plan_frame(held)
+        yield from _plan_frame(held, greedy)
 
 
-def _plan_frame(pdf: pd.DataFrame):
+def _plan_frame(pdf: pd.DataFrame, greedy: bool):
     ids = pdf["tree_id"].to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist() + [len(ids)]
     node = pdf["node_id"].tolist()
@@ -85,7 +94,7 @@ def _plan_frame(pdf: pd.DataFrame):
     for a, b in zip(starts, starts[1:]):
         if b - a >= 3:
             _plan_one_tree(int(ids[a]), node[a:b], parent[a:b], leaf[a:b], label[a:b],
-                           length[a:b], rows)
+                           length[a:b], rows, greedy)
     if rows["tree_id"]:
         out = pd.DataFrame(rows)
         for c in ("left", "right", "parent", "node_id"):
@@ -139,7 +148,7 @@ class _Frontier:
                     yield j, i, j, 3
 
 
-def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
+def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows, greedy=False) -> None:
     """Merge each component, in order, with its lowest-numbered earlier neighbour.
 
     Arguments are one tree's nodes in postorder; plan rows are appended to ``rows``.
@@ -156,10 +165,11 @@ def _plan_one_tree(tree_id, node, parent, leaf, label, length, rows) -> None:
     for i in range(total):
         if parent_of[i] is not None or i >= len(kind):
             continue
-        best = None
-        for option in state.options(i):
-            if option[0] < i and (best is None or option < best):
-                best = option
+        allowed = state.options(i)
+        if greedy:
+            best = min(allowed, key=lambda o: (o[3] == 5, min(o[1], o[2])), default=None)
+        else:
+            best = min((o for o in allowed if o[0] < i), default=None)
         if best is None:
             continue
         _, a, b, how = best

@@ -56,7 +56,9 @@ def score_trees(
             scored.withColumnRenamed("loglik", f"loglik_{layout}"), "tree_id"
         ).withColumn(f"seconds_{layout}", F.lit(seconds))
     facts = path_length(patterns).drop("path_length")
-    return out.join(F.broadcast(facts)).withColumn(
+    row = facts.first()
+    constants = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in facts.schema}
+    return out.withColumns(constants).withColumn(
         "seconds_ratio", F.col("seconds_pruning") / F.col("seconds_balanced")
     )
 

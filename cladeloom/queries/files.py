@@ -18,15 +18,15 @@ from cladeloom.sources.tsv import read_tsv, write_tsv
 def supplier_alignment(spark, sf):
     """Rows (taxon_id, taxon, symbols): suppliers over the range of ship months."""
     cells = T.supplier_cells(spark, sf)
-    span = cells.agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    span = cells.agg(F.min("site").alias("lo"), F.max("site").alias("hi")).first()
     rows = cells.groupBy("taxon").agg(
         F.map_from_entries(F.collect_list(F.struct("site", "symbol"))).alias("m")
     )
     symbols = F.array_join(
-        F.transform(F.sequence("lo", "hi"), lambda s: F.coalesce(F.element_at("m", s), F.lit("e"))),
+        F.transform(F.sequence(F.lit(span.lo), F.lit(span.hi)), lambda s: F.coalesce(F.element_at("m", s), F.lit("e"))),
         "",
     )
-    return rows.join(F.broadcast(span)).select(
+    return rows.select(
         F.col("taxon").alias("taxon_id"),
         F.concat(F.lit("S"), F.col("taxon").cast("string")).alias("taxon"),
         symbols.alias("symbols"),

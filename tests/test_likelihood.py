@@ -69,7 +69,7 @@ def _check(df, golden):
             assert got[tree, k] == pytest.approx(v, abs=1e-11)
 
 
-@pytest.mark.parametrize("layout", ["balanced", "pruning"])
+@pytest.mark.parametrize("layout", ["balanced", "pruning", "greedy"])
 @pytest.mark.parametrize("strategy", ["blocks", "grid"])
 def test_golden_plans(nodes, taxa, patterns, patterns5, layout, strategy):
     plan = materialize(decompose(nodes, layout))
