@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session with the settings the tests and the bench use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cladeloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +27,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Needed wherever the workers cannot import it themselves, that is, unless it
+    is installed on every machine.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cladeloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="cladeloom-zip-"), "cladeloom")
+    archive = shutil.make_archive(
+        base, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    context._cladeloom_shipped = True
 
 
 def work_dir(spark: SparkSession) -> str:
