@@ -13,16 +13,29 @@ from cladeloom.operators.ranking import global_rank, with_previous
 BLOCK_CELLS = 4_000_000  # taxa x sites in one transposed block
 
 
-def transpose(alignment: DataFrame, n_taxa: int, n_sites: int) -> DataFrame:
+def transpose(
+    alignment: DataFrame, n_taxa: int | None = None, n_sites: int | None = None
+) -> DataFrame:
     """Rows (taxon_id, symbols) to columns (site, pattern), duplicates kept.
 
     Rows are cut into site blocks, so a task holds one block of bounded size
-    and the shuffle moves whole slices instead of single cells.
+    and the shuffle moves whole slices instead of single cells. Sizes not given
+    are counted; a row of another length than ``n_sites`` fails.
     """
+    if n_taxa is None or n_sites is None:
+        size = alignment.agg(
+            F.count("*").alias("taxa"), F.max(F.length("symbols")).alias("sites")
+        ).first()
+        n_taxa, n_sites = n_taxa or size.taxa, n_sites or size.sites
     width = max(1, min(n_sites, BLOCK_CELLS // max(1, n_taxa)))
     last_block = (n_sites - 1) // width
     slices = (
-        alignment.select("taxon_id", "symbols")
+        alignment.select(
+            "taxon_id",
+            F.when(F.length("symbols") == n_sites, F.col("symbols"))
+            .otherwise(F.raise_error(F.lit(f"a sequence does not have {n_sites} sites")))
+            .alias("symbols"),
+        )
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last_block))))
         .withColumn("slice", F.substring("symbols", F.col("block") * width + 1, F.lit(width)))
         .select("block", "taxon_id", "slice")

@@ -50,6 +50,10 @@ def test_patterns(spark):
     rows = [(0, "00e3"), (1, "0123"), (2, "0123")]
     sites = P.transpose(spark.createDataFrame(rows, "taxon_id bigint, symbols string"), 3, 4)
     assert [r.pattern for r in sites.orderBy("site").collect()] == ["000", "011", "e22", "333"]
+    counted = P.transpose(spark.createDataFrame(rows, "taxon_id bigint, symbols string"))
+    assert counted.exceptAll(sites).isEmpty() and counted.count() == 4
+    with pytest.raises(Exception, match="does not have"):
+        P.transpose(spark.createDataFrame(rows, "taxon_id bigint, symbols string"), 3, 2).collect()
     many = spark.createDataFrame([(k, p) for k, p in enumerate(["10", "01", "00", "01", "11"])],
                                  "site bigint, pattern string")
     lex = P.compress_patterns(many).orderBy("pattern_id").collect()
