@@ -10,6 +10,7 @@ from cladeloom.llm import (
     decontamination,
     fingerprints,
     licenses,
+    ngram_join,
     packing,
     pii,
     quality,
@@ -27,6 +28,10 @@ def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """The rank file holds the vocabulary of byte_bpe_50k.json and gives the same ids."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,6 +91,7 @@ QUERIES = {
     name: Query(_shipped(run), sql)
     for name, run, sql in [
         ("op1_lz_fingerprints", op1_lz_fingerprints, None),
+        ("op2_ngram_join", op2_ngram_join, ngram_join.SQL),
         ("op3_packing", op3_packing, None),
         ("op4_quality", op4_quality, None),
         ("op5_decontamination", op5_decontamination, None),
