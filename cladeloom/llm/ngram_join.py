@@ -48,6 +48,7 @@ COMMON_AT = 8
 MAX_RUN = 1 << 20
 TILE = 4096
 MAX_WIDTH = 1 << 13
+MAX_BROADCAST_ROWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,16 +112,20 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, key, k) per document, and rows (h, seen) of shingles frequent in a batch."""
+    """A row (doc_id, n, key, k, bits) per document, and rows (h, seen) of shingles frequent in a batch.
+
+    ``bits`` is null where an earlier row of the batch has the same set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, keys, known, held, total = [], [], set(), [], 0
+            ns, keys, bits, known, held, total = [], [], [], set(), [], 0
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 key = class_key(found)
                 ns.append(len(found))
                 keys.append(key)
+                bits.append(None if key in known else bitmap(found).tobytes())
                 if key not in known:
                     known.add(key)
                     held.append(found)
@@ -131,11 +136,11 @@ def describe(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(map(short_key, keys), pa.int64()), none, none], names=names)
+                 pa.array(map(short_key, keys), pa.int64()), pa.array(bits, pa.binary()), none, none], names=names)
             if held:
                 yield frequent(held)
 
-    names = ["doc_id", "n", "key", "k", "h", "seen"]
+    names = ["doc_id", "n", "key", "k", "bits", "h", "seen"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -143,9 +148,9 @@ def describe(docs: DataFrame) -> DataFrame:
         size = int(often.sum())
         return pa.RecordBatch.from_arrays(
             [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()),
-             _signed(values[often]), pa.array(counts[often])], names=names)
+             pa.nulls(size, pa.binary()), _signed(values[often]), pa.array(counts[often])], names=names)
 
-    return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, k bigint, h bigint, seen bigint")
+    return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, k bigint, bits binary, h bigint, seen bigint")
 
 
 def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -258,42 +263,29 @@ def _runs(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "h bigint, k bigint, n int, c0 bigint, c1 bigint, size bigint")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, key, n, bits, hashes) of the classes ``wanted`` (doc_id, key)."""
+def _hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, hashes) of the classes ``wanted`` (doc_id, key), from the texts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            keys, out = [], []
             for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = shingles(text.as_py())
                 if class_key(found) == key:
-                    out.append((short_key(key), key, len(found), bitmap(found).tobytes(), found.tobytes()))
-                if len(out) >= 2_000:
-                    yield pack(out)
-                    out = []
-            if out:
-                yield pack(out)
-
-    kinds = [("k", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("hashes", pa.binary())]
-
-    def pack(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)],
-                                          names=[name for name, _ in kinds])
-
-    texts = _rows(docs).join(wanted, "doc_id").select("text", "key")
-    return texts.mapInArrow(run, "k bigint, key binary, n bigint, bits binary, hashes binary")
+                    keys.append(key)
+                    out.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())],
+                                             names=["key", "hashes"])
 
+    small = metric(wanted) <= MAX_BROADCAST_ROWS
+    texts = _rows(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "key")
+    return texts.mapInArrow(run, "key binary, hashes binary")
 
-def _joined(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
-    left = sets.select(F.col("k").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"), F.col(value).alias("va"))
-    right = sets.select(F.col("k").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col(value).alias("vb"))
-    return pairs.join(left, "a").join(right, "b")
 
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of short keys that sizes and bitmaps allow to link, as class keys."""
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of class keys among candidate pairs (a, b) of short keys."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for na, nb, va, vb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "va", "vb"))):
@@ -301,21 +293,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 width = min(len(x), len(y))
                 most = shared_bound(folded(x, width), na, folded(y, width), nb)
                 keep.append(bool(links(most, na, nb)))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            yield batch.filter(pa.array(keep)).select(["ka", "kb"]).rename_columns(["a", "b"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    side = lambda e: classes.select(*[F.col(c).alias(d + e) for c, d in (("k", ""), ("key", "k"), ("n", "n"), ("bits", "v"))])
+    sized = F.col("na").between(F.floor(F.col("nb") * 4 / 5), F.ceil(F.col("nb") * 5 / 4))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized & (F.col("ka") != F.col("kb")))
+    return joined.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of class keys among candidate pairs (a, b) of short keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for na, nb, va, vb in zip(*(batch.column(c) for c in ("na", "nb", "va", "vb"))):
+            for va, vb in zip(batch.column("va"), batch.column("vb")):
                 x, y = np.frombuffer(va.as_py(), np.uint64), np.frombuffer(vb.as_py(), np.uint64)
                 shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(bool(links(shared, na.as_py(), nb.as_py())))
-            yield batch.filter(pa.array(keep)).select(["ka", "kb"]).rename_columns(["a", "b"])
+                keep.append(bool(links(shared, len(x), len(y))))
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    sized = F.col("na").between(F.floor(F.col("nb") * 4 / 5), F.ceil(F.col("nb") * 5 / 4))
-    near = _joined(pairs, sets, "bits").filter(sized & (F.col("ka") != F.col("kb"))).mapInArrow(bound, "a bigint, b bigint")
-    near = materialize(near.distinct(), "near_pairs")
-    return _joined(near, sets, "hashes").mapInArrow(exact, "a binary, b binary")
+    near = materialize(_bounded(pairs, classes), "near_pairs")
+    ends = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = materialize(classes.select("doc_id", "key").join(ends, "key"), "wanted")
+    sets = materialize(_hashes(docs, wanted), "sets")
+    side = lambda e: sets.select(F.col("key").alias(e), F.col("hashes").alias("v" + e))
+    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
 def _cross_pairs(tiles: DataFrame) -> DataFrame:
@@ -387,9 +390,9 @@ def search_tile(k, root, n, block, maps) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
 
 
-def _tiles(runs: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _tiles(runs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of tiles that hold at least three sets and two components."""
-    labels = sets.select("k", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    labels = classes.select("k", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     labels = labels.select("k", F.xxhash64(F.coalesce("root", "key")).alias("root"))
     rooted = runs.filter("size > 2").select("h", "k", "n", "size").distinct().join(labels, "k")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
@@ -401,36 +404,35 @@ def _tiles(runs: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "root", "n", "block")
     )
-    return tiled.join(sets.select("k", "bits"), "k")
+    return tiled.join(classes.select("k", "bits"), "k")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     described = materialize(describe(docs), "described")
-    listed = described.filter("h IS NULL").select("doc_id", "n", "key", "k")
+    listed = described.filter("h IS NULL").select("doc_id", "n", "key")
     common = common_shingles(described)
-    classes = materialize(
-        listed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("k").alias("k")), "classes")
     runs = materialize(_runs(prefixes(docs.filter("doc_id IS NOT NULL"), common)), "runs")
 
-    active = runs.select("k").distinct()
-    wanted = classes.join(active, "k", "left_semi").select("doc_id", "key")
-    sets = materialize(_sets(docs, wanted), "sets")
+    known = described.filter("n > 0 AND doc_id IS NOT NULL")
+    firsts = materialize(known.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    met = described.filter("n > 0 AND bits IS NOT NULL").join(runs.select("k").distinct(), "k", "left_semi")
+    sketches = met.groupBy("key").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(sketches.join(firsts, "key"), "classes")
 
     centres = runs.select("k", F.explode(F.array("c0", "c1")).alias("c")).filter("k != c")
     pairs = centres.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
-    roots = components(_verified(pairs, sets))
-    none = sets.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    roots = components(_verified(docs, pairs, classes))
+    none = firsts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
     roots = none if roots is None else roots
 
-    found = _verified(_cross_pairs(_tiles(runs, sets, roots)).distinct(), sets)
+    found = _verified(docs, _cross_pairs(_tiles(runs, classes, roots)).distinct(), classes)
     named = roots.select(F.col("node"), F.col("root"))
     for end in ("a", "b"):
         found = found.join(named.select(F.col("node").alias(end), F.col("root").alias("_r")), end, "left")
         found = found.withColumn(end, F.coalesce("_r", end)).drop("_r")
     more = components(found)
-    rooted = classes.join(named, F.col("key") == F.col("node"), "left")
+    rooted = firsts.join(named, F.col("key") == F.col("node"), "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     if more is not None:
         later = more.select(F.col("node").alias("root"), F.col("root").alias("last"))
