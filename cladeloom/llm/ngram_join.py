@@ -11,8 +11,9 @@ sets (a 128-bit digest) form one class, and only classes are joined.
   join neighbouring bands. In each tile all sets are first compared with one of
   them, the centre of the band, and with that of the band below. Links found so
   far give components.
-* Then every tile is searched for pairs between different components. Pairs whose
-  sizes allow a link are bounded from above by hashed bitmaps: bits that only one
+* Then every tile is searched for pairs between different components, first for the
+  likeliest partner of each set in each other component, and, when those links have
+  joined components, for all pairs that are left. Pairs whose sizes allow a link are bounded from above by hashed bitmaps: bits that only one
   of two bitmaps has are shingles that only one set has. Very large tiles are cut
   into pairs of blocks.
 * What passes a bound is verified by intersecting the sorted arrays.
@@ -321,7 +322,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
-def _cross_pairs(tiles: DataFrame) -> DataFrame:
+def _cross_pairs(tiles: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different components under one tile that the bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +343,7 @@ def _cross_pairs(tiles: DataFrame) -> DataFrame:
             if (root[lo:hi] == root[lo]).all():
                 continue
             maps = [np.frombuffer(b.as_py(), np.uint64) for b in bits.slice(lo, hi - lo)]
-            a, b = search_tile(k[lo:hi], root[lo:hi], n[lo:hi], block[lo:hi], maps)
+            a, b = search_tile(k[lo:hi], root[lo:hi], n[lo:hi], block[lo:hi], maps, best)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -350,11 +351,13 @@ def _cross_pairs(tiles: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def search_tile(k, root, n, block, maps) -> tuple[np.ndarray, np.ndarray]:
+def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile with different roots, sizes that allow a link, and bitmaps that do.
 
     ``n`` is negative where the shingle lies beyond the prefix of a smaller set. In
-    a tile of two blocks only pairs across the blocks are looked at.
+    a tile of two blocks only pairs across the blocks are looked at. With ``best``
+    each set is paired with one set of each other component, that of the highest
+    bound; a first round of these leaves few components for the search of all pairs.
     """
     size = np.abs(n)
     order = np.argsort(size, kind="stable")
@@ -383,7 +386,11 @@ def search_tile(k, root, n, block, maps) -> tuple[np.ndarray, np.ndarray]:
             shared_width = min(width, len(maps[i]))
             rows = folded(stack[lo - start + other], shared_width)
             most = shared_bound(folded(maps[i], shared_width), size[i], rows, size[lo:hi][other])
-            fits = other[links(most, size[i], size[lo:hi][other])]
+            fit = links(most, size[i], size[lo:hi][other])
+            fits = other[fit]
+            if best and len(fits) > 1:
+                fits = fits[np.argsort(-most[fit] / size[lo:hi][fits], kind="stable")]
+                fits = fits[np.unique(root[lo:hi][fits], return_index=True)[1]]
             first.append(np.full(len(fits), k[i]))
             second.append(k[lo:hi][fits])
     none = np.empty(0, np.int64)
@@ -407,6 +414,20 @@ def _tiles(runs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     return tiled.join(classes.select("k", "bits"), "k")
 
 
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (node, root) after adding the links ``found`` (a, b) between nodes."""
+    for end in ("a", "b"):
+        at_end = roots.select(F.col("node").alias(end), F.col("root").alias("_r"))
+        found = found.join(at_end, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    more = components(found)
+    if more is None:
+        return roots
+    alone = more.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    later = more.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    joined = roots.unionByName(alone).join(later, "root", "left")
+    return materialize(joined.select("node", F.coalesce("last", "root").alias("root")), "components")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     described = materialize(describe(docs), "described")
@@ -422,21 +443,14 @@ def join(docs: DataFrame) -> DataFrame:
 
     centres = runs.select("k", F.explode(F.array("c0", "c1")).alias("c")).filter("k != c")
     pairs = centres.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
-    roots = components(_verified(docs, pairs, classes))
-    none = firsts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
-    roots = none if roots is None else roots
+    roots = firsts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    roots = _merged(roots, _verified(docs, pairs, classes))
+    for best in (True, False):
+        crossing = _cross_pairs(_tiles(runs, classes, roots), best).distinct()
+        roots = _merged(roots, _verified(docs, crossing, classes))
 
-    found = _verified(docs, _cross_pairs(_tiles(runs, classes, roots)).distinct(), classes)
-    named = roots.select(F.col("node"), F.col("root"))
-    for end in ("a", "b"):
-        found = found.join(named.select(F.col("node").alias(end), F.col("root").alias("_r")), end, "left")
-        found = found.withColumn(end, F.coalesce("_r", end)).drop("_r")
-    more = components(found)
-    rooted = firsts.join(named, F.col("key") == F.col("node"), "left")
+    rooted = firsts.join(roots, F.col("key") == F.col("node"), "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    if more is not None:
-        later = more.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        rooted = rooted.join(later, "root", "left").select("key", "doc_id", F.coalesce("last", "root").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = rooted.join(least, "root").select("key", "component_id")
