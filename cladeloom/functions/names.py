@@ -17,9 +17,10 @@ def lower_ascii(name: Column) -> Column:
 
 
 def name_distance(a: Column, b: Column) -> Column:
-    """Differing positions; each surplus character counts one."""
+    """Differing positions of the UTF-8 bytes; each surplus byte counts one."""
+    octets = lambda name: F.regexp_extract_all(F.hex(name), F.lit("(..)"), F.lit(1))
     marks = F.zip_with(
-        F.split(a, ""), F.split(b, ""), lambda x, y: (~x.eqNullSafe(y)).cast("bigint")
+        octets(a), octets(b), lambda x, y: (~x.eqNullSafe(y)).cast("bigint")
     )
     return F.aggregate(marks, F.lit(0).cast("bigint"), lambda s, x: s + x)
 

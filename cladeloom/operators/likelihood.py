@@ -10,13 +10,14 @@ Three ways, chosen by measured size:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.functions.codes import codes_of_strings, state_matrix
+from cladeloom.functions.codes import allows, codes_of_strings, state_matrix
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
 from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.pruning import pattern_cells, pruning_loglik
@@ -180,8 +181,8 @@ def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) ->
 def joined_loglik(patterns, nodes, taxa, model=None) -> DataFrame:
     """The ``long`` way: any tree shape, nothing but joins and grouped sums."""
     model = model or JukesCantor()
-    named = materialize(nodes.withColumn("taxon", F.col("label")), "nodes", deepest=F.max("depth"))
-    scored = pruning_loglik(pattern_cells(patterns, taxa), named, metric(named, "deepest"), model)
+    named = nodes.withColumn("taxon", F.col("label"))
+    scored = pruning_loglik(pattern_cells(patterns, taxa), named, model)
     return scored.join(patterns.select("pattern_id", "freq"), "pattern_id").select(
         "tree_id", "pattern_id", "freq", "loglik"
     )
@@ -219,27 +220,67 @@ def tree_loglik(patterns, plan, taxa, model=None, **options) -> DataFrame:
     return parts.groupBy("tree_id").agg(F.sum("loglik").alias("loglik"))
 
 
+def _one_leaf_loglik(patterns, leaves, taxa, model) -> DataFrame:
+    """(tree_id, loglik) of trees that are a single leaf: the share of its allowed states."""
+    cells = pattern_cells(patterns, taxa).join(patterns.select("pattern_id", "freq"), "pattern_id")
+    share = reduce(Column.__add__, [allows(F.col("symbol"), s) * p for s, p in zip("ACGT", model.pi)])
+    return (
+        cells.join(leaves.select("tree_id", F.col("label").alias("taxon")), "taxon")
+        .groupBy("tree_id").agg(F.sum(F.col("freq") * F.ln(share)).alias("loglik"))
+    )
+
+
+def check_leaves(nodes: DataFrame, taxa: DataFrame) -> None:
+    """Fail where a leaf has no row in the alignment."""
+    known = taxa.select(F.col("taxon").alias("label"))
+    unknown = nodes.filter("is_leaf").join(known, "label", "left_anti").select("label").first()
+    if unknown is not None:
+        raise ValueError(f"taxon {unknown['label']} in tree is not in the alignment")
+
+
 def score_nodes(
     patterns: DataFrame, nodes: DataFrame, taxa: DataFrame,
     model: SubstitutionModel | None = None, layout: str = "balanced",
 ) -> DataFrame:
-    """(tree_id, loglik) of trees of any shape and size.
+    """(tree_id, loglik) of trees of any shape and size, one row per tree.
 
-    Trees that fit a task are resolved, planned and scored on Arrow batches. A
-    forest with a larger tree is scored by joins: level by level while it is
-    shallow, else layer by layer of its balanced plan.
+    All trees are resolved and their leaves checked first. Each tree then goes its
+    own way: those that fit a task are planned and scored on Arrow batches, larger
+    ones by joins, level by level while they are shallow, else layer by layer of
+    the balanced plan. A tree that is one leaf has the likelihood of its symbol,
+    and patterns without data in a tree have likelihood 1 there.
     """
     from cladeloom.operators.trees import resolve
     from cladeloom.plans.decomposition import decompose
 
-    nodes = materialize(nodes, "nodes", deepest=F.max("depth"))
-    largest = nodes.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if 2 * largest <= GRID_CHUNK_COMPONENTS:
-        return tree_loglik(patterns, decompose(resolve(nodes), layout), taxa, model)
-    if metric(nodes, "deepest") <= MAX_PRUNING_ROUNDS:
-        sites = joined_loglik(patterns, nodes, taxa, model)
-    else:
-        cells = pattern_cells(patterns, taxa)
-        scored = layered_loglik(cells, decompose(resolve(nodes)), model)
-        sites = scored.join(patterns.select("pattern_id", "freq"), "pattern_id")
-    return sites.groupBy("tree_id").agg(F.sum(F.col("freq") * F.col("loglik")).alias("loglik"))
+    model = model or JukesCantor()
+    resolved = materialize(resolve(nodes), "resolved")
+    check_leaves(resolved, taxa)
+    shape = resolved.groupBy("tree_id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    way = (
+        F.when(F.col("n") == 1, "leaf")
+        .when(2 * F.col("n") <= GRID_CHUNK_COMPONENTS, "tasks")
+        .when(F.col("deepest") <= MAX_PRUNING_ROUNDS, "levels")
+        .otherwise("layers")
+    )
+    shape = materialize(shape.select("tree_id", way.alias("way")), "ways")
+    parts = []
+    for name in [r["way"] for r in shape.select("way").distinct().orderBy("way").collect()]:
+        chosen = resolved.join(shape.filter(F.col("way") == name), "tree_id", "left_semi")
+        if name == "leaf":
+            parts.append(_one_leaf_loglik(patterns, chosen, taxa, model))
+            continue
+        if name == "tasks":
+            parts.append(tree_loglik(patterns, decompose(chosen, layout), taxa, model))
+            continue
+        if name == "levels":
+            sites = joined_loglik(patterns, chosen, taxa, model)
+        else:
+            scored = layered_loglik(pattern_cells(patterns, taxa), decompose(chosen), model)
+            sites = scored.join(patterns.select("pattern_id", "freq"), "pattern_id")
+        parts.append(sites.groupBy("tree_id").agg(F.sum(F.col("freq") * F.col("loglik")).alias("loglik")))
+    out = shape.select("tree_id")
+    if not parts:
+        return out.withColumn("loglik", F.lit(0.0))
+    scores = reduce(DataFrame.unionByName, parts)
+    return out.join(scores, "tree_id", "left").withColumn("loglik", F.coalesce("loglik", F.lit(0.0)))

@@ -37,7 +37,10 @@ def transpose(
             .alias("symbols"),
         )
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last_block))))
-        .withColumn("slice", F.substring("symbols", F.col("block") * width + 1, F.lit(width)))
+        .withColumn("octets", F.col("symbols").cast("binary"))  # cut at an offset, not by walking
+        .withColumn(
+            "slice", F.substring("octets", F.col("block") * width + 1, F.lit(width)).cast("string")
+        )
         .select("block", "taxon_id", "slice")
     )
 

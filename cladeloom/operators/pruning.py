@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import allows
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
-from cladeloom.session import materialize
+from cladeloom.session import materialize, metric
 
 STATES = ["s0", "s1", "s2", "s3"]
 NEG_INF = float("-inf")
@@ -78,7 +78,6 @@ def root_loglik(partials: DataFrame, model: SubstitutionModel) -> DataFrame:
 def pruning_loglik(
     cells: DataFrame,
     nodes: DataFrame,
-    max_depth: int,
     model: SubstitutionModel | None = None,
     materialize_every: int = 8,
 ) -> DataFrame:
@@ -88,7 +87,8 @@ def pruning_loglik(
     taxa without cells and cells of taxa outside the tree add nothing.
     """
     model = model or JukesCantor()
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", deepest=F.max("depth"))
+    max_depth = metric(nodes, "deepest") or 0
     leaves = nodes.filter("is_leaf and parent_id is not null").select(
         "tree_id", "parent_id", "taxon", "length", "depth"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions.models import JukesCantor, SubstitutionModel
 from cladeloom.operators import trees as O
-from cladeloom.operators.likelihood import tree_loglik
+from cladeloom.operators.likelihood import score_nodes
 from cladeloom.operators.mcmc import MCMCOptions, run_mcmc
 from cladeloom.operators.names import rename_leaves
 from cladeloom.operators.patterns import compress, compress_patterns, path_length
@@ -29,7 +29,7 @@ def tree_heights(nodes: DataFrame) -> DataFrame:
         {"height": "balanced_height", "avg_height": "balanced_avg_height"}
     )
     return (
-        shape.join(pruning_heights(resolved), "tree_id").join(balanced, "tree_id")
+        shape.join(pruning_heights(resolved), "tree_id", "left").join(balanced, "tree_id", "left")
         .withColumn("height_ratio", F.col("pruning_height") / F.col("balanced_height"))
         .withColumn("avg_height_ratio", F.col("pruning_avg_height") / F.col("balanced_avg_height"))
     )
@@ -48,9 +48,8 @@ def score_trees(
     resolved = materialize(O.resolve(nodes), "resolved")
     out = tree_heights(resolved)
     for layout in ("pruning", "balanced"):
-        plan = materialize(decompose(resolved, layout), "plan")
         t0 = time.perf_counter()
-        scored = materialize(tree_loglik(patterns, plan, taxa, model), "scores")
+        scored = materialize(score_nodes(patterns, resolved, taxa, model, layout), "scores")
         seconds = time.perf_counter() - t0
         out = out.join(
             scored.withColumnRenamed("loglik", f"loglik_{layout}"), "tree_id"

@@ -130,7 +130,7 @@ def loglik_fk_star(spark, sf):
     nodes = O.root_distances(T.supplier_tree(spark, sf)).withColumn(
         "taxon", F.col("node_id") - 3 * T.LEVEL
     )
-    scored = pruning_loglik(cells, nodes, 3)
+    scored = pruning_loglik(cells, nodes)
     return scored.select(F.col("pattern_id").alias("site"), rounded("loglik").alias("loglik"))
 
 

@@ -1,18 +1,14 @@
-"""Simulated trees and sequences sized by the data, and MCMC traces."""
+"""States drawn along the supplier tree, and MCMC traces."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeloom.functions.codes import SYMBOLS
 from cladeloom.operators import trees as O
 from cladeloom.operators.mcmc import MCMCOptions, run_mcmc
-from cladeloom.operators.patterns import compress
-from cladeloom.operators.simulate import (
-    DISTRIBUTIONS, scale_to_height, simulate_sequences, simulate_trees,
-)
+from cladeloom.operators.simulate import simulate_sequences
 from cladeloom.plans.decomposition import decompose
-from cladeloom.queries.base import EVENT_TAXA, Query
+from cladeloom.queries.base import Query
 from cladeloom.queries.likelihood import T5, T7, event_patterns, line_patterns, one_tree
 from cladeloom.queries.trees import SUPPLIER_TREE
 from cladeloom.sources import tables as T
@@ -44,43 +40,7 @@ def simulate_states(spark, sf):
     return states.select("label", "site", F.col("state").cast("bigint").alias("state"))
 
 
-def simulate_hashed(spark, sf):
-    """One site per order and customer: every customer's tree evolves its orders' sites."""
-    nodes = O.root_distances(T.customer_forest(spark, sf))
-    sites = T.read_table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("tree_id"), F.col("o_orderkey").alias("site")
-    )
-    states = simulate_sequences(nodes, sites, seed=7)
-    return states.groupBy("tree_id", "state").agg(F.count("*").alias("n"))
-
-
-def simulated_trees(distribution):
-    """One tree per customer; its order count, folded below 64, sets the taxa."""
 
-    def run(spark, sf):
-        orders = T.read_table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-        replicates = orders.select(
-            F.col("o_custkey").alias("tree_id"), (F.col("n") % 64 + 2).alias("n_taxa")
-        )
-        nodes = scale_to_height(simulate_trees(replicates, distribution), 1.0)
-        return O.tree_metrics(nodes)
-
-    return run
-
-
-def simulated_patterns(spark, sf):
-    """As many sites as the event alignment has, evolved on its tree and compressed."""
-    nodes = one_tree(spark, T5)
-    sites = T.event_sites(spark, sf).select(
-        F.lit(0).cast("bigint").alias("tree_id"),
-        F.xxhash64("user_id", "day").alias("site"),
-    )
-    states = simulate_sequences(nodes, sites, seed=11)
-    symbol = F.substring(F.lit(SYMBOLS), F.col("state") + 1, 1)
-    columns = states.groupBy("site").agg(
-        *[F.max(F.when(F.col("label") == t, symbol)).alias(t) for t in EVENT_TAXA]
-    )
-    return compress(columns.select(F.concat(*EVENT_TAXA).alias("pattern")))
 
 
 def mcmc_trace(layout, proposal="truncated"):
@@ -126,9 +86,6 @@ SELECT label, site, CAST(state AS BIGINT) AS state FROM l3"""
 
 QUERIES = {
     "simulate_states_fk": Query(simulate_states, _STATES_SQL),
-    "simulate_forest": Query(simulate_hashed),
-    "simulate_patterns_events": Query(simulated_patterns),
-    **{f"simulate_trees_{d}": Query(simulated_trees(d)) for d in DISTRIBUTIONS},
     "mcmc_trace_balanced": Query(mcmc_trace("balanced")),
     "mcmc_trace_pruning": Query(mcmc_trace("pruning")),
     "mcmc_trace_symmetric": Query(mcmc_trace("balanced", "symmetric")),

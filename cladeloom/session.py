@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,7 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
     spark.conf.set(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="cladeloom-"))
     return spark.conf.get(CHECKPOINT_DIR)

@@ -113,6 +113,26 @@ def test_score_nodes_without_task_sized_trees(nodes, taxa, patterns, monkeypatch
         assert got == pytest.approx({0: -38.64134790817047, 1: -38.63460778667425}, abs=1e-10)
 
 
+@pytest.mark.parametrize("cells, rounds", [(200_000, 40), (0, 40), (0, 1)])
+def test_one_answer_at_every_size(spark, monkeypatch, cells, rounds):
+    """Unary nodes, a tree of one leaf, and patterns without data in a tree, by all ways."""
+    texts = ["(((A:0.1,B:0.2):0.1):0.5,C:0.3);", "(A:0.1,B:0.2);", "(C:0.4);"]
+    trees = parse_newick(spark.createDataFrame(list(enumerate(texts)), "tree_id bigint, newick string"))
+    taxa = spark.createDataFrame([(k, t) for k, t in enumerate("ABCD")], "taxon_id bigint, taxon string")
+    rows = [(0, "0000", 2), (1, "0123", 1), (2, "eee1", 3), (3, "01ee", 1)]
+    patterns = spark.createDataFrame(rows, "pattern_id bigint, pattern string, freq bigint")
+    plan = decompose(resolve(trees.filter("tree_id < 2")))
+    want = {r.tree_id: r.loglik for r in tree_loglik(patterns, plan, taxa).collect()}
+    want[2] = 3 * np.log(0.25)  # C has data in three sites
+    monkeypatch.setattr(likelihood, "GRID_CHUNK_COMPONENTS", cells)
+    monkeypatch.setattr(likelihood, "MAX_PRUNING_ROUNDS", rounds)
+    got = {r.tree_id: r.loglik for r in likelihood.score_nodes(patterns, trees, taxa).collect()}
+    assert got == pytest.approx(want, abs=1e-10)
+    with pytest.raises(ValueError, match="taxon D in tree"):
+        likelihood.score_nodes(patterns, parse_newick(spark.createDataFrame(
+            [(0, "(A:0.1,D:0.2);")], "tree_id bigint, newick string")), taxa.filter("taxon <> 'D'"))
+
+
 def test_totals(nodes, taxa, patterns):
     plan = decompose(nodes.filter("tree_id < 2"))
     got = {r.tree_id: r.loglik for r in tree_loglik(patterns, plan, taxa).collect()}
