@@ -217,27 +217,32 @@ def _entries(hs, ks, ns) -> pa.RecordBatch:
 
 
 def _runs(entries: DataFrame) -> DataFrame:
-    """(h, k, n, c0, c1, size): sets under one shingle, with the centres of their band and the band below."""
+    """(h, k, n, c0, c1, several): sets under one shingle, with the centres of their band and the band below.
+
+    ``several`` tells that there are more than two; a shingle of more than
+    ``MAX_RUN`` sets is placed in parts, which the centres of all parts connect.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, part = None, None
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(p) for p in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if not cut and len(rows[0]) > MAX_RUN:
-                out, centres = placed(rows)
+                part = rows[0][0]
+                out, centres = placed(rows, part)
                 yield out
                 held = [c[centres] for c in rows]
                 continue
             if cut:
-                yield placed([c[:cut] for c in rows])[0]
+                yield placed([c[:cut] for c in rows], part)[0]
             held = [c[cut:] for c in rows]
         if held is not None and len(held[0]):
-            yield placed(held)[0]
+            yield placed(held, part)[0]
 
-    def placed(rows: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
+    def placed(rows: list[np.ndarray], part: int | None) -> tuple[pa.RecordBatch, np.ndarray]:
         h, band, k, n = rows
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
@@ -256,12 +261,12 @@ def _runs(entries: DataFrame) -> DataFrame:
         sizes = np.diff(np.append(np.flatnonzero(new_run), len(h)))[np.cumsum(new_run) - 1]
         keep = sizes > 1
         out = pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (h, k, n, k[first[at]], k[lower[at]], sizes)],
-            names=["h", "k", "n", "c0", "c1", "size"])
+            [pa.array(x[keep]) for x in (h, k, n, k[first[at]], k[lower[at]], (sizes > 2) | (h == part))],
+            names=["h", "k", "n", "c0", "c1", "several"])
         return out, np.flatnonzero(fresh)[first]
 
     dealt = entries.repartition("h").sortWithinPartitions("h", "band", "k")
-    return dealt.mapInArrow(run, "h bigint, k bigint, n int, c0 bigint, c1 bigint, size bigint")
+    return dealt.mapInArrow(run, "h bigint, k bigint, n int, c0 bigint, c1 bigint, several boolean")
 
 
 def _hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -401,12 +406,13 @@ def _tiles(runs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of tiles that hold at least three sets and two components."""
     labels = classes.select("k", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     labels = labels.select("k", F.xxhash64(F.coalesce("root", "key")).alias("root"))
-    rooted = runs.filter("size > 2").select("h", "k", "n", "size").distinct().join(labels, "k")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
+    rooted = runs.filter("several").select("h", "k", "n").distinct().join(labels, "k")
+    of_tile = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+    mixed = of_tile.filter("x != y").select("h", "size")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     tiled = (
-        rooted.join(mixed, "h", "left_semi")
+        rooted.join(mixed, "h")
         .withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "root", "n", "block")

@@ -173,9 +173,13 @@ def brute_components(texts):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-@pytest.mark.parametrize("tile", [4096, 7])
-def test_ngram_join_dense_groups(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, run, batch", [(4096, 1 << 20, 10_000), (7, 1 << 20, 10_000), (7, 12, 5)])
+def test_ngram_join_dense_groups(spark, monkeypatch, tile, run, batch):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "MAX_RUN", run)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, batch)
     random = np.random.default_rng(5)
     base = [f"b{i}" for i in range(150)]
     passage = [f"p{i}" for i in range(60)]
@@ -191,7 +195,10 @@ def test_ngram_join_dense_groups(spark, monkeypatch, tile):
         texts[k] = " ".join(f"c{i}" for i in range((k - 230) * 6, 300))
     texts |= {260: "A b\tC", 261: "a B c", 262: "a b", 263: "", 264: None, 265: texts[3], 266: texts[3]}
     table = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id bigint, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table).collect()}
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table).collect()}
+    finally:
+        spark.conf.set(size, usual)
     assert got == brute_components(texts)
 
 
