@@ -220,33 +220,36 @@ def _runs(entries: DataFrame) -> DataFrame:
     """(h, k, n, c0, c1, several): sets under one shingle, with the centres of their band and the band below.
 
     ``several`` tells that there are more than two; a shingle of more than
-    ``MAX_RUN`` sets is placed in parts, which the centres of all parts connect.
+    ``MAX_RUN`` sets is placed in parts. The centres of a part come again in the
+    next one, which connects the parts, and are not ``several`` there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = None, None
+        held, part, again = None, None, 0
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(p) for p in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if not cut and len(rows[0]) > MAX_RUN:
-                part = rows[0][0]
-                out, centres = placed(rows, part)
+                out, centres = placed(rows, rows[0][0], again)
                 yield out
-                held = [c[centres] for c in rows]
+                held, part, again = [c[centres] for c in rows], rows[0][0], len(centres)
                 continue
             if cut:
-                yield placed([c[:cut] for c in rows], part)[0]
+                yield placed([c[:cut] for c in rows], part, again)[0]
+                again = 0
             held = [c[cut:] for c in rows]
         if held is not None and len(held[0]):
-            yield placed(held, part)[0]
+            yield placed(held, part, again)[0]
 
-    def placed(rows: list[np.ndarray], part: int | None) -> tuple[pa.RecordBatch, np.ndarray]:
+    def placed(rows: list[np.ndarray], part: int | None, again: int) -> tuple[pa.RecordBatch, np.ndarray]:
+        """``part``: a shingle placed in parts; the first ``again`` rows are centres of its part before."""
         h, band, k, n = rows
+        seen = np.arange(len(h)) < again
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, band, k, n = h[fresh], band[fresh], k[fresh], n[fresh]
+        h, band, k, n, seen = h[fresh], band[fresh], k[fresh], n[fresh], seen[fresh]
         new_run = np.ones(len(h), bool)
         new_run[1:] = h[1:] != h[:-1]
         new_band = new_run.copy()
@@ -261,7 +264,7 @@ def _runs(entries: DataFrame) -> DataFrame:
         sizes = np.diff(np.append(np.flatnonzero(new_run), len(h)))[np.cumsum(new_run) - 1]
         keep = sizes > 1
         out = pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (h, k, n, k[first[at]], k[lower[at]], (sizes > 2) | (h == part))],
+            [pa.array(x[keep]) for x in (h, k, n, k[first[at]], k[lower[at]], ((sizes > 2) | (h == part)) & ~seen)],
             names=["h", "k", "n", "c0", "c1", "several"])
         return out, np.flatnonzero(fresh)[first]
 
@@ -402,18 +405,21 @@ def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
 
 
-def _tiles(runs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of tiles that hold at least three sets and two components."""
+def _mixed(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, k, n, root, size): those of ``rows`` (h, k, n) under shingles with sets of several components."""
     labels = classes.select("k", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     labels = labels.select("k", F.xxhash64(F.coalesce("root", "key")).alias("root"))
-    rooted = runs.filter("several").select("h", "k", "n").distinct().join(labels, "k")
+    rooted = rows.select("h", "k", "n").join(labels, "k")
     of_tile = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-    mixed = of_tile.filter("x != y").select("h", "size")
+    return materialize(rooted.join(of_tile.filter("x != y").select("h", "size"), "h"), "mixed")
+
+
+def _tiles(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of each tile, cut into pairs of blocks, with their bitmaps."""
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     tiled = (
-        rooted.join(mixed, "h")
-        .withColumn("block", own)
+        mixed.withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "root", "n", "block")
     )
@@ -451,8 +457,10 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = centres.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
     roots = firsts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
     roots = _merged(roots, _verified(docs, pairs, classes))
+    rows = runs.filter("several")
     for best in (True, False):
-        crossing = _cross_pairs(_tiles(runs, classes, roots), best).distinct()
+        rows = _mixed(rows, classes, roots)  # components only grow: tiles of one component stay so
+        crossing = _cross_pairs(_tiles(rows, classes), best).distinct()
         roots = _merged(roots, _verified(docs, crossing, classes))
 
     rooted = firsts.join(roots, F.col("key") == F.col("node"), "left")
