@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeloom.session import materialize
+
 # The token classes of the format.
 TOKEN = r"\[[^\]]*\]|[(),:]|[^(),:;\[\]]+"
 OUTSIDE_COMMENT = r"(?![^\[]*\])"
@@ -41,6 +43,7 @@ def read_newick_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "file", "_start", "_at",
         F.posexplode(F.split("text", TREE_START + OUTSIDE_COMMENT)).alias("_k", "newick"),
     )
+    trees = materialize(trees, "tree_texts")  # one scan: places depend on its splits
     within = F.struct("_at", "_k")
     splits = trees.groupBy("file", "_start").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(
@@ -130,7 +133,7 @@ def parse_newick(trees: DataFrame, default_length: float = 0.0) -> DataFrame:
     ).filter("up = 1")
     siblings = Window.partitionBy("tree_id", "parent_id").orderBy("post")
     broken = F.col("bad") | (F.col("open_left") != 0)
-    return nodes.select(
+    parsed = nodes.select(
         "tree_id",
         _fail_if(broken, "malformed Newick", F.col("post")).alias("node_id"),
         "parent_id",
@@ -139,6 +142,8 @@ def parse_newick(trees: DataFrame, default_length: float = 0.0) -> DataFrame:
         F.when(F.col("is_leaf"), F.col("pre")).otherwise(F.col("open_pre")).alias("pre"),
         "post",
     )
+    # Written whole, so that no later choice of columns prunes a check away.
+    return materialize(parsed, "parsed")
 
 
 def attach_taxa(nodes: DataFrame, taxa: DataFrame, check: bool = True) -> DataFrame:
@@ -150,9 +155,9 @@ def attach_taxa(nodes: DataFrame, taxa: DataFrame, check: bool = True) -> DataFr
         return named
     unknown = F.col("is_leaf") & F.col("taxon_id").isNull()
     message = F.concat(F.lit("taxon "), F.col("label"), F.lit(" in tree is not in the alignment"))
-    return named.withColumn(
+    return materialize(named.withColumn(
         "taxon_id", F.when(unknown, F.raise_error(message)).otherwise(F.col("taxon_id"))
-    )
+    ), "named")
 
 
 def to_newick(

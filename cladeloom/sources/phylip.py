@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import letters_from_symbols, symbols_from_letters
 from cladeloom.operators.ranking import rank_in_group
+from cladeloom.session import materialize
 
 
 def read_phylip(spark: SparkSession, paths: str | list[str], per_file: bool = True) -> DataFrame:
@@ -34,6 +35,8 @@ def read_phylip(spark: SparkSession, paths: str | list[str], per_file: bool = Tr
         )
         .filter("token != ''")
     )
+    # Places depend on how the scan was split, so they are read once and kept.
+    tokens = materialize(tokens, "tokens")
     # Only the places are sorted; sequences join their number once.
     place = ["_part", "_start", "_line", "_k"]
     ranked = rank_in_group(
@@ -67,12 +70,14 @@ def read_phylip(spark: SparkSession, paths: str | list[str], per_file: bool = Tr
               check(F.col("_names") < F.col("_rows"), "repeated taxon name", F.col("taxon"))),
     )
     wrong = F.length("letters") != F.col("n_sites")
-    return checked.select(
+    alignment = checked.select(
         "file", "taxon_id", "taxon",
         check(wrong, "sequence of the wrong length",
               symbols_from_letters(F.col("letters"))).alias("symbols"),
         "n_sites",
     )
+    # Written whole, so that no later choice of columns prunes a check away.
+    return materialize(alignment, "alignment")
 
 
 def align_to_taxa(alignment: DataFrame, taxa: DataFrame) -> DataFrame:
