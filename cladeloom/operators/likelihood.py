@@ -89,6 +89,44 @@ class TreePlan:
             live[c], scales[c] = kernels.rescale(kernels.merge(self.kind[c], *parts), scale)
         return kernels.root_loglik(live[self.order[-1]], scales[self.order[-1]], self.model.pi)
 
+    def loglik_shared(self, codes: np.ndarray) -> tuple[np.ndarray, int]:
+        """``loglik`` with every merge computed once per distinct pair of its parts.
+
+        Also returns the number of merged columns, at most patterns times merges.
+        """
+        step = max(64, LIVE_VALUES // 16)
+        parts = [self._loglik_shared(np.ascontiguousarray(codes[k : k + step].T))
+                 for k in range(0, len(codes), step)]
+        if not parts:
+            return np.empty(0), 0
+        return np.concatenate([p[0] for p in parts]), sum(p[1] for p in parts)
+
+    def _loglik_shared(self, codes: np.ndarray) -> tuple[np.ndarray, int]:
+        alike, merged = np.zeros(codes.shape[1], np.int64), 0
+        live = {}
+
+        def part(child):
+            """Value and scale per distinct column, and each pattern's column."""
+            if self.kind[child]:
+                return live.pop(child)
+            if self.taxon[child] >= 0:
+                table = kernels.leaf_table(self.matrices[child], self.states)
+                return table, np.zeros(table.shape[1], int), codes[self.taxon[child]]
+            return self.matrices[child][:, :, None], np.zeros(1, int), alike
+
+        for c in self.order:
+            (a, a_scale, a_at), (b, b_scale, b_at) = part(int(self.left[c])), part(int(self.right[c]))
+            width = b.shape[-1]
+            pairs, at = np.unique(a_at.astype(np.int64) * width + b_at, return_inverse=True)
+            left, right = np.divmod(pairs, width)
+            value, scale = kernels.rescale(
+                kernels.merge(self.kind[c], a[..., left], b[..., right]), a_scale[left] + b_scale[right]
+            )
+            live[c] = value, scale, at
+            merged += len(pairs)
+        value, scale, at = live[self.order[-1]]
+        return kernels.root_loglik(value, scale, self.model.pi)[at], merged
+
 
 def plan_with_taxa(plan: DataFrame, taxa: DataFrame) -> DataFrame:
     """Leaf edges get the taxon's position in the pattern; unknown leaves fail."""
@@ -106,13 +144,13 @@ def plan_with_taxa(plan: DataFrame, taxa: DataFrame) -> DataFrame:
 PLAN_COLUMNS = ["tree_id", "comp_id", "left", "right", "parent", "merge_type", "taxon_id", "length"]
 
 
-def _batches(pdf_iter, trees: dict[int, TreePlan], total: bool):
+def _batches(pdf_iter, trees: dict[int, TreePlan], total: bool, reuse: bool):
     for pdf in pdf_iter:
         if pdf.empty:
             continue
         codes = codes_of_strings(pdf["pattern"].tolist())
         for tree_id, plan in trees.items():
-            value = plan.loglik(codes)
+            value = plan.loglik_shared(codes)[0] if reuse else plan.loglik(codes)
             if total:
                 yield pd.DataFrame(
                     {"tree_id": [tree_id], "loglik": [float(value @ pdf["freq"].to_numpy(float))]}
@@ -142,17 +180,17 @@ def load_plans(plan: DataFrame, model: SubstitutionModel) -> dict[int, TreePlan]
     return {int(t): TreePlan(g, model) for t, g in rows.groupby("tree_id")}
 
 
-def _blocks(patterns: DataFrame, plan: DataFrame, model, total: bool) -> DataFrame:
+def _blocks(patterns: DataFrame, plan: DataFrame, model, total: bool, reuse: bool) -> DataFrame:
     shared = patterns.sparkSession.sparkContext.broadcast(load_plans(plan, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _batches(batches, shared.value, total)
+        yield from _batches(batches, shared.value, total, reuse)
 
     columns = patterns.select("pattern_id", "pattern", "freq")
     return spread(columns, "pattern_id").mapInPandas(run, _schema(total))
 
 
-def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) -> DataFrame:
+def _grid(patterns, plan, model, total, reuse, n_components, n_cells, chunk, block) -> DataFrame:
     """Chunks of trees x blocks of patterns, each pair one bounded task group."""
     chunks = max(1, -(-n_components // chunk))
     blocks = max(1, -(-n_cells // block))
@@ -171,7 +209,7 @@ def _grid(patterns, plan, model, total, n_components, n_cells, chunk, block) ->
 
     def run(pats: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         trees = {int(t): TreePlan(g, model) for t, g in rows.groupby("tree_id")}
-        out = list(_batches([pats], trees, total))
+        out = list(_batches([pats], trees, total, reuse))
         return pd.concat(out) if out else _nothing(total)
 
     left, right = (spread(side, "chunk", "block").groupBy("chunk", "block") for side in (left, right))
@@ -197,21 +235,22 @@ def pattern_loglik(
     strategy: str | None = None,
     chunk_components: int = GRID_CHUNK_COMPONENTS,
     block_cells: int = GRID_BLOCK_CELLS,
+    reuse: bool = False,
 ) -> DataFrame:
     """Log-likelihood per (tree, pattern), or partial sums per tree with ``total``.
 
     ``patterns``: (pattern_id, pattern, freq); ``taxa``: (taxon_id, taxon);
     ``plan`` from ``decompose``. Taxa without a leaf in the tree are ignored.
+    ``reuse`` computes equal sub-patterns of a batch once; it pays where subtrees
+    see few of them. Plans together above the broadcast bound always go by grid.
     """
     model = model or JukesCantor()
     placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
     n_components = metric(placed)
-    if strategy is None:
-        strategy = "blocks" if n_components <= MAX_BROADCAST_COMPONENTS else "grid"
-    if strategy == "blocks":
-        return _blocks(patterns, placed, model, total)
+    if strategy != "grid" and n_components <= MAX_BROADCAST_COMPONENTS:
+        return _blocks(patterns, placed, model, total, reuse)
     n_cells = patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0
-    return _grid(patterns, placed, model, total, n_components, n_cells, chunk_components, block_cells)
+    return _grid(patterns, placed, model, total, reuse, n_components, n_cells, chunk_components, block_cells)
 
 
 def tree_loglik(patterns, plan, taxa, model=None, **options) -> DataFrame:

@@ -1,22 +1,21 @@
 """Metropolis-Hastings over branch lengths, on patterns of any number.
 
 A chain draws the same numbers for iteration k whatever happened before, so
-its trace does not depend on how the work is spread:
-
-* few patterns: they travel to the tasks and each task runs whole chains;
-* many patterns: each Spark job scores, per chain, all states the next few
-  iterations could reach, partition by partition; only the sums come back.
+its trace does not depend on how the work is spread: each Spark job scores, per
+chain, all states the next few iterations could reach, partition by partition;
+only the sums come back.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import time
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import codes_of_strings
@@ -31,7 +30,6 @@ from cladeloom.operators.likelihood import (
 from cladeloom.plans import kernels
 from cladeloom.session import materialize, metric, spread
 
-MAX_LOCAL_BYTES = 512 << 20
 BLOCK_BYTES = 64 << 20
 BYTES_PER_VALUE = 100  # a mix of 4- and 16-number components
 
@@ -149,6 +147,12 @@ class Chain:
         )
         return accept
 
+    def without_trace(self) -> Chain:
+        """What a task needs: lengths and draws, not the rows written so far."""
+        bare = copy.copy(self)
+        bare.rows = []
+        return bare
+
     def needs_score(self, new: float) -> bool:
         return new > 0.0 or self.options.proposal != "symmetric"
 
@@ -159,57 +163,24 @@ def run_mcmc(
     taxa: DataFrame,
     options: MCMCOptions | None = None,
     model: SubstitutionModel | None = None,
-    max_local_bytes: int = MAX_LOCAL_BYTES,
     lookahead: int = 4,
 ) -> DataFrame:
     """Trace of every chain, started from the tree's own branch lengths.
 
     ``plan`` holds one tree; its layout (balanced or pruning) sets how many
-    components one update touches, not the trace.
+    components one update touches, not the trace. ``lookahead`` iterations share
+    a job; fewer jobs cost up to 2 ** ``lookahead`` updates each.
     """
     options, model = options or MCMCOptions(), model or JukesCantor()
     placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
-    n_components = metric(placed)
-    if n_components > MAX_BROADCAST_COMPONENTS:
+    if metric(placed) > MAX_BROADCAST_COMPONENTS:
         raise ValueError("the tree is too large to update inside one task")
     trees = load_plans(placed, model)
     if len(trees) != 1:
         raise ValueError("run_mcmc takes the plan of exactly one tree")
     (tree,) = trees.values()
-    patterns = materialize(patterns.select("pattern_id", "pattern", "freq"), "patterns")
-    n_patterns = metric(patterns)
-    if n_components * n_patterns * BYTES_PER_VALUE <= max_local_bytes:
-        return _whole_chains(patterns, tree, options)
-    return _shared_passes(spread(patterns, "pattern_id"), tree, options, lookahead)
-
-
-def _whole_chains(patterns: DataFrame, tree: TreePlan, options: MCMCOptions) -> DataFrame:
-    spark: SparkSession = patterns.sparkSession
-    rows = patterns.orderBy("pattern_id").select("pattern", "freq").toPandas()
-    shared = spark.sparkContext.broadcast(
-        (tree, codes_of_strings(rows["pattern"].tolist()), rows["freq"].to_numpy(float))
-    )
-
-    def run(batches):
-        plan, codes, freq = shared.value
-        comps = branch_components(plan)
-        for pdf in batches:
-            for chain_id in pdf["chain"]:
-                work = BranchUpdater(plan, codes, freq)
-                chain = Chain(int(chain_id), plan.lengths[comps], work.total(), options)
-                for k in range(options.iterations):
-                    branch, _, new = chain.propose(k, chain.lengths)
-                    t0, score = time.perf_counter(), None
-                    if chain.needs_score(new):
-                        before = work.change(int(comps[branch]), new)
-                        score = work.total()
-                    accepted = chain.decide(k, score, time.perf_counter() - t0)
-                    if score is not None and not accepted:
-                        work.restore(before)
-                yield pd.DataFrame(chain.rows, columns=_trace_columns())
-
-    chains = spark.range(options.chains).withColumnRenamed("id", "chain")
-    return chains.repartition(options.chains, "chain").mapInPandas(run, TRACE_SCHEMA)
+    dealt = spread(patterns.select("pattern_id", "pattern", "freq"), "pattern_id")
+    return _shared_passes(materialize(dealt, "patterns"), tree, options, lookahead)
 
 
 def _trace_columns() -> list[str]:
@@ -243,7 +214,8 @@ def _shared_passes(patterns, tree: TreePlan, options: MCMCOptions, lookahead: in
 
 def _score(patterns, tree, comps, chains, k: int, steps: int) -> dict:
     """Summed log-likelihoods of every reachable proposal, keyed by chain and history."""
-    shared = patterns.sparkSession.sparkContext.broadcast((tree, comps, chains))
+    bare = [c.without_trace() for c in chains]
+    shared = patterns.sparkSession.sparkContext.broadcast((tree, comps, bare))
     rows_per_block = max(64, BLOCK_BYTES // (len(tree.kind) * BYTES_PER_VALUE))
 
     def explore(work, chain, lengths, at, history, out):
@@ -300,36 +272,50 @@ def prior_of_trees(nodes: DataFrame, rate: float) -> DataFrame:
 
 
 def branch_updates(
-    patterns: DataFrame, plan: DataFrame, taxa: DataFrame, new_lengths: dict[int, float],
-    model: SubstitutionModel | None = None,
+    patterns: DataFrame, plan: DataFrame, taxa: DataFrame, new_lengths: DataFrame,
+    model: SubstitutionModel | None = None, total: bool = True,
 ) -> DataFrame:
-    """(comp_id, pattern_id, freq, loglik) after changing one edge of a tree at a time.
+    """(comp_id, loglik) of a tree after changing one edge at a time.
 
-    Only the merges above the changed edge are recomputed.
+    ``new_lengths``: (comp_id, new_length), at most one length an edge. Only the
+    merges above the changed edge are recomputed, in either layout of the plan.
+    Without ``total``: one row per edge and pattern, with pattern_id and freq.
     """
-    trees = load_plans(plan_with_taxa(plan, taxa), model or JukesCantor())
-    (tree,) = trees.values()
-    shared = patterns.sparkSession.sparkContext.broadcast(tree)
+    placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
+    lengths = materialize(new_lengths.select("comp_id", "new_length"), "new_lengths")
+    if max(metric(placed), metric(lengths)) > MAX_BROADCAST_COMPONENTS:
+        raise ValueError("the tree is too large to update inside one task")
+    (tree,) = load_plans(placed, model or JukesCantor()).values()
+    changes = [(r.comp_id, r.new_length) for r in lengths.orderBy("comp_id").collect()]
+    shared = patterns.sparkSession.sparkContext.broadcast((tree, changes))
     rows_per_block = max(64, BLOCK_BYTES // (len(tree.kind) * BYTES_PER_VALUE))
 
     def run(batches):
+        plan, edges = shared.value
         for pdf in batches:
             for s in range(0, len(pdf), rows_per_block):
                 part = pdf.iloc[s : s + rows_per_block]
                 codes = codes_of_strings(part["pattern"].tolist())
-                work = BranchUpdater(shared.value, codes, part["freq"].to_numpy(float))
-                for comp, length in new_lengths.items():
+                work = BranchUpdater(plan, codes, part["freq"].to_numpy(float))
+                sums = []
+                for comp, length in edges:
                     before = work.change(comp, length)
-                    site = kernels.root_loglik(
-                        work.value[work.root], work.scale[work.root], shared.value.model.pi
-                    )
+                    if total:
+                        sums.append((comp, work.total()))
+                    else:
+                        site = kernels.root_loglik(
+                            work.value[work.root], work.scale[work.root], plan.model.pi
+                        )
+                        yield pd.DataFrame(
+                            {"comp_id": comp, "pattern_id": part["pattern_id"],
+                             "freq": part["freq"], "loglik": site}
+                        )
                     work.restore(before)
-                    yield pd.DataFrame(
-                        {"comp_id": comp, "pattern_id": part["pattern_id"],
-                         "freq": part["freq"], "loglik": site}
-                    )
-
-    columns = patterns.select("pattern_id", "pattern", "freq")
-    return spread(columns, "pattern_id").mapInPandas(
-        run, "comp_id bigint, pattern_id bigint, freq bigint, loglik double"
-    )
+                if total:
+                    yield pd.DataFrame(sums, columns=["comp_id", "loglik"])
+
+    dealt = spread(patterns.select("pattern_id", "pattern", "freq"), "pattern_id")
+    if total:
+        parts = dealt.mapInPandas(run, "comp_id bigint, loglik double")
+        return parts.groupBy("comp_id").agg(F.sum("loglik").alias("loglik"))
+    return dealt.mapInPandas(run, "comp_id bigint, pattern_id bigint, freq bigint, loglik double")

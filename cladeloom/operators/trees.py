@@ -182,6 +182,32 @@ def leftmost_heights(numbered: DataFrame) -> DataFrame:
     )
 
 
+def node_heights(walked: DataFrame) -> DataFrame:
+    """Adds ``edge_height``: edges from a node down to its furthest leaf.
+
+    Needs ``depth``. Each round hands the deepest node seen to the ancestor
+    reached so far and doubles the reach, so height h takes log2(h) rounds.
+    """
+    walked = materialize(walked, "walked")
+    active = F.count("_anc")
+    step = materialize(walked.select(
+        *KEY, F.col("parent_id").alias("_anc"), F.col("depth").cast("bigint").alias("_deepest")
+    ), "reach", active=active)
+    while metric(step, "active"):
+        below = step.filter("_anc is not null").groupBy(
+            "tree_id", F.col("_anc").alias("node_id")
+        ).agg(F.max("_deepest").alias("_below"))
+        ahead = step.select("tree_id", F.col("node_id").alias("_anc"), F.col("_anc").alias("_anc2"))
+        step = materialize(
+            step.join(below, KEY, "left").join(ahead, ["tree_id", "_anc"], "left").select(
+                *KEY, F.col("_anc2").alias("_anc"), F.greatest("_deepest", "_below").alias("_deepest"),
+            ), "reach", active=active,
+        )
+    return walked.join(step.select(*KEY, "_deepest"), KEY).withColumn(
+        "edge_height", F.col("_deepest") - F.col("depth")
+    ).drop("_deepest")
+
+
 def _with_parent(nodes: DataFrame, column: str, alias: str, how: str = "left") -> DataFrame:
     parents = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col(column).alias(alias))
     return nodes.join(parents, ["tree_id", "parent_id"], how)
@@ -300,6 +326,55 @@ def graft(nodes: DataFrame, other: DataFrame, at: DataFrame, child_ord: int = -1
     return host_rows.select(*columns).unionByName(hung.select(*columns))
 
 
+def _reorder(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Fresh ``child_ord`` in every family from its order by (_at, _sub)."""
+    rows = materialize(
+        rows.withColumn("_family", F.struct("tree_id", "parent_id")).drop("child_ord"), "families"
+    )
+    return rank_in_group(
+        rows, "_family", [F.col("_at"), F.col("_sub")], "child_ord", groups_are_small(rows, "_family")
+    ).select(*columns)
+
+
+def _slots(nodes: DataFrame, at: DataFrame) -> DataFrame:
+    """(tree_id, _after, parent_id, _slot) of the nodes in ``at``; a root has no sibling."""
+    parent = F.when(F.col("parent_id").isNull(), F.raise_error(F.lit("a root cannot get a sibling")))
+    return materialize(nodes.join(at.select(*KEY), KEY, "left_semi").select(
+        "tree_id", F.col("node_id").alias("_after"),
+        parent.otherwise(F.col("parent_id")).alias("parent_id"), F.col("child_ord").alias("_slot"),
+    ), "slots")
+
+
+def insert_siblings(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Add leaf rows, each right after the sibling that its column ``after`` names.
+
+    ``new`` has at most one row per (tree_id, after); its parent_id and child_ord
+    are set here.
+    """
+    slots = _slots(nodes, new.select("tree_id", F.col("after").alias("node_id")))
+    placed = (
+        new.drop("parent_id", "child_ord").withColumnRenamed("after", "_after")
+        .join(slots, ["tree_id", "_after"], "left")
+        .withColumns({"_at": F.coalesce("_slot", F.raise_error(F.lit("no such sibling"))),
+                      "_sub": F.lit(1), "child_ord": F.col("_slot")})
+    )
+    old = nodes.withColumns({"_at": F.col("child_ord"), "_sub": F.lit(0)})
+    return _reorder(old.unionByName(placed.select(*old.columns)), nodes.columns)
+
+
+def graft_siblings(nodes: DataFrame, other: DataFrame, at: DataFrame) -> DataFrame:
+    """Hang the trees of ``other`` right after the (tree_id, node_id) of ``at``, one per tree."""
+    slots = _slots(nodes, at)
+    hosts = slots.select("tree_id", F.col("parent_id").alias("node_id"))
+    grown = graft(nodes.withColumn("_sub", F.lit(0)), other.withColumn("_sub", F.lit(1)), hosts)
+    columns = [c for c in grown.columns if c != "_sub"]
+    # Of the new rows only the grafted root lies below a host.
+    placed = grown.join(slots.drop("_after"), ["tree_id", "parent_id"], "left").withColumn(
+        "_at", F.when(F.col("_sub") == 1, F.coalesce("_slot", "child_ord")).otherwise(F.col("child_ord"))
+    )
+    return _reorder(placed.drop("_slot"), columns)
+
+
 def reverse_children(nodes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Mirror the child order of the given nodes, or of all."""
     if parents is None:

@@ -134,15 +134,26 @@ def loglik_fk_star(spark, sf):
     return scored.select(F.col("pattern_id").alias("site"), rounded("loglik").alias("loglik"))
 
 
-def branch_update_loglik(spark, sf):
+def branch_update(layout):
     """Every edge of the event tree lengthened by 0.1, one at a time."""
-    patterns, taxa = event_patterns(spark, sf)
-    plan = materialize(decompose(one_tree(spark, T5)), "plan")
-    edges = plan.filter("merge_type = 0").select("comp_id", "length").collect()
-    changed = branch_updates(
-        patterns, plan, taxa, {r.comp_id: r.length + 0.1 for r in edges}
-    )
-    return changed.select("comp_id", "pattern_id", rounded("loglik").alias("loglik"))
+
+    def run(spark, sf):
+        patterns, taxa = event_patterns(spark, sf)
+        plan = materialize(decompose(one_tree(spark, T5), layout), "plan")
+        longer = plan.filter("merge_type = 0").select(
+            "comp_id", (F.col("length") + 0.1).alias("new_length")
+        )
+        changed = branch_updates(patterns, plan, taxa, longer, total=False)
+        return changed.select("comp_id", "pattern_id", rounded("loglik").alias("loglik"))
+
+    return run
+
+
+def site_loglik_shared(spark, sf):
+    """Each component computed once per distinct sub-pattern of its own taxa."""
+    patterns, taxa = line_patterns(spark, sf)
+    plan = decompose(one_tree(spark, T7))
+    return _site_rows(pattern_loglik(patterns, plan, taxa, HKY85(KAPPA, PI), reuse=True))
 
 
 def log_prior(spark, sf):
@@ -392,7 +403,9 @@ FROM {_N_ROOT} JOIN ev_patterns USING (pattern_id) GROUP BY tree_id, f"""),
         f"{_NATION} {_N_CTES} SELECT tree_id, {sql_round('sum(freq * loglik)', 4)} AS loglik "
         f"FROM {_N_ROOT} JOIN ev_patterns USING (pattern_id) GROUP BY tree_id"),
     "loglik_fk_star": Query(loglik_fk_star, _STAR),
-    "branch_update_loglik": Query(branch_update_loglik, _updates_sql()),
+    "branch_update_loglik": Query(branch_update("balanced"), _updates_sql()),
+    "branch_update_pruning": Query(branch_update("pruning"), _updates_sql()),
+    "site_loglik_shared": Query(site_loglik_shared, _LINE_LOGLIK),
     "log_prior_forest": Query(
         log_prior,
         f"WITH {FOREST} SELECT tree_id, {sql_round('sum(ln(20.0) - 20.0 * length)')} AS log_prior "

@@ -48,7 +48,7 @@ def mcmc_trace(layout, proposal="truncated"):
         patterns, taxa = event_patterns(spark, sf)
         plan = decompose(one_tree(spark, T5), layout)
         options = MCMCOptions(width=0.05, iterations=200, chains=4, proposal=proposal)
-        return run_mcmc(patterns, plan, taxa, options).drop("seconds")
+        return run_mcmc(patterns, plan, taxa, options, lookahead=6).drop("seconds")
 
     return run
 
@@ -57,9 +57,7 @@ def mcmc_shared(spark, sf):
     """Line-number taxa; every pass runs over the partitions of all patterns."""
     patterns, taxa = line_patterns(spark, sf)
     options = MCMCOptions(width=0.05, iterations=8, chains=2)
-    return run_mcmc(
-        patterns, decompose(one_tree(spark, T7)), taxa, options, max_local_bytes=0
-    ).drop("seconds")
+    return run_mcmc(patterns, decompose(one_tree(spark, T7)), taxa, options).drop("seconds")
 
 
 def _level(name, upper, depth):

@@ -151,6 +151,32 @@ def insert_children(spark, sf):
     return _metric_rows(O.tree_metrics(O.root_distances(O.insert_children(forest, new))))
 
 
+def insert_siblings(spark, sf):
+    """A new leaf right after every nation."""
+    tree = T.supplier_tree(spark, sf)
+    nations = tree.filter(F.col("node_id").between(2 * T.LEVEL, 3 * T.LEVEL - 1))
+    new = nations.select(
+        "tree_id", F.col("node_id").alias("after"), (-F.col("node_id")).alias("node_id"),
+        F.concat("label", F.lit("+")).alias("label"), F.lit(0.01).alias("length"),
+        F.lit(True).alias("is_leaf"),
+    )
+    return O.number_nodes(O.insert_siblings(tree, new)).select("label", "pre")
+
+
+def graft_siblings(spark, sf):
+    """A copy of the whole tree grafted right after its first region."""
+    tree = T.supplier_tree(spark, sf)
+    first = tree.filter("parent_id = 0").groupBy("tree_id").agg(F.min("node_id").alias("node_id"))
+    return O.number_nodes(O.graft_siblings(tree, tree, first)).select(
+        "label", rounded("length").alias("length"), "pre"
+    )
+
+
+def node_heights(spark, sf):
+    """Edges from every node of the forest down to its furthest leaf."""
+    return O.node_heights(_walked_forest(spark, sf)).select("tree_id", "node_id", "edge_height")
+
+
 def reroot_forest(spark, sf):
     """Each customer's tree rooted at its lowest order."""
     numbered = materialize(O.number_nodes(T.customer_forest(spark, sf)), "numbered")
@@ -389,6 +415,25 @@ SELECT node_id, parent_id, label, CAST(depth AS BIGINT) AS depth, {sql_round("di
     "leftmost_heights_fk": Query(
         leftmost_heights,
         f"WITH {SUPPLIER_TREE} SELECT w.node_id, {sql_round('(SELECT arg_min(l.dist, l.pre) FROM walk l WHERE l.is_leaf AND l.pre >= w.pre) - w.dist')} AS height FROM walk w"),
+    "node_heights_forest": Query(
+        node_heights,
+        f"""WITH RECURSIVE {FOREST},
+up AS (SELECT tree_id, node_id, parent_id, 0 AS h FROM nodes WHERE is_leaf
+  UNION ALL SELECT n.tree_id, n.node_id, n.parent_id, h + 1 FROM up JOIN nodes n
+    ON n.tree_id = up.tree_id AND n.node_id = up.parent_id)
+SELECT tree_id, node_id, CAST(max(h) AS BIGINT) AS edge_height FROM up GROUP BY tree_id, node_id"""),
+    "insert_siblings_fk": Query(
+        insert_siblings,
+        f"""WITH {SUPPLIER_TREE},
+grown AS (SELECT label, depth, k1, k2, 0 AS sub, k3 FROM nodes
+  UNION ALL SELECT label || '+', depth, k1, k2, 1, -1 FROM nodes WHERE depth = 2)
+SELECT label, row_number() OVER (ORDER BY depth > 0, k1, k2, sub, k3) - 1 AS pre FROM grown"""),
+    "graft_siblings_fk": Query(
+        graft_siblings,
+        f"""WITH {SUPPLIER_TREE},
+grown AS (SELECT label, length, depth > 0 AS a, k1 AS b, 0 AS c, FALSE AS d, 0 AS e, k2, k3 FROM nodes
+  UNION ALL SELECT label, length, TRUE, (SELECT min(k1) FROM nodes WHERE depth = 1), 1, depth > 0, k1, k2, k3 FROM nodes)
+SELECT label, {sql_round("length")} AS length, row_number() OVER (ORDER BY a, b, c, d, e, k2, k3) - 1 AS pre FROM grown"""),
     "clock_check_forest": Query(
         clock_check,
         f"""WITH {FOREST},

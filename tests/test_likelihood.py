@@ -11,7 +11,13 @@ from cladeloom.functions.codes import SYMBOLS, state_matrix
 from cladeloom.functions.models import HKY85, JukesCantor
 from cladeloom.operators import likelihood
 from cladeloom.operators.layered import layered_loglik
-from cladeloom.operators.likelihood import joined_loglik, pattern_loglik, tree_loglik
+from cladeloom.operators.likelihood import (
+    joined_loglik,
+    load_plans,
+    pattern_loglik,
+    plan_with_taxa,
+    tree_loglik,
+)
 from cladeloom.operators.mcmc import MCMCOptions, branch_updates, run_mcmc
 from cladeloom.operators.pruning import pattern_cells
 from cladeloom.operators.simulate import simulate_sequences, simulate_trees
@@ -246,13 +252,12 @@ def test_deep_caterpillar_does_not_underflow(spark):
 
 @pytest.mark.parametrize("proposal", ["truncated", "symmetric"])
 def test_mcmc_same_trace_everywhere(nodes, taxa, patterns5, proposal):
-    """Layout, chain-per-task and shared passes give the same chains."""
+    """Neither the layout nor the number of iterations a job changes the chains."""
     one = nodes.filter("tree_id = 3")
     options = MCMCOptions(width=0.2, iterations=12, chains=2, seed=5, proposal=proposal)
     traces = []
-    for layout, local in (("balanced", 1 << 30), ("pruning", 1 << 30), ("balanced", 0)):
-        trace = run_mcmc(patterns5, decompose(one, layout), taxa, options, max_local_bytes=local,
-                         lookahead=3)
+    for layout, lookahead in (("balanced", 1), ("pruning", 5), ("balanced", 3)):
+        trace = run_mcmc(patterns5, decompose(one, layout), taxa, options, lookahead=lookahead)
         traces.append(trace.orderBy("chain", "iteration").collect())
     first = traces[0]
     assert len(first) == 24 and len({r.accepted for r in first}) == 2
@@ -264,13 +269,31 @@ def test_mcmc_same_trace_everywhere(nodes, taxa, patterns5, proposal):
             assert a.new_length == pytest.approx(b.new_length, abs=1e-12)
 
 
-def test_branch_update_equals_full_evaluation(spark, nodes, taxa, patterns5):
-    plan = materialize(decompose(nodes.filter("tree_id = 2")))
-    updated = branch_updates(patterns5, plan, taxa, {6: 0.5})
+@pytest.mark.parametrize("layout", ["balanced", "pruning"])
+def test_branch_update_equals_full_evaluation(spark, nodes, taxa, patterns5, layout):
+    plan = materialize(decompose(nodes.filter("tree_id = 2"), layout))
+    longer = spark.createDataFrame([(6, 0.5)], "comp_id bigint, new_length double")
+    updated = branch_updates(patterns5, plan, taxa, longer, total=False)
     changed = plan.withColumn("length", F.when(F.col("comp_id") == 6, 0.5).otherwise(F.col("length")))
     want = {r.pattern_id: r.loglik for r in pattern_loglik(patterns5, changed, taxa).collect()}
     got = {r.pattern_id: r.loglik for r in updated.collect()}
     assert got == pytest.approx(want, abs=1e-12)
+    (total,) = branch_updates(patterns5, plan, taxa, longer).collect()
+    freq = {r.pattern_id: r.freq for r in patterns5.collect()}
+    assert total.comp_id == 6
+    assert total.loglik == pytest.approx(sum(freq[k] * v for k, v in want.items()), abs=1e-11)
+
+
+def test_shared_subpatterns_equal_full_evaluation(nodes, taxa, patterns, patterns5):
+    plan = materialize(decompose(nodes))
+    _check(pattern_loglik(patterns, plan.filter("tree_id < 2"), taxa, reuse=True), GOLDEN)
+    small = dict(strategy="grid", chunk_components=10, block_cells=8, reuse=True)
+    _check(pattern_loglik(patterns5, plan.filter("tree_id >= 2"), taxa, **small), GOLDEN5)
+    tree = load_plans(plan_with_taxa(plan.filter("tree_id = 3"), taxa), JukesCantor())[3]
+    codes = np.random.default_rng(3).integers(0, 4, (20_000, 5))
+    values, merged = tree.loglik_shared(codes)
+    assert np.allclose(values, tree.loglik(codes), rtol=0, atol=1e-12)
+    assert merged < len(codes) * len(tree.order) / 10
 
 
 def test_kernels_against_plain_loops():

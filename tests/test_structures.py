@@ -161,6 +161,52 @@ def test_phylip(spark, tmp_path):
             read_phylip(spark, str(p)).collect()
 
 
+def test_checks_survive_pruned_columns(spark, tmp_path):
+    bad = spark.createDataFrame([(0, "((A,B);")], "tree_id bigint, newick string")
+    with pytest.raises(Exception, match="malformed"):
+        X.parse_newick(bad).groupBy("tree_id").count().collect()
+    with pytest.raises(Exception, match="not in the alignment"):
+        taxa = spark.createDataFrame([(0, "A")], "taxon_id bigint, taxon string")
+        X.attach_taxa(parse(spark, "(A,Q);"), taxa).count()
+    (tmp_path / "short.phy").write_text("3 4\na ACGT\nb ACGT\n")
+    with pytest.raises(Exception, match="fewer"):
+        read_phylip(spark, str(tmp_path / "short.phy")).select("taxon_id").count()
+    (tmp_path / "long.phy").write_text("1 4\na ACGTA\n")
+    with pytest.raises(Exception, match="wrong length"):
+        read_phylip(spark, str(tmp_path / "long.phy")).count()
+
+
+def test_phylip_keeps_rows_when_the_split_size_changes(spark, tmp_path):
+    lines = "".join(f"taxon{k}\n{'ACGT' * 5}\n" for k in range(400))
+    (tmp_path / "many.phy").write_text("400 20\n" + lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = read_phylip(spark, str(tmp_path / "many.phy"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.taxon_id, r.taxon) for r in rows.orderBy("taxon_id").collect()] == [
+        (k, f"taxon{k}") for k in range(400)]
+
+
+def test_siblings_and_heights(spark):
+    nodes = parse(spark, "(A:1,(B:1,C:1):1,D:1);")
+    at = nodes.filter("label = 'A'").select("tree_id", "node_id")
+    new = at.select("tree_id", F.col("node_id").alias("after"), F.lit(90).cast("bigint").alias("node_id"),
+                    F.lit("N").alias("label"), F.lit("").alias("meta"), F.lit(2.0).alias("length"),
+                    F.lit(True).alias("is_leaf"))
+    plain = nodes.drop("depth", "pre", "post")
+    grown = X.to_newick(O.number_nodes(O.insert_siblings(plain, new))).first().newick
+    assert grown == "(A:1.0,N:2.0,(B:1.0,C:1.0):1.0,D:1.0):0.0"
+    hung = X.to_newick(O.number_nodes(O.graft_siblings(plain, parse(spark, "(X:1,Y:1);").drop("depth", "pre", "post"), at)))
+    assert hung.first().newick == "(A:1.0,(X:1.0,Y:1.0):0.0,(B:1.0,C:1.0):1.0,D:1.0):0.0"
+    with pytest.raises(Exception, match="root"):
+        O.graft_siblings(plain, plain, nodes.filter("parent_id is null"))
+    deep = parse(spark, "((((A:1,B:1):1,C:1):1,D:1):1,E:1);")
+    heights = {r.node_id: r.edge_height for r in O.node_heights(O.root_distances(deep)).collect()}
+    assert sorted(heights.values()) == [0, 0, 0, 0, 0, 1, 2, 3, 4]
+
+
 def test_resolve_shapes(spark):
     nodes = parse(spark, "(A:1,B:2,C:3,D:4,E:5);", "(((A:1):2):3,(B:1,C:1,D:1):1);", "((((A:1,B:1):1):1):1);")
     out = {r.tree_id: r.newick for r in X.to_newick(O.resolve(nodes)).collect()}
