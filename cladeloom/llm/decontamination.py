@@ -11,7 +11,8 @@ the sum of the larger counts.
 
 Defined results: null and empty texts and items hold nothing; an item of fewer
 than five words has its whole word sequence as its only shingle; rows of one id
-(null is an id, too) count as one document; repeated items are reported once
+(null is an id, too) count as one document in ``search``, while ``clean`` removes
+only the rows that hold an item themselves; repeated items are reported once
 each id; without rows or items there are no hits; columns besides those named
 are ignored.
 """
@@ -81,40 +82,44 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return found.select("item_id", "n", "k", cases.alias("hashes")).distinct()
 
 
+def digest() -> Column:
+    """With ``doc_id`` the key of a row; equal rows share it and their result."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
 def _windows(docs: DataFrame, items: DataFrame, ks: list[int]) -> DataFrame:
-    """(doc_id, k, n, start): item-sized windows that share a placed shingle with an item."""
+    """(doc_id, digest, k, n, start): item-sized windows that share a placed shingle with an item."""
     places = items.select("k", "n", F.posexplode("hashes").alias("offset", "h")).distinct()
     places = materialize(places, "benchmark_shingles")
     if metric(places) <= MAX_BROADCAST_ROWS:
         places = F.broadcast(places)
-    words = docs.select("doc_id", words_of(text_or_empty()).alias("words"))
-    per_k = [words.select("doc_id", F.lit(k).alias("k"), F.posexplode(shingle_hashes("words", k)).alias("pos", "h"))
+    words = docs.select("doc_id", digest().alias("digest"), words_of(text_or_empty()).alias("words"))
+    per_k = [words.select("doc_id", "digest", F.lit(k).alias("k"), F.posexplode(shingle_hashes("words", k)).alias("pos", "h"))
              for k in ks]
     anchored = reduce(DataFrame.unionByName, per_k).join(places, ["k", "h"])
     start = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
-    return anchored.select("doc_id", "k", "n", start.alias("start")).distinct()
+    return anchored.select("doc_id", "digest", "k", "n", start.alias("start")).distinct()
 
 
-def search(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
-) -> DataFrame:
-    """(doc_id, item_id, similarity, start): the best window of each document and item found in it."""
+def _hits(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(doc_id, digest, item_id, similarity, start) of all windows that hold an item."""
     items = materialize(items_of(benchmark), "benchmark_items")
     ks = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]
     if not ks:
-        return docs.select("doc_id", F.lit(None).cast("bigint").alias("item_id"),
+        return docs.select("doc_id", digest().alias("digest"), F.lit(None).cast("bigint").alias("item_id"),
                            F.lit(0.0).alias("similarity"), F.lit(0).alias("start")).limit(0)
     found = materialize(_windows(docs, items, ks), "anchored_windows")
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("k", "n", "start")).alias("spans"))
-    texts = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text"))
-    placed = texts.join(spans, F.col("_id").eqNullSafe(F.col("doc_id"))).select(
-        "doc_id", words_of(F.col("text")).alias("words"), F.explode("spans").alias("s"))
+    spans = found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("k", "n", "start")).alias("spans"))
+    texts = docs.select(F.col("doc_id").alias("_id"), digest().alias("_digest"), text_or_empty().alias("text"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+    placed = texts.join(spans, same).select(
+        "doc_id", "digest", words_of(F.col("text")).alias("words"), F.explode("spans").alias("s"))
     window = F.slice("words", F.col("s.start") + 1, F.col("s.n"))
-    windows = placed.select("doc_id", "s.*", window.alias("w"))
+    windows = placed.select("doc_id", "digest", "s.*", window.alias("w"))
     hashes = F.coalesce(*[F.when(F.col("k") == k, shingle_hashes("w", k)) for k in ks])
     windows = materialize(
-        windows.select("doc_id", "k", "n", "start", hashes.alias("hashes")).filter(F.size("hashes") > 0)
-        .distinct().withColumn("id", F.xxhash64("doc_id", "k", "n", "start", "hashes")), "windows")
+        windows.select("doc_id", "digest", "k", "n", "start", hashes.alias("hashes")).filter(F.size("hashes") > 0)
+        .distinct().withColumn("id", F.xxhash64("doc_id", "digest", "k", "n", "start", "hashes")), "windows")
 
     window_prints = simhash(windows, ["id", "k", "n"], "hashes")
     item_prints = simhash(items.withColumn("id", F.xxhash64("item_id", "k", "n", "hashes")), ["id", "k", "n"], "hashes")
@@ -128,12 +133,22 @@ def search(
     )
     known = items.select(F.xxhash64("item_id", "k", "n", "hashes").alias("item"), "item_id",
                          numbered(F.col("hashes")).alias("theirs"))
-    pairs = near.join(windows.select("id", "doc_id", "start", "hashes"), "id").join(known, "item")
+    pairs = near.join(windows.select("id", "doc_id", "digest", "start", "hashes"), "id").join(known, "item")
     shared = F.size(F.array_intersect("ours", "theirs"))
     return (
         pairs.withColumn("ours", numbered(F.col("hashes")))
         .withColumn("similarity", shared / (F.size("ours") + F.size("theirs") - shared))
         .filter(F.col("similarity") >= similarity)
+        .select("doc_id", "digest", "item_id", "similarity", "start")
+    )
+
+
+def search(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """(doc_id, item_id, similarity, start): the best window of each document and item found in it."""
+    return (
+        _hits(docs, benchmark, similarity, radius)
         .groupBy("doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("start"))
     )
@@ -141,5 +156,7 @@ def search(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark item in them."""
-    hits = search(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hits = _hits(docs, benchmark, SIMILARITY, RADIUS)
+    hits = hits.select(F.col("doc_id").alias("_hit"), F.col("digest").alias("_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (digest() == F.col("_digest"))
+    return docs.join(hits, same, "left_anti")

@@ -376,6 +376,17 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontamination.search(made, items).collect()} == {1}
 
 
+def test_clean_keeps_other_rows_of_an_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, f"so {item} so"), (None, "clean without an id"), (None, None), (7, item), (7, "clean seven"),
+            (7, item), (8, "clean eight")]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in decontamination.clean(given, bench).collect())
+    assert kept == Counter(r for r in rows if item not in (r[1] or ""))
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.search(given, bench).collect()} == {(None, 1), (7, 1)}
+
+
 def test_chat_masks(spark):
     rows = [(1, 0, "system", "be ~nice~"), (1, 1, "user", "a\n<b>"), (1, 2, "assistant", "</s>[INST] "), (1, 3, "user", None),
             (1, 4, "assistant", "ok"), (1, 5, "us\ner", "late"), (2, None, None, None), (None, 0, "assistant", "x"), (2, None, None, None)]
