@@ -34,10 +34,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from cladeloom.llm.common import text_or_empty
 from cladeloom.llm.components import components
@@ -440,8 +442,8 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(joined.select("node", F.coalesce("last", "root").alias("root")), "components")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, key) of ``docs``, and classes (key, doc_id, root) with their least id."""
     described = materialize(describe(docs), "described")
     listed = described.filter("h IS NULL").select("doc_id", "n", "key")
     common = common_shingles(described)
@@ -465,7 +467,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     rooted = firsts.join(roots, F.col("key") == F.col("node"), "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    return listed, materialize(rooted, "rooted")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    listed, rooted = _linked(docs)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = rooted.join(least, "root").select("key", "component_id")
     return listed.join(of_class, "key", "left").select(
@@ -475,16 +482,36 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(BinaryType())
+def class_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: class_key(shingles(t)))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest id, with its columns.
+    """One row of each group of linked rows, that of the smallest id and key, with its columns.
 
-    Rows without an id stay; of rows with one id the first by text stays.
+    Rows without an id stay. Rows without shingles are linked with nothing; of those
+    with one id one stays. Of rows with the same id and set the first by text stays,
+    a null text last. Only rows of repeated ids need their key again.
     """
-    kept = join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    single = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order))
-    single = single.filter("_row = 1").drop("_row").select(*docs.columns)
-    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    listed, rooted = _linked(docs)
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("s")).select("s.*")
+    empty = listed.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
+    kept = materialize(first.unionByName(empty), "kept")
+    ids = listed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    ids = materialize(ids, "repeated_ids")
+    small = F.broadcast(ids) if metric(ids) <= MAX_BROADCAST_ROWS else ids
+    whole = docs.join(kept.join(small, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    whole = whole.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    if not metric(ids):
+        return whole
+    chosen = kept.join(small, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    rows = docs.join(small, "doc_id", "left_semi").select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), text_or_empty().alias("_text"),
+        F.col("text").isNull().alias("_null"))
+    rows = rows.withColumn("_key", class_of("_text")).join(chosen, ["_id", "_key"], "left_semi")
+    single = rows.groupBy("_id", "_key").agg(F.min_by("_row", F.struct("_null", "_text")).alias("_row"))
+    return whole.unionByName(single.select("_row.*"))
 
 
 SQL = r"""

@@ -202,6 +202,15 @@ def test_ngram_join_dense_groups(spark, monkeypatch, tile, run, batch):
     assert got == brute_components(texts)
 
 
+def test_keep_first_of_repeated_ids(spark):
+    copied, other, third = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    rows = [(3, copied), (5, copied), (5, other), (5, None), (6, third), (6, third.upper()), (6, other), (7, ""), (7, ""),
+            (None, copied)]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(
+        [(3, copied), (5, other), (5, None), (6, third.upper()), (7, ""), (None, copied)])
+
+
 def test_bitmaps_bound_the_overlap():
     random = np.random.default_rng(2)
     for _ in range(200):
