@@ -41,8 +41,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "credential": r"(?i)(?<![a-z])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_/+-]{8,128}+\"?",
-    "number": r"(?:\G|(?<![0-9]))[0-9](?:[\x20./()-]?[0-9]){6,18}+(?![0-9])",
+    "credential": r"(?i)(?<![a-z])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_/+.=~-]{8,}+\"?",
+    "number": r"(?:\G|(?<![0-9]))[0-9](?:[\x20./()-]?[0-9]){6,}+(?![0-9])",
 }
 
 # Common endings of mail hosts, calling codes and words that announce a value.

@@ -370,6 +370,14 @@ def test_redaction_leaves_no_span(spark):
     assert row["text"] == "write to <EMAIL> or call <PHONE> now" and row["_n"] == 3
 
 
+def test_long_secrets_are_masked_whole(spark):
+    values = ["Ab1_" * 75, "eyJhbGciOiJI.eyJzdWIi~MTIz.c2ln==", "Ab1." * 50_000]
+    texts = [f"login token: {v} end" for v in values] + ["number " + "12 34" * 20 + " end", "number " + "7" * 100_000 + " end"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["text"] for r in pii.redact(given, pii.SpanModel(bias=1.0)).orderBy("doc_id").collect()]
+    assert got == ["login <CREDENTIAL> end"] * 3 + ["number <NUMBER> end"] * 2
+
+
 def test_decontamination(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
