@@ -102,6 +102,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def sized_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions of about ``bytes_each`` by the optimizer's estimate of the size of ``df``.
+
+    At least the session's number, so small tables keep all cores busy.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    rows = known_rows(df)
+    if size >= 1 << 62 and rows is not None:  # an estimate the optimizer could not make
+        size = rows * 128
+    return max(least, min(1 << 17, -(-size // bytes_each)))
+
+
 def metric(stored: DataFrame, name: str = "rows") -> int:
     """A number observed while ``materialize`` wrote the table."""
     return stored._cladeloom_metrics[name]
