@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cladeloom.llm import (
     chat,
     decontamination,
     fingerprints,
     licenses,
+    merkle,
     ngram_join,
     packing,
     pii,
     quality,
     token_counts,
+    token_files,
     toxicity,
 )
 from cladeloom.llm.common import table
@@ -79,6 +82,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.proofs(merkle.build(docs, merkle.tampered(), merkle.folded_text()))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    stored = token_files.read_documents(token_files.write_files(table(spark, sf_dir, "documents"), path))
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _shipped(run):
     def with_package(spark, sf_dir):
         ship_package(spark)
@@ -100,5 +114,7 @@ QUERIES = {
         ("op8_licenses", op8_licenses, licenses.SQL),
         ("op9_chat_format", op9_chat_format, chat.SQL),
         ("op10_toxicity", op10_toxicity, None),
+        ("op12_merkle", op12_merkle, merkle.SQL),
+        ("op13_token_files", op13_token_files, None),
     ]
 }
