@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.llm import (
     chat,
+    collocations,
     decontamination,
     fingerprints,
     licenses,
@@ -82,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.proofs(merkle.build(docs, merkle.tampered(), merkle.folded_text()))
@@ -114,6 +119,7 @@ QUERIES = {
         ("op8_licenses", op8_licenses, licenses.SQL),
         ("op9_chat_format", op9_chat_format, chat.SQL),
         ("op10_toxicity", op10_toxicity, None),
+        ("op11_collocations", op11_collocations, collocations.SQL),
         ("op12_merkle", op12_merkle, merkle.SQL),
         ("op13_token_files", op13_token_files, None),
     ]
