@@ -44,6 +44,17 @@ class Automaton:
         for label, target in zip(labels, targets):
             yield from self.phrases(target, (*before, label))
 
+    def below(self, state: int) -> Automaton:
+        """What follows the phrase of ``state``, as an automaton of its own."""
+        wanted, queue = {state}, [state]
+        while queue:
+            fresh = set(self.states[queue.pop()][2]) - wanted
+            wanted |= fresh
+            queue.extend(fresh)
+        place = {old: new for new, old in enumerate(sorted(wanted))}
+        return Automaton([(w, labels, tuple(place[t] for t in targets))
+                          for w, labels, targets in (self.states[s] for s in place)])
+
     def pack(self) -> bytes:
         """Words cannot hold line ends, which separate them here."""
         weights = np.array([s[0] for s in self.states], "<i8")

@@ -1,8 +1,10 @@
 """Phrase collocations from weighted acyclic automata.
 
-Shards count their n-grams into automata, one per language and first word, built
-from sorted n-grams. The automata of a range of first words meet in one task, which
-sums their weights, in two steps: of 64 shards at a time, then of all. Three
+Shards count their n-grams into automata, one per language and range of first words,
+built from sorted n-grams. The automata of a range meet in one task, which sums their
+weights, in two steps: of 64 shards at a time, then of all. Ranges are of the hash of
+the first word, which makes them even; those of a word with more than ``RANGE``
+occurrences are divided by the second word. Three
 passes keep the tables small without losing a count: only words that occur often
 enough can be in a phrase that does, and only pairs of words that do in a longer
 one. Which words and pairs do is sent to the shards as a bitmap of hashes of
@@ -18,14 +20,15 @@ same composition.
 Defined results: a null text is empty; a null language is ``und``; repeated
 rows count repeatedly; ids do not matter; languages without candidates have no
 rows; an empty table gives none; columns besides ``lang`` and ``text`` are ignored.
-Memory of a task: ``CHUNK`` words and their distinct ones, or the union of one first
-word.
+Memory of a task: ``CHUNK`` words and their distinct ones, or the phrases of one range.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ LONGEST = 5
 TOP = 2000
 CHUNK = 1 << 22
 SHARDS = 64
+RANGE = 1 << 21
+LEAST_RANGES, MOST_RANGES = 128, 1 << 20
 SPLIT = 16
 MAX_BITS = 28
 UNKNOWN = "und"
@@ -114,18 +119,34 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 Windows = tuple[np.ndarray, np.ndarray]
-_TABLE = "lang string, head string, shard int, data binary"
 
 
-def _shards(docs: DataFrame, words: np.ndarray, first: int, windows: Callable[[np.ndarray, np.ndarray, np.ndarray], Windows]) -> DataFrame:
-    """(lang, head, shard, data): what follows each first word in a shard, as automata.
+@dataclass(frozen=True)
+class Ranges:
+    """How n-grams are dealt: ``count`` ranges of first words, and parts of those of frequent words."""
+
+    count: int
+    parts: dict[tuple[str, bytes], int]
+
+    @staticmethod
+    def of(frequent: DataFrame, total: int) -> Ranges:
+        """About ``RANGE`` occurrences of first words in a range; no more frequent words than that can be."""
+        each = max(RANGE, -(-total // MOST_RANGES))
+        hot = frequent.filter(F.col("total") > each).collect()
+        return Ranges(max(LEAST_RANGES, -(-total // each)),
+                      {(r["lang"], r["word"].encode()): -(-r["total"] // each) for r in hot})
+
+
+def _shards(docs: DataFrame, words: np.ndarray, ranges: Ranges, first: int,
+            windows: Callable[[np.ndarray, np.ndarray, np.ndarray], Windows]) -> DataFrame:
+    """(lang, range, shard, data): the n-grams of a shard in a range, as automata.
 
     ``windows(ids, fit, hashes)`` tells the places of n-grams and their numbers of
     words; the prefixes of ``first`` words or more are counted. ``fit`` tells which ids
     are words that ``words`` has.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(words)
+    shared = context.broadcast((words, ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() // SHARDS
@@ -150,93 +171,110 @@ def _shards(docs: DataFrame, words: np.ndarray, first: int, windows: Callable[[n
     def told(held: dict, shard: int) -> Iterator[pa.RecordBatch]:
         for lang in list(held):
             known, parts = held.pop(lang)
-            rows = list(counted(lang, list(known), np.concatenate(parts)))
-            if rows:
-                heads, data = zip(*rows)
+            for place, data in counted(lang, list(known), np.concatenate(parts)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(rows)), pa.array(heads, pa.binary()).cast(pa.string()),
-                     pa.array([shard] * len(rows), pa.int32()), pa.array(data, pa.binary())],
-                    names=["lang", "head", "shard", "data"])
+                    [pa.array([lang]), pa.array([place], pa.int64()), pa.array([shard], pa.int32()), pa.array([data], pa.binary())],
+                    names=["lang", "range", "shard", "data"])
 
-    def counted(lang: str, names: list[bytes], ids: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    def counted(lang: str, names: list[bytes], ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        bits, dealt = shared.value
         hashes = np.fromiter((word_hash(lang, w) for w in names), np.uint64, len(names))
-        fit = has(shared.value, hashes)
+        fit = has(bits, hashes)
         fit[0] = False
         ascending = sorted(np.flatnonzero(fit).tolist(), key=names.__getitem__)
+        words = [names[k] for k in ascending]
         rank = np.full(len(names), -1, np.int32)
-        rank[ascending] = np.arange(len(ascending), dtype=np.int32)
+        rank[ascending] = np.arange(len(words), dtype=np.int32)
         at, length = windows(ids, fit, hashes)
         if not len(at):
             return
         longest = int(length.max())
         padded = np.append(rank[ids], np.full(longest, -1, np.int32))
         columns = [np.where(length > k, padded[at + k], -1) for k in range(longest)]
-        columns = [c[order] for order in [np.lexsort(columns[::-1])] for c in columns]
+        parts = np.fromiter((dealt.parts.get((lang, w), 1) for w in words), np.uint64, len(words))
+        ordered = hashes[ascending]
+        place = (ordered % np.uint64(dealt.count) << np.uint64(32))[columns[0]] + ordered[columns[1]] % parts[columns[0]]
+        columns = [place.astype(np.int64), *columns]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
         new = np.ones(len(at), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
         starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(at))).tolist()
-        columns = [c[starts] for c in columns]
-        heads = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])).tolist()
-        words = [names[k] for k in ascending]
-        rows = list(zip(*(c.tolist() for c in columns[1:])))
-        for lo, hi in zip(heads, [*heads[1:], len(rows)]):
+        place, *columns = [c[starts] for c in columns]
+        edges = np.flatnonzero(np.append(True, place[1:] != place[:-1])).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(place)]):
             builder = Builder()
-            for row, count in zip(rows[lo:hi], counts[lo:hi]):
-                builder.add(tuple([words[k] for k in row if k >= 0]), count, first - 1)
-            yield words[columns[0][lo]], builder.finish().pack()
+            for row, count in zip(zip(*(c[lo:hi].tolist() for c in columns)), counts[lo:hi]):
+                builder.add(tuple([words[k] for k in row if k >= 0]), count, first)
+            yield int(place[lo]), builder.finish().pack()
+
+    return _rows(docs).mapInArrow(run, "lang string, range bigint, shard int, data binary")
+
+
+def _by_key(rows: DataFrame, keys: list[str], columns: list[str], run: Callable, schema: str) -> DataFrame:
+    """``run(key, rows)`` over the rows of each key, as tuples of ``columns``; what it yields are rows of ``schema``."""
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(),
+             "array<bigint>": pa.list_(pa.int64())}
+    fields = [part.split() for part in schema.split(", ")]
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out, size = [], 0
+        for key, group in groupby(given, key=lambda row: row[:len(keys)]):
+            for row in run(key, (row[len(keys):] for row in group)):
+                out.append(row)
+                size += sum(len(v) for v in row if isinstance(v, bytes))
+                if len(out) >= 1000 or size > 1 << 24:
+                    yield listed(out)
+                    out, size = [], 0
+        if out:
+            yield listed(out)
 
-    return _rows(docs).mapInArrow(run, _TABLE)
+    def listed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out), fields)],
+                                          names=[name for name, _ in fields])
 
+    order = [*keys, *[F.col(c).asc_nulls_first() for c in columns if c != "data"]]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*order).select(*keys, *columns)
+    return dealt.mapInArrow(batched, schema)
 
-def _united(rows: DataFrame, keys: list[str], least: int = 0, ranges: bool = False) -> DataFrame:
-    """One automaton per ``keys`` (lang, head and perhaps shard), without states below ``least``; h: hashes of its pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, out = None, [], 0, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if held:
-                        out.append((*key, *told(key, held)))
-                    key, held = row[:3], []
-                    if len(out) >= 500 or size > 1 << 24:
-                        yield listed(out)
-                        out, size = [], 0
-                held.append(row[3])
-                size += len(row[3])
-                if len(held) == SHARDS:
-                    held = [union([Automaton.unpack(d) for d in held]).pack()]
-        if held:
-            out.append((*key, *told(key, held)))
-        yield listed(out)
-
-    def told(key: tuple, held: list[bytes]) -> tuple[bytes | None, list[int]]:
-        if not least:
-            return held[0] if len(held) == 1 else union([Automaton.unpack(d) for d in held]).pack(), []
-        found = pruned(union([Automaton.unpack(d) for d in held]), least)
-        _, labels, targets = found.states[-1]
-        pairs = [w for w, t in zip(labels, targets) if found.states[t][0] >= least]
-        ends = np.fromiter((word_hash(key[0], w) for w in pairs), np.uint64, len(pairs))
-        both = pair_hash(np.uint64(word_hash(key[0], key[1].encode())), ends)
-        return (found.pack() if labels else None), both.view(np.int64).tolist()
-
-    def listed(rows: list) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                          names=["lang", "head", "shard", "data", "h"])
-
-    dealt = rows.repartitionByRange(*keys) if ranges else rows.repartition(*keys)
-    given = dealt.sortWithinPartitions(*keys).select("lang", "head", F.lit(0).alias("shard") if "shard" not in keys else "shard", "data")
-    return given.mapInArrow(run, _TABLE + ", h array<bigint>").filter("data IS NOT NULL")
+def _summed(rows: Iterator[tuple[bytes]]) -> Automaton:
+    """The union of packed automata, of which a bounded number is unpacked at a time."""
+    held = []
+    for (data,) in rows:
+        held.append(Automaton.unpack(data))
+        if len(held) == SHARDS:
+            held = [union(held)]
+    return union(held)
 
 
 def _frequent(shards: DataFrame, least: int, name: str) -> DataFrame:
-    """(lang, head, data, h): automata over all shards of what follows a first word at least ``least`` times."""
-    by_shard = _united(shards, ["lang", "head", "shard"]).select("lang", "head", "shard", "data")
-    whole = _united(by_shard, ["lang", "head"], least, ranges=True)
-    return materialize(whole.select("lang", "head", "data", "h"), name, pairs=F.sum(F.size("h")))
+    """(lang, head, data, h): over all shards, what follows a first word at least ``least`` times.
+
+    ``h`` has the hashes of the pairs of ``head`` and a second word. The words of a
+    divided range come in several rows.
+    """
+
+    def some(key: tuple, rows: Iterator[tuple[bytes]]) -> Iterator[tuple]:
+        first = next(rows)
+        second = next(rows, None)  # most often a shard has one row, which passes as it is
+        yield (*key, first[0] if second is None else _summed(chain([first, second], rows)).pack())
+
+    def whole(key: tuple, rows: Iterator[tuple[bytes]]) -> Iterator[tuple]:
+        lang = key[0]
+        found = pruned(_summed(rows), least)
+        for head, state in found.arcs(found.root).items():
+            following = found.below(state)
+            pairs = [w for w, t in following.arcs(following.root).items() if following.states[t][0] >= least]
+            ends = np.fromiter((word_hash(lang, w) for w in pairs), np.uint64, len(pairs))
+            both = pair_hash(np.uint64(word_hash(lang, head)), ends)
+            yield lang, head.decode(), following.pack(), both.view(np.int64).tolist()
+
+    by_shard = _by_key(shards, ["lang", "range", "shard"], ["data"], some, "lang string, range bigint, shard int, data binary")
+    found = _by_key(by_shard, ["lang", "range"], ["data"], whole, "lang string, head string, data binary, h array<bigint>")
+    return materialize(found, name, pairs=F.sum(F.size("h")))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -249,15 +287,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     context = docs.sparkSession.sparkContext
     counted = materialize(count_words(docs), "words")
     totals = materialize(counted.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
-    frequent = materialize(counted.filter(F.col("total") >= least), "frequent_words")
+    frequent = materialize(counted.filter(F.col("total") >= least), "frequent_words", occurrences=F.sum("total"))
     words = bitmap(frequent.select(F.xxhash64("lang", "word").alias("h")), metric(frequent))
+    ranges = Ranges.of(frequent, metric(frequent, "occurrences") or 0)
 
     def pairs_at(ids: np.ndarray, fit: np.ndarray, hashes: np.ndarray) -> Windows:
         ok = fit[ids]
         at = np.flatnonzero(ok[:-1] & ok[1:])
         return at, np.full(len(at), 2)
 
-    pairs = _frequent(_shards(docs, words, 2, pairs_at), least, "pairs")
+    pairs = _frequent(_shards(docs, words, ranges, 2, pairs_at), least, "pairs")
     shared = context.broadcast(bitmap(pairs.select(F.explode("h").alias("h")), metric(pairs, "pairs") or 0))
 
     def longer_at(ids: np.ndarray, fit: np.ndarray, hashes: np.ndarray) -> Windows:
@@ -274,25 +313,22 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
 
     tables = [pairs.select("lang", "head", "data")]
     if longest > 2:
-        tables.append(_frequent(_shards(docs, words, 3, longer_at), least, "phrases").select("lang", "head", "data"))
+        tables.append(_frequent(_shards(docs, words, ranges, 3, longer_at), least, "phrases").select("lang", "head", "data"))
     return materialize(_rooted(frequent, tables), "phrase_counts"), totals
 
 
 def _rooted(frequent: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """The sum of the tables, with the count of the first word at each root; words without followers included."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for total, *parts in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                root = Automaton([(total, (), ())])
-                out.append(union([root, *[Automaton.unpack(p) for p in parts if p is not None]]).pack())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["lang", "head", "data"])
+    def summed(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        parts = [Automaton([(total, (), ())]) if data is None else Automaton.unpack(data) for total, data in rows]
+        yield (*key, union(parts).pack())
 
-    joined = frequent.select("lang", F.col("word").alias("head"), "total")
-    for k, table in enumerate(tables):
-        joined = joined.join(table.withColumnRenamed("data", f"data{k}"), ["lang", "head"], "left")
-    return joined.mapInArrow(run, "lang string, head string, data binary")
+    none = F.lit(None)
+    rows = frequent.select("lang", F.col("word").alias("head"), "total", none.cast("binary").alias("data"))
+    for table in tables:
+        rows = rows.unionByName(table.withColumn("total", none.cast("bigint")))
+    return _by_key(rows, ["lang", "head"], ["total", "data"], summed, "lang string, head string, data binary")
 
 
 def _queries(counts: DataFrame) -> DataFrame:
@@ -421,7 +457,7 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> D
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                           names=["lang", "phrase", "a", "l", "r", "n", "score"])
 
-    together = own.unionByName(sent).repartitionByRange("lang", "head").sortWithinPartitions("lang", "head", "kind", "other")
+    together = own.unionByName(sent).repartition("lang", "head").sortWithinPartitions("lang", "head", "kind", "other")
     return together.select("lang", "head", "n", "other", "data", "kind").mapInArrow(
         run, "lang string, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
 
