@@ -9,8 +9,10 @@ other character, whose class may depend on the version of Unicode, go there whol
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
+from functools import lru_cache
 
 PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-ɏ‐-‧]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -22,6 +24,7 @@ class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
@@ -59,5 +62,11 @@ class Encoder:
         return ids
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker process, with what it has met so far."""
+    return Encoder(path)
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()

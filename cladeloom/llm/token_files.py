@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeloom.llm.byte_bpe import Encoder
+from cladeloom.llm.byte_bpe import encoder_of
 from cladeloom.llm.common import text_or_empty
 from cladeloom.session import materialize, metric, scratch_path, sized_partitions
 
@@ -180,7 +180,7 @@ def write_files(
     store.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         schema = sequence_schema(length, encoder.size)
         part, number, writer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
