@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,20 @@ def fill(counts: list[int], capacity: int) -> list[tuple[int, int]]:
     return chosen
 
 
+class Piece(NamedTuple):
+    """Ids of a document from ``start`` on; a waiting piece holds no ids but its own."""
+
+    doc_id: int | None
+    start: int
+    ids: np.ndarray
+    total: int
+
+    def split(self, size: int) -> tuple[Piece, Piece | None]:
+        if size >= len(self.ids):
+            return self, None
+        return self._replace(ids=self.ids[:size]), self._replace(start=self.start + size, ids=self.ids[size:].copy())
+
+
 class Packer:
     """Turns documents into pieces, each a place in one sequence."""
 
@@ -76,7 +91,7 @@ class Packer:
         self.capacity = capacity
         self.buffer = buffer
         self.counts = [0] * (capacity + 1)
-        self.waiting: list[list] = [[] for _ in range(capacity + 1)]
+        self.waiting: list[list[Piece]] = [[] for _ in range(capacity + 1)]
         self.total = 0
         self.longest = 0
         self.pieces: list[tuple] = []
@@ -84,9 +99,9 @@ class Packer:
     def add(self, doc_id, ids: np.ndarray) -> None:
         whole = len(ids) - len(ids) % self.capacity
         for start in range(0, whole, self.capacity):
-            self._emit([(doc_id, ids, start, self.capacity)])
+            self._emit([Piece(doc_id, start, ids[start:start + self.capacity], len(ids))])
         if whole < len(ids):
-            self._wait((doc_id, ids, whole, len(ids) - whole))
+            self._wait(Piece(doc_id, whole, ids[whole:].copy(), len(ids)))
         if self.total >= self.buffer:
             self._pack()
 
@@ -100,30 +115,29 @@ class Packer:
                 self._emit(self._cut(rest, size))
             size >>= 1
 
-    def _cut(self, rest: list, size: int) -> list:
+    def _cut(self, rest: list[Piece], size: int) -> list[Piece]:
         taken = []
         while size:
-            doc_id, ids, start, length = rest.pop(0)
-            part = min(length, size)
-            taken.append((doc_id, ids, start, part))
-            if part < length:
-                rest.insert(0, (doc_id, ids, start + part, length - part))
-            size -= part
+            head, tail = rest.pop(0).split(size)
+            taken.append(head)
+            if tail is not None:
+                rest.insert(0, tail)
+            size -= len(head.ids)
         return taken
 
-    def _wait(self, piece: tuple) -> None:
-        length = piece[3]
+    def _wait(self, piece: Piece) -> None:
+        length = len(piece.ids)
         self.counts[length] += 1
         self.waiting[length].append(piece)
         self.total += length
         self.longest = max(self.longest, length)
 
-    def _take(self, length: int) -> tuple:
+    def _take(self, length: int) -> Piece:
         self.counts[length] -= 1
         self.total -= length
         return self.waiting[length].pop()
 
-    def _take_longest(self) -> tuple:
+    def _take_longest(self) -> Piece:
         while not self.counts[self.longest]:
             self.longest -= 1
         return self._take(self.longest)
@@ -131,22 +145,21 @@ class Packer:
     def _pack(self) -> None:
         while self.total >= self.capacity:
             chosen = [self._take_longest()]
-            room = self.capacity - chosen[0][3]
+            room = self.capacity - len(chosen[0].ids)
             for length, copies in fill(self.counts, room):
                 chosen.extend(self._take(length) for _ in range(copies))
                 room -= length * copies
             if room:
-                doc_id, ids, start, length = self._take_longest()
-                chosen.append((doc_id, ids, start, room))
-                self._wait((doc_id, ids, start + room, length - room))
+                head, tail = self._take_longest().split(room)
+                chosen.append(head)
+                self._wait(tail)
             self._emit(chosen)
 
-    def _emit(self, chosen: list) -> None:
+    def _emit(self, chosen: list[Piece]) -> None:
         offset = 0
-        for doc_id, ids, start, length in chosen:
-            part = ids[start:start + length].astype("<u4").tobytes()
-            self.pieces.append((doc_id, start, length, part, len(ids), self.next_sequence, offset))
-            offset += length
+        for doc_id, start, ids, total in chosen:
+            self.pieces.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, self.next_sequence, offset))
+            offset += len(ids)
         self.next_sequence += 1
 
     def drain(self) -> pa.RecordBatch:
