@@ -28,6 +28,7 @@ from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LONG = " ".join(f"w{i % 977} ab{i % 13}." for i in range(20_000))
 HARD = [
@@ -66,12 +67,11 @@ def operators(spark):
     bench = spark.createDataFrame([(1, "same text that is said more than once today"), (2, None), (3, "a b")],
                                   "item_id bigint, text string")
     no_labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    tokens = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, queries.SPECIALS)
     return {
         "fingerprints": fingerprints.neighbours,
         "ngram_join": ngram_join.join,
         "keep_first": ngram_join.keep_first,
-        "packing": lambda d: packing.digest(packing.pack_documents(d, *tokens)),
+        "packing": lambda d: packing.digest(packing.pack_documents(d, BPE)),
         "quality": lambda d: quality.score(d, quality.fit(d, no_labels)),
         "decontamination": lambda d: decontamination.search(d, bench),
         "clean": lambda d: decontamination.clean(d, bench),
@@ -236,8 +236,7 @@ def test_packing_round_trip(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     extra = spark.createDataFrame([(-1, "x <|endoftext|> y", "", "", 1), (-2, None, "", "", 0)], DOC)
     given = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra)
-    tokens = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, queries.SPECIALS)
-    pieces = packing.pack_documents(given, *tokens)
+    pieces = packing.pack_documents(given, BPE)
     rows, digests = pieces.collect(), {(r["doc_id"], r["start"]): r for r in packing.digest(pieces).collect()}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -418,3 +417,13 @@ def test_chat_masks(spark):
     assert back[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
     assert back[1]["loss_sha256"] == hashlib.sha256(b"</s>[INST] ok").hexdigest()
     assert chat.format_examples(turns.limit(0)).collect() == []
+
+
+def test_waiting_pieces_hold_only_their_ids():
+    packer = packing.Packer(0)
+    for k in range(20_000):
+        packer.add(k, np.arange(2049, dtype="<u4"))
+        packer.pieces.clear()
+    held = [p.ids for row in packer.waiting for p in row]
+    assert sum(len(i) for i in held) == packer.total
+    assert sum((i if i.base is None else i.base).nbytes for i in held) < 20_000_000
