@@ -16,7 +16,7 @@ from functools import lru_cache
 
 PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-ɏ‐-‧]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 1 << 26  # characters kept, each entry counted as ENTRY more
+CACHE = 3 << 25  # characters kept, each entry counted as ENTRY more
 ENTRY = 128
 
 

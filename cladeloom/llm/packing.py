@@ -19,7 +19,6 @@ task keeps at most ``BUFFER`` tokens besides the document at hand.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeloom.llm.byte_bpe import encoder_of
 from cladeloom.llm.common import text_or_empty
 
 CAPACITY = 2048
@@ -158,7 +158,7 @@ class Packer:
     def _emit(self, chosen: list[Piece]) -> None:
         offset = 0
         for doc_id, start, ids, total in chosen:
-            self.pieces.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, self.next_sequence, offset))
+            self.pieces.append((doc_id, start, len(ids), ids.tobytes(), total, self.next_sequence, offset))
             offset += len(ids)
         self.next_sequence += 1
 
@@ -170,31 +170,19 @@ class Packer:
         )
 
 
-def load_encoding(ranks_path: str, pattern: str, specials: dict[str, int]):
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
-
-
-def pack_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, specials: dict[str, int], end_id: int = END_ID
-) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
-    ``ids`` are little-endian unsigned 32-bit numbers. ``ranks_path`` names a
-    byte-level BPE rank file, present on every machine.
+    ``ids`` are little-endian unsigned 32-bit numbers. ``tokenizer_path`` names a
+    tokenizer file present on every machine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(ranks_path, pattern, specials)
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << _PART_BITS)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode_to_numpy(text.as_py(), allowed_special="all")
-                packer.add(doc_id, np.concatenate([ids.astype(np.uint32), end]))
+                packer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
                 if len(packer.pieces) >= 2000:
                     yield packer.drain()
         packer.finish()

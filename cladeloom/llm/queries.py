@@ -25,9 +25,6 @@ from cladeloom.llm.common import table
 from cladeloom.queries.base import Query
 from cladeloom.session import ship_package
 
-SPECIALS = {"<|endoftext|>": 50256}
-
-
 def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -37,9 +34,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """The rank file holds the vocabulary of byte_bpe_50k.json and gives the same ids."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.digest(packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, SPECIALS))
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
