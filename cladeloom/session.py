@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import shutil
@@ -89,9 +90,29 @@ def materialize(df: DataFrame, name: str = "table", **metrics: Column) -> DataFr
     df.observe(seen, *counts).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._cladeloom_metrics = dict(seen.get)
+    stored._cladeloom_path = path
     return stored
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more.
+
+    Everything derived from them must have been written. Frames over which jobs are
+    finished give up their shuffle files, too, once the driver collects them.
+    """
+    for table in tables:
+        path = getattr(table, "_cladeloom_path", None)
+        if path is None:
+            continue
+        jvm = table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        table._cladeloom_path = None
+    gc.collect()
+    for spark in {t.sparkSession for t in tables}:
+        spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition for work whose cost is compute, not bytes.
 
