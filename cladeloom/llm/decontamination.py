@@ -154,7 +154,7 @@ def _windows(suspects: DataFrame, items: DataFrame) -> DataFrame:
 
     A window of m shingles and an item of as many are similar only when 8m/9 of the
     shingles of the window occur in items of that size, wherever they lie in it. A
-    document shorter than an item is one window.
+    window at the end of a document may be shorter.
     """
     shingles = items.select("k", "n", F.explode("hashes").alias("h")).distinct()
     shingles = materialize(shingles, "benchmark_shingles")
@@ -164,7 +164,7 @@ def _windows(suspects: DataFrame, items: DataFrame) -> DataFrame:
     m, at = F.col("n") - F.col("k") + 1, F.col("at")
     size = F.least(m, F.col("all"))
     needed = F.ceil((m + size) * 4 / 9 - 1e-9).cast("int")
-    marks = marks.select("*", size.alias("size"), needed.alias("needed")).filter(F.size("at") >= F.col("needed"))
+    marks = marks.select("*", size.alias("size"), needed.alias("needed")).filter(F.size("at") >= F.ceil(m * 4 / 5 - 1e-9))
 
     def starts(i: Column) -> Column:
         """Starts after the mark before i, up to mark i, that have enough marks from i on."""
@@ -172,8 +172,16 @@ def _windows(suspects: DataFrame, items: DataFrame) -> DataFrame:
         high = F.least(F.get(at, i), F.col("all") - F.col("size"))
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    firsts = F.sequence(F.lit(0), F.size("at") - F.col("needed"))
-    placed = marks.select("doc_id", "digest", "k", "n", "size", F.explode(F.flatten(F.transform(firsts, starts))).alias("start"))
+    def ends_there(p: Column) -> Column:
+        marked = F.size(F.filter(at, lambda a: a >= p))
+        return marked >= F.ceil((m + F.col("all") - p) * 4 / 9 - 1e-9)
+
+    firsts = F.when(F.size("at") >= F.col("needed"), F.sequence(F.lit(0), F.size("at") - F.col("needed"))).otherwise(
+        F.array().cast("array<int>"))
+    low, high = F.greatest(F.col("all") - m + 1, F.lit(0)), F.col("all") - F.ceil(m * 4 / 5 - 1e-9).cast("int")
+    last = F.when(low <= high, F.filter(F.sequence(low, high), ends_there)).otherwise(F.array().cast("array<int>"))
+    found = F.array_distinct(F.concat(F.flatten(F.transform(firsts, starts)), last))
+    placed = marks.select("doc_id", "digest", "k", "n", "size", F.explode(found).alias("start"))
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.digest") == F.col("y.digest")) & (F.col("x.k") == F.col("y.k"))
     joined = placed.alias("x").join(suspects.alias("y"), same)
     window = F.slice("y.hashes", F.col("x.start") + 1, F.col("x.size"))

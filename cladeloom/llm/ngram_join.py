@@ -43,7 +43,7 @@ from pyspark.sql.types import BinaryType
 
 from cladeloom.llm.common import text_or_empty
 from cladeloom.llm.components import components
-from cladeloom.session import materialize, metric
+from cladeloom.session import discard, materialize, metric
 
 SHINGLE = 5
 MAX_COMMON = 1 << 18
@@ -99,6 +99,11 @@ def folded(words: np.ndarray, length: int) -> np.ndarray:
     return words
 
 
+def sketch(words: np.ndarray) -> np.ndarray:
+    """A bitmap of a quarter of the width, about one bit per shingle, for the search of tiles."""
+    return folded(words, max(1, len(words) // 4))
+
+
 def shared_bound(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Upper bound of the shingles shared with each of ``others`` (equal widths)."""
     only_one = np.bitwise_count(one & ~others).sum(-1, dtype=np.int64)
@@ -329,7 +334,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     wanted = materialize(classes.select("doc_id", "key").join(ends, "key"), "wanted")
     sets = materialize(_hashes(docs, wanted), "sets")
     side = lambda e: sets.select(F.col("key").alias(e), F.col("hashes").alias("v" + e))
-    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    found = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    found = materialize(found, "verified")
+    discard(near, wanted, sets)
+    return found
 
 
 def _cross_pairs(tiles: DataFrame, best: bool) -> DataFrame:
@@ -348,7 +356,7 @@ def _cross_pairs(tiles: DataFrame, best: bool) -> DataFrame:
 
     def found(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         k, root, n, block = (rows.column(c).to_numpy() for c in ("k", "root", "n", "block"))
-        bits = rows.column("bits")
+        bits = rows.column("sketch")
         for lo, hi in zip(edges, edges[1:]):
             if (root[lo:hi] == root[lo]).all():
                 continue
@@ -425,7 +433,7 @@ def _tiles(mixed: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "root", "n", "block")
     )
-    return tiled.join(classes.select("k", "bits"), "k")
+    return tiled.join(classes.select("k", "sketch"), "k")
 
 
 def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -442,6 +450,12 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(joined.select("node", F.coalesce("last", "root").alias("root")), "components")
 
 
+def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        narrow = [sketch(np.frombuffer(b, np.uint64)).tobytes() for b in batch.column("bits").to_pylist()]
+        yield batch.append_column("sketch", pa.array(narrow, pa.binary()))
+
+
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, key) of ``docs``, and classes (key, doc_id, root) with their least id."""
     described = materialize(describe(docs), "described")
@@ -453,17 +467,20 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = materialize(known.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
     met = described.filter("n > 0 AND bits IS NOT NULL").join(runs.select("k").distinct(), "k", "left_semi")
     sketches = met.groupBy("key").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sketches = sketches.mapInArrow(_with_sketch, "key binary, k bigint, n bigint, bits binary, sketch binary")
     classes = materialize(sketches.join(firsts, "key"), "classes")
 
     centres = runs.select("k", F.explode(F.array("c0", "c1")).alias("c")).filter("k != c")
     pairs = centres.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
     roots = firsts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
     roots = _merged(roots, _verified(docs, pairs, classes))
-    rows = runs.filter("several")
+    rows, read = runs.filter("several"), runs
     for best in (True, False):
         rows = _mixed(rows, classes, roots)  # components only grow: tiles of one component stay so
+        discard(read)
         crossing = _cross_pairs(_tiles(rows, classes), best).distinct()
-        roots = _merged(roots, _verified(docs, crossing, classes))
+        roots, read = _merged(roots, _verified(docs, crossing, classes)), rows
+    discard(read)
 
     rooted = firsts.join(roots, F.col("key") == F.col("node"), "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))

@@ -20,7 +20,7 @@ def shingles(words, k):
 def best(words, item):
     k = min(5, len(item))
     theirs, n, most = shingles(item, k), len(item), 0.0
-    for start in range(max(1, len(words) - n + 1)):
+    for start in range(len(words)):  # shorter ones at the end
         ours = shingles(words[start:start + n], k)
         most = max(most, sum((ours & theirs).values()) / max(1, sum((ours | theirs).values())))
     return most
