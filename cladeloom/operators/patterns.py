@@ -82,7 +82,7 @@ def zigzag_key(pattern: Column) -> Column:
     )
 
 
-def order_patterns(patterns: DataFrame, method: str = "lex", **tour_options) -> DataFrame:
+def order_patterns(patterns: DataFrame, method: str = "lex") -> DataFrame:
     """Number patterns from 0: ``uncompressed``/``lex``, ``zigzag`` or ``tour`` order."""
     if method == "zigzag":
         return global_rank(patterns, [zigzag_key(F.col("pattern"))], "pattern_id")
@@ -91,16 +91,16 @@ def order_patterns(patterns: DataFrame, method: str = "lex", **tour_options) ->
     if method == "tour":
         from cladeloom.operators.tour import tour_order
 
-        return tour_order(patterns, **tour_options)
+        return tour_order(patterns)
     raise ValueError(f"unknown pattern order {method!r}")
 
 
-def compress_patterns(sites: DataFrame, method: str = "lex", **tour_options) -> DataFrame:
+def compress_patterns(sites: DataFrame, method: str = "lex") -> DataFrame:
     """(pattern_id, pattern, freq) of an alignment given as sites."""
     if method == "uncompressed":
         keys = [F.col(c) for c in sites.columns if c != "pattern"]
         return global_rank(uncompressed(sites), keys, "pattern_id")
-    return order_patterns(compress(sites), method, **tour_options)
+    return order_patterns(compress(sites), method)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from cladeloom.functions import codes
 from cladeloom.operators import patterns as P
 from cladeloom.operators.ranking import with_previous
-from cladeloom.operators.tour import tour_order
+from cladeloom.operators.tour import spanning_tree, tour_order
 from cladeloom.queries.base import EVENT_SITES, LINE_SITES, Query, rounded, sql_round
+from cladeloom.session import materialize
 from cladeloom.sources import tables as T
 
 
@@ -111,6 +112,36 @@ def tour_path(spark, sf):
     return P.path_length(tour_order(P.compress(T.lineitem_sites(spark, sf))))
 
 
+def tour_summary(spark, sf):
+    """Size and quality of the tour: a permutation of all patterns, at most twice the tree's weight."""
+    patterns = P.compress(T.event_sites(spark, sf))
+    tree = spanning_tree(patterns)[1].agg(F.coalesce(F.sum("w"), F.lit(0)).cast("bigint").alias("tree_weight"))
+    ordered = materialize(tour_order(patterns), "tour")
+    ids = ordered.agg(F.count_distinct("pattern").alias("n_patterns"), F.sum("freq").alias("n_sites"),
+                      (F.max("pattern_id") + 1).alias("n_places"), F.count_distinct("pattern_id").alias("n_ids"),
+                      F.min_by("pattern", "pattern_id").alias("first_pattern"))
+    length = P.path_length(ordered).select("path_length")
+    both = ids.crossJoin(tree).crossJoin(length)  # one row each
+    return both.select("n_patterns", "n_sites", "n_places", "n_ids", "first_pattern", "tree_weight",
+                       (F.col("path_length") <= 2 * F.col("tree_weight")).alias("within_bound"))
+
+
+# A spanning tree of least weight has one edge less than there are components at every distance below its edges.
+_TOUR_SUMMARY = f"""
+WITH RECURSIVE {EVENT_SITES},
+near AS (SELECT a.pattern_id AS x, b.pattern_id AS y, hamming(a.pattern, b.pattern) AS w
+  FROM ev_patterns a, ev_patterns b WHERE a.pattern_id <> b.pattern_id),
+reach(w, id, comp) USING KEY (w, id) AS (
+  SELECT w, pattern_id, pattern_id FROM ev_patterns, range(0, 6) t(w)
+  UNION SELECT w, id, comp FROM (
+    SELECT r.w, n.y AS id, min(r.comp) AS comp FROM reach r JOIN near n ON n.x = r.id AND n.w <= r.w GROUP BY ALL) step
+  WHERE EXISTS (SELECT 1 FROM recurring.reach k WHERE k.w = step.w AND k.id = step.id AND step.comp < k.comp)),
+weight AS (SELECT sum(c - 1) AS tree_weight FROM (SELECT w, count(DISTINCT comp) AS c FROM reach GROUP BY w))
+SELECT count(*) AS n_patterns, CAST(sum(freq) AS BIGINT) AS n_sites, count(*) AS n_places, count(*) AS n_ids,
+  min(pattern) AS first_pattern, CAST(any_value(tree_weight) AS BIGINT) AS tree_weight, true AS within_bound
+FROM ev_patterns, weight"""
+
+
 _ZIGZAG = " || ".join(
     f"translate(substr(pattern, {k}, 1), '0123456789abcde', 'edcba9876543210')"
     if k % 2 == 0 else f"substr(pattern, {k}, 1)"
@@ -197,5 +228,6 @@ QUERIES = {
         "SELECT doc_id, length(s) AS n_letters, md5(s) AS symbols_md5, "
         f"md5(translate(s, '{codes.SYMBOLS}', '{codes.LETTERS}')) AS letters_md5 FROM s"),
     "tour_order": Query(tour),
+    "tour_summary": Query(tour_summary, _TOUR_SUMMARY),
     "tour_path": Query(tour_path),
 }

@@ -12,7 +12,9 @@ from cladeloom.operators import trees as O
 from cladeloom.operators.names import match_names
 from cladeloom.operators.ranking import global_rank, rank_in_group, with_previous
 from cladeloom.operators.simulate import DISTRIBUTIONS, scale_to_height, simulate_trees
-from cladeloom.operators.tour import preorder_of_mst, tour_order
+from cladeloom.operators import tour
+from cladeloom.operators.linked import list_ranks, preorder
+from cladeloom.operators.tour import spanning_tree, tour_order
 from cladeloom.plans.decomposition import decompose
 from cladeloom.session import materialize
 from cladeloom.sources import newick as X
@@ -94,10 +96,53 @@ def test_tour(spark):
     assert sorted(r.pattern for r in rows) == items and rows[0].pattern == items[0]
     length = P.path_length(tour_order(df)).first().path_length
     assert length <= 2 * _mst_weight(items)
-    blocks = tour_order(df, max_block=7).collect()
-    assert sorted(r.pattern for r in blocks) == items
-    assert sorted(r.pattern_id for r in blocks) == list(range(len(items)))
-    assert preorder_of_mst(np.array([[0, 0], [0, 3], [0, 1], [1, 1]])).tolist() == [0, 1, 2, 3]
+    assert [r.pattern_id for r in rows] == list(range(len(items)))
+    assert [tuple(r) for r in tour_order(df.repartition(7)).orderBy("pattern_id").collect()] == [tuple(r) for r in rows]
+    for limit in (0, 1_000_000):  # rounds of joins, and one task
+        edges = spanning_tree(df, limit)[1].collect()
+        assert sum(e.w for e in edges) == _mst_weight(items)
+    assert sorted(map(tuple, edges)) == sorted(map(tuple, spanning_tree(df, 0)[1].collect()))
+
+
+def test_tour_of_many_taxa(spark, monkeypatch):
+    """Beyond the masks, rotated orders join what is left; the walk still visits every pattern once."""
+    monkeypatch.setattr(tour, "MASKS", 30)
+    rng = np.random.default_rng(9)
+    items = sorted({"".join(map(str, r)) for r in rng.integers(0, 2, (40, 30))})
+    df = spark.createDataFrame([(p, 2) for p in items], "pattern string, freq bigint")
+    rows = tour_order(df).orderBy("pattern_id").collect()
+    assert sorted(r.pattern for r in rows) == items and [r.pattern_id for r in rows] == list(range(len(items)))
+    assert spanning_tree(df)[1].agg(F.sum("w")).first()[0] < 1.5 * _mst_weight(items)
+
+
+def test_tour_of_few_patterns(spark):
+    one = spark.createDataFrame([("01", 3)], "pattern string, freq bigint")
+    assert [tuple(r) for r in tour_order(one).collect()] == [(0, "01", 3)]
+    assert tour_order(one.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_preorder_of_odd_trees(spark, limit):
+    """A long chain, a star and two small trees, ranked by joins and in one task."""
+    n = 500
+    chain = [(k, k + 1) for k in range(n)]
+    star = [(2000, 2001 + k) for k in range(n)]
+    small = [(5000, 5003), (5003, 5001), (5003, 5002), (6001, 6000)]
+    edges = spark.createDataFrame(chain + star + small, "a bigint, b bigint")
+    roots = spark.createDataFrame([(0,), (2000,), (5000,), (6000,), (9000,)], "node bigint")
+    got = {r.node: (r.root, r.parent, r.place) for r in preorder(edges, roots, limit).collect()}
+    want = {}
+    for root, order in ((0, range(n + 1)), (2000, range(2000, 2001 + n)), (5000, [5000, 5003, 5001, 5002]), (6000, [6000, 6001]), (9000, [9000])):
+        up = {b: a for a, b in chain + star + small[:3]} | {6001: 6000}
+        for node in order:
+            want[node] = (root, up.get(node) if node != root else None, len(want))
+    assert got == want
+
+
+def test_circles_are_left_out(spark):
+    links = spark.createDataFrame([(1, 2), (2, None), (5, 6), (6, 5)], "id bigint, next bigint")
+    for limit in (0, 10):
+        assert sorted(map(tuple, list_ranks(links, limit).collect())) == [(1, 1), (2, 0)]
 
 
 def test_newick_round_trip(spark):
