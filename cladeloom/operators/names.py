@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeloom.functions.names import lower_ascii, strip_punctuation
-from cladeloom.session import spread
+from cladeloom.functions.names import lower_ascii, name_distance, strip_punctuation
+from cladeloom.session import materialize, metric, spread
 
 # Kinds of match, best first.
 EXACT, PUNCTUATION, CASE, DISTANCE = "exact", "punctuation", "case", "distance"
 
 BLOCK_ROWS = 20_000
+REACHES = (1, 3)
+POSITIONS = 256
 
 
 def _lookup(queries: DataFrame, candidates: DataFrame, fold, kind: str, rank: int) -> DataFrame:
@@ -27,10 +31,11 @@ def _lookup(queries: DataFrame, candidates: DataFrame, fold, kind: str, rank: in
 def match_names(queries: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, idx, kind, distance) for distinct names in ``queries.query``.
 
-    ``candidates``: (idx, name). Folded matches are joins. Only names without
-    one are compared by distance, chunk of names against block of candidates;
-    a task returns its best candidate per name, never the pairs. Without any
-    candidate idx is -1.
+    ``candidates``: (idx, name). Folded matches are joins. Names without one are
+    looked up by equal pieces, near candidates first (``closest_by_pieces``), and
+    what has none within the last reach is compared with all candidates, chunk of
+    names against block of candidates; a task returns its best candidate per
+    name, never the pairs. Without any candidate idx is -1.
     """
     distinct = queries.select("query").distinct()
     found = _lookup(distinct, candidates, lambda c: c, EXACT, 0)
@@ -45,8 +50,11 @@ def match_names(queries: DataFrame, candidates: DataFrame, block_rows: int = BLO
     easy = found.filter(folded.isNotNull()).select(
         "query", folded.alias("idx"), kind.alias("kind"), F.lit(0).cast("bigint").alias("distance")
     )
-    rest = found.filter(folded.isNull()).select("query")
-    hard = rest.join(closest_by_distance(rest, candidates, block_rows), "query", "left").select(
+    rest = materialize(found.filter(folded.isNull()).select("query"), "unmatched")
+    near, far = closest_by_pieces(rest, candidates)
+    if metric(far):
+        near = near.select("query", "idx", "distance").unionByName(closest_by_distance(far, candidates, block_rows))
+    hard = rest.join(near, "query", "left").select(
         "query",
         F.coalesce("idx", F.lit(-1)).cast("bigint").alias("idx"),
         F.lit(DISTANCE).alias("kind"),
@@ -55,6 +63,68 @@ def match_names(queries: DataFrame, candidates: DataFrame, block_rows: int = BLO
     return easy.unionByName(hard)
 
 
+def piece_bounds(candidates: DataFrame, pieces: list[int]) -> dict[int, list[int]]:
+    """For each number of pieces, where they begin, so that all tell candidates apart about equally well.
+
+    What a byte position tells is its entropy over the candidates. Positions from
+    ``POSITIONS`` on belong to the last piece.
+    """
+    raw = F.encode("name", "UTF-8")
+    at = F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.length(raw), F.lit(1)), F.lit(POSITIONS)))).alias("at")
+    bytes_at = candidates.select(raw.alias("raw"), at).groupBy("at", F.substring("raw", F.col("at"), 1).alias("b")).count()
+    share = F.col("count") / F.sum("count").over(Window.partitionBy("at"))
+    entropy = bytes_at.withColumn("_h", -share * F.log2(share)).groupBy("at").agg(F.sum("_h").alias("h"))
+    told = np.zeros(POSITIONS + 1)
+    for row in entropy.collect():
+        told[row["at"]] = row["h"]
+    total = np.cumsum(told + 1e-6)
+    bounds = {}
+    for n in pieces:
+        starts = [0]
+        for k in range(1, n):  # no piece is empty, so none is equal for all names
+            starts.append(max(starts[-1] + 1, int(np.searchsorted(total, total[-1] * k / n))))
+        bounds[n] = starts
+    return bounds
+
+
+def closest_by_pieces(
+    names: DataFrame, candidates: DataFrame, reaches: tuple[int, ...] = REACHES
+) -> tuple[DataFrame, DataFrame]:
+    """Exact nearest candidates (query, idx, distance, pairs) within the last reach, and names (query) without one.
+
+    Two names at a distance of r or less, bytes compared place by place, agree in one
+    of r + 1 pieces cut at the same places, and their lengths differ by r at most. So
+    an equi-join on numbered pieces meets all candidates within r; a name whose
+    nearest lies there is done, the others go on to the next reach. ``pairs`` counts
+    the candidates compared for a name.
+    """
+    candidates = materialize(candidates.select("idx", "name"), "candidates")
+    bounds = piece_bounds(candidates, [r + 1 for r in reaches])
+    found, pending = [], materialize(names.select("query"), "names")
+    for reach in reaches:
+        starts = bounds[reach + 1]
+
+        def cut(df: DataFrame, name: str, starts: list[int] = starts) -> DataFrame:
+            raw = F.encode(name, "UTF-8")
+            ends = [*starts[1:], None]
+            keys = [F.struct(F.lit(k).alias("piece"), F.substring(raw, lo + 1, (1 << 30) if hi is None else hi - lo).alias("key"))
+                    for k, (lo, hi) in enumerate(zip(starts, ends))]
+            return df.select("*", F.length(raw).alias(f"_{name}_size"), F.explode(F.array(*keys)).alias("_p")).select(
+                *df.columns, f"_{name}_size", "_p.piece", "_p.key")
+
+        pairs = cut(pending, "query").join(cut(candidates, "name"), ["piece", "key"]).filter(
+            F.abs(F.col("_query_size") - F.col("_name_size")) <= reach)
+        gap = name_distance(F.col("query"), F.col("name"))
+        best = pairs.select("query", F.struct(gap.alias("distance"), "idx").alias("b")).groupBy("query").agg(
+            F.min("b").alias("b"), F.count("*").alias("pairs")).filter(F.col("b.distance") <= reach)
+        best = materialize(best.select("query", "b.idx", F.col("b.distance").cast("bigint").alias("distance"), "pairs"), "near_names")
+        found.append(best)
+        pending = materialize(pending.join(best, "query", "left_anti"), "names")
+        if not metric(pending):
+            break
+    return reduce(DataFrame.unionByName, found), pending
+
+
 def closest_by_distance(names: DataFrame, candidates: DataFrame, block_rows: int) -> DataFrame:
     """Exact nearest candidate (lowest idx among ties) of each name."""
     def pieces(df: DataFrame) -> int:

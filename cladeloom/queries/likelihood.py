@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from cladeloom.functions.models import HKY85, JukesCantor
 from cladeloom.operators import patterns as P
 from cladeloom.operators import trees as O
-from cladeloom.operators.likelihood import joined_loglik, pattern_loglik, tree_loglik
+from cladeloom.operators.likelihood import joined_loglik, pattern_loglik, plan_with_taxa, tree_loglik
 from cladeloom.operators.mcmc import branch_updates, prior_of_trees
 from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.pruning import pattern_cells, pruning_loglik
+from cladeloom.operators.subpatterns import component_taxa, consed_loglik, dictionary
 from cladeloom.plans.decomposition import decompose
 from cladeloom.plans.merges import merge_long
 from cladeloom.programs import score_trees
@@ -156,6 +157,36 @@ def site_loglik_shared(spark, sf):
     return _site_rows(pattern_loglik(patterns, plan, taxa, HKY85(KAPPA, PI), reuse=True))
 
 
+def site_loglik_consed(spark, sf):
+    """The same from one dictionary of sub-patterns over all partitions."""
+    patterns, taxa = line_patterns(spark, sf)
+    plan = decompose(one_tree(spark, T7))
+    return _site_rows(consed_loglik(patterns, plan, taxa, HKY85(KAPPA, PI))[0])
+
+
+def subpattern_counts(spark, sf):
+    """Merged columns of each component of the whole job, named by the taxa below it."""
+    patterns, taxa = line_patterns(spark, sf)
+    plan = materialize(plan_with_taxa(decompose(one_tree(spark, T7)), taxa), "plan")
+    entries = dictionary(patterns, plan)
+    members = component_taxa(plan)
+    merged = entries.groupBy("tree_id", "comp_id").agg(F.count("*").alias("n_columns"))
+    named = merged.join(members, ["tree_id", "comp_id"])
+    return named.groupBy(F.array_join(F.transform("taxa", lambda t: t.cast("string")), ",").alias("taxa")).agg(
+        F.count("*").alias("n_components"), F.sum("n_columns").alias("n_columns"))
+
+
+# The taxa of each merge of the balanced plan of T7.
+_T7_PARTS = [[0, 1]] * 3 + [[2, 3]] * 2 + [[0, 1, 2, 3]] + [[4]] * 2 + [[5, 6], [4, 5, 6], [0, 1, 2, 3, 4, 5, 6]]
+_SUBPATTERNS = f"""
+WITH {LINE_SITES},
+parts AS (SELECT unnest({_T7_PARTS}) AS taxa),
+cut AS (SELECT taxa, count(DISTINCT list_transform(taxa, lambda t: substr(pattern, CAST(t AS INTEGER) + 1, 1))) AS n
+  FROM (SELECT DISTINCT taxa FROM parts), li_patterns GROUP BY taxa)
+SELECT array_to_string(taxa, ',') AS taxa, count(*) AS n_components, CAST(sum(n) AS BIGINT) AS n_columns
+FROM parts JOIN cut USING (taxa) GROUP BY ALL"""
+
+
 def log_prior(spark, sf):
     return prior_of_trees(T.customer_forest(spark, sf), 20.0).select(
         "tree_id", rounded("log_prior").alias("log_prior")
@@ -406,6 +437,8 @@ FROM {_N_ROOT} JOIN ev_patterns USING (pattern_id) GROUP BY tree_id, f"""),
     "branch_update_loglik": Query(branch_update("balanced"), _updates_sql()),
     "branch_update_pruning": Query(branch_update("pruning"), _updates_sql()),
     "site_loglik_shared": Query(site_loglik_shared, _LINE_LOGLIK),
+    "site_loglik_consed": Query(site_loglik_consed, _LINE_LOGLIK),
+    "subpattern_counts": Query(subpattern_counts, _SUBPATTERNS),
     "log_prior_forest": Query(
         log_prior,
         f"WITH {FOREST} SELECT tree_id, {sql_round('sum(ln(20.0) - 20.0 * length)')} AS log_prior "

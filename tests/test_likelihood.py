@@ -20,6 +20,7 @@ from cladeloom.operators.likelihood import (
 )
 from cladeloom.operators.mcmc import MCMCOptions, branch_updates, run_mcmc
 from cladeloom.operators.pruning import pattern_cells
+from cladeloom.operators.subpatterns import component_taxa, consed_loglik
 from cladeloom.operators.simulate import simulate_sequences, simulate_trees
 from cladeloom.operators.trees import resolve
 from cladeloom.plans import kernels
@@ -329,3 +330,29 @@ def test_simulated_sequences_follow_the_model(spark):
     wide = states.groupBy("site").pivot("label", ["A", "B"]).agg(F.first("state"))
     same = wide.agg(F.avg((F.col("A") == F.col("B")).cast("double"))).first()[0]
     assert same == pytest.approx(0.25 + 0.75 * math.exp(-4 / 3 * 0.5), abs=0.01)
+
+
+@pytest.mark.parametrize("layout", ["balanced", "pruning"])
+def test_consed_sub_patterns(spark, layout):
+    """Values as by blocks; each sub-pattern once in the whole job, whatever the partitions; long keys are digests."""
+    rng = np.random.default_rng(2)
+    names = [f"t{k}" for k in range(30 if layout == "balanced" else 9)]
+    newick = "".join(f"({a}:0.{k % 9 + 1}," for k, a in enumerate(names[:-1])) + f"{names[-1]}:0.2" + "):0.1" * (len(names) - 2) + ");"
+    trees = spark.createDataFrame([(4, newick)], "tree_id bigint, newick string")
+    plan = materialize(decompose(resolve(parse_newick(trees)), layout), "plan")
+    base = ["".join(rng.choice(list("0123e"), len(names))) for _ in range(12)]
+    rows = sorted({b[:k] + c[k:] for b in base for c in base for k in (0, 4, 20)})
+    patterns = spark.createDataFrame([(k, p, k % 3 + 1) for k, p in enumerate(rows)], "pattern_id bigint, pattern string, freq bigint").repartition(7)
+    taxa = spark.createDataFrame(list(enumerate(names)), "taxon_id bigint, taxon string")
+    model = HKY85(2.0, [0.1, 0.2, 0.3, 0.4])
+    scored, entries = consed_loglik(patterns, plan, taxa, model)
+    got = {r.pattern_id: r.loglik for r in scored.collect()}
+    want = {r.pattern_id: r.loglik for r in pattern_loglik(patterns, plan, taxa, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    placed = materialize(plan_with_taxa(plan, taxa), "plan")
+    of_taxa = {r.comp_id: r.taxa for r in component_taxa(placed).collect()} if layout == "balanced" else {}
+    counts = {r.comp_id: r["count"] for r in entries.groupBy("comp_id").count().collect()}
+    for comp, members in of_taxa.items():
+        if comp in counts:
+            assert counts[comp] == len({tuple(p[t] for t in members) for p in rows})
+    assert consed_loglik(patterns.limit(0), plan, taxa, model)[0].count() == 0

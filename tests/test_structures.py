@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cladeloom.functions import codes
 from cladeloom.operators import patterns as P
 from cladeloom.operators import trees as O
-from cladeloom.operators.names import match_names
+from cladeloom.operators.names import closest_by_pieces, match_names
 from cladeloom.operators.ranking import global_rank, rank_in_group, with_previous
 from cladeloom.operators.simulate import DISTRIBUTIONS, scale_to_height, simulate_trees
 from cladeloom.operators import tour
@@ -357,3 +357,32 @@ def test_name_match_in_blocks(spark):
     asked = spark.createDataFrame([(q,) for q in queries], "query string")
     got = {r.query: (r.distance, r.idx) for r in match_names(asked, candidates, block_rows=7).collect()}
     assert got == {q: min((gap(q, n), k) for k, n in enumerate(names)) for q in queries}
+
+
+def test_names_by_pieces(spark):
+    """Nearest names within the reach, lowest index among ties, with far fewer comparisons than pairs."""
+    rng = np.random.default_rng(6)
+    names = [f"Species#{k:06d} of é" for k in range(1500)] + ["Sp", "", "Species#000001 of é and more"]
+    asked = set()
+    for k in range(120):
+        name = list(names[rng.integers(1500)])
+        for at in rng.integers(0, len(name), rng.integers(1, 6)):
+            name[at] = str(rng.choice(list("0123456789xé")))
+        asked.add("".join(name) + "!" * int(rng.integers(0, 3)))
+    asked |= {"", "S", "zzzz", "Species#000001 of é and mor"}
+
+    def gap(a, b):
+        a, b = a.encode(), b.encode()
+        return sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
+
+    want = {q: min((gap(q, n), k) for k, n in enumerate(names)) for q in asked}
+    candidates = spark.createDataFrame(list(enumerate(names)), "idx bigint, name string")
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    near, far = closest_by_pieces(queries, candidates)
+    rows = near.collect()
+    assert {r.query: (r.distance, r.idx) for r in rows} == {q: w for q, w in want.items() if w[0] <= 3}
+    assert {r.query for r in far.collect()} == {q for q, w in want.items() if w[0] > 3}
+    near = [r for r in rows if r.distance <= 1]
+    assert len(near) > 20 and sum(r.pairs for r in near) < 0.02 * len(near) * len(names)
+    assert len(rows) > 50 and sum(r.pairs for r in rows) < 0.25 * len(rows) * len(names)
+    assert closest_by_pieces(queries, candidates.limit(0))[0].count() == 0
