@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column
@@ -101,3 +102,50 @@ class HKY85(SubstitutionModel):
                     base + slow * np.exp(-self.rate * t) + fast * np.exp(-fast_rate * t)
                 )
         return np.clip(out, 0.0, 1.0)
+
+
+@dataclass(frozen=True)
+class GeneralReversible(SubstitutionModel):
+    """Any reversible model: six exchange rates (AC, AG, AT, CG, CT, GT) and base frequencies, unit mean rate.
+
+    The rate matrix, scaled by the square roots of the frequencies, is symmetric; its
+    eigenvalues and eigenvectors turn every transition probability into a sum of
+    four exponentials, on columns as on arrays.
+    """
+
+    rates: tuple
+    frequencies: tuple = (0.25, 0.25, 0.25, 0.25)
+
+    def __post_init__(self):
+        if len(self.rates) != 6 or min(self.rates) < 0 or max(self.rates) <= 0:
+            raise ValueError("six rates, none negative and one positive at least")
+        if len(self.frequencies) != 4 or min(self.frequencies) <= 0:
+            raise ValueError("four positive frequencies")
+
+    @property
+    def pi(self):
+        total = sum(self.frequencies)
+        return tuple(f / total for f in self.frequencies)
+
+    @cached_property
+    def _spectrum(self) -> tuple[np.ndarray, np.ndarray]:
+        """Exponents (4) and, for each upper and lower state, the factors of their exponentials (4, 4, 4)."""
+        pi = np.array(self.pi)
+        q = np.zeros((4, 4))
+        q[np.triu_indices(4, 1)] = self.rates
+        q = (q + q.T) * pi
+        q -= np.diag(q.sum(1))
+        q /= -(pi @ np.diag(q))
+        root = np.sqrt(pi)
+        exponents, vectors = np.linalg.eigh(root[:, None] * q / root)
+        return exponents, np.einsum("ik,jk->ijk", vectors / root[:, None], vectors * root[:, None])
+
+    def probability(self, i, j, t):
+        exponents, factors = self._spectrum
+        terms = [F.lit(float(c)) * F.exp(F.lit(float(e)) * t) for e, c in zip(exponents, factors[i, j])]
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms[0] + terms[1] + terms[2] + terms[3]))
+
+    def matrices(self, lengths):
+        exponents, factors = self._spectrum
+        decay = np.exp(np.asarray(lengths, float)[:, None] * exponents)
+        return np.clip(np.einsum("ijk,lk->lij", factors, decay), 0.0, 1.0)

@@ -35,9 +35,9 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     )
     active = F.count("_anc")
     step = materialize(step, "walk", active=active)
-    while metric(step, "active"):
-        walking, done = step.filter("_anc is not null"), step.filter("_anc is null")
-        reach = step.select(
+    walking, done = step.filter("_anc is not null"), step.filter("_anc is null")
+    while metric(step, "active"):  # rows that have arrived stay where they were written
+        reach = done.unionByName(walking).select(
             "tree_id", F.col("node_id").alias("_anc"),
             F.col("_anc").alias("_anc2"), F.col("_depth").alias("_depth2"),
             F.col("_dist").alias("_dist2"), F.col("_path").alias("_path2"),
@@ -49,8 +49,9 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
             (F.col("_dist2") + F.col("_dist")).alias("_dist"),
             F.concat("_path2", "_path").alias("_path"),
         )
-        step = materialize(done.unionByName(moved), "walk", active=active)
-    found = step.select(
+        step = materialize(moved, "walk", active=active)
+        walking, done = step.filter("_anc is not null"), done.unionByName(step.filter("_anc is null"))
+    found = done.select(
         *KEY, F.col("_depth").alias("depth"), F.col("_dist").alias("dist"),
         *([F.col("_path").alias("path")] if with_path else []),
     )
@@ -423,6 +424,46 @@ def same_trees(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
+def tree_digests(numbered: DataFrame, columns: list[str]) -> DataFrame:
+    """(tree_id, n_nodes, digest): equal for trees with the same nodes at the same places, of any size or shape.
+
+    A node's places before and after its subtree fix the shape, so the digest is a
+    sum without order over nodes, combined before the shuffle.
+    """
+    cell = [F.col(c) for c in ("pre", "post", *columns)]
+    known = [F.col(c).isNull() for c in columns]  # null differs from every value
+    return numbered.groupBy("tree_id").agg(
+        F.count("*").alias("n_nodes"),
+        F.concat(F.hex(F.bit_xor(F.xxhash64(*cell, *known))),
+                 F.hex(F.bit_xor(F.xxhash64(F.lit(1), *cell, *known)))).alias("digest"))
+
+
+def compare_trees(a: DataFrame, b: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """(left_id, right_id, equal, first_difference) of pairs of numbered trees.
+
+    Trees are compared by digest; only those that differ are joined, place by place, to
+    find the first place in preorder where a node, its subtree's extent or its
+    ``columns`` differ. A tree that is missing equals one that is missing.
+    """
+    left, right = (tree_digests(t, columns).select(F.col("tree_id").alias(f"{s}_id"), "n_nodes", F.col("digest").alias(s))
+                   for t, s in ((a, "left"), (b, "right")))
+    judged = pairs.select("left_id", "right_id").distinct().join(left.drop("n_nodes"), "left_id", "left").join(
+        right.drop("n_nodes"), "right_id", "left")
+    judged = materialize(judged.select("left_id", "right_id", F.col("left").eqNullSafe(F.col("right")).alias("equal")), "judged",
+                         unequal=F.sum((~F.col("equal")).cast("bigint")))
+    none = F.lit(None).cast("bigint")
+    if not metric(judged, "unequal"):
+        return judged.withColumn("first_difference", none)
+    unequal = judged.filter("NOT equal").select("left_id", "right_id")
+    cell = F.struct("post", *columns).alias("cell")
+    each = [t.select(F.col("tree_id").alias(f"{s}_id"), "pre", cell).join(unequal, f"{s}_id").select(
+        "left_id", "right_id", "pre", F.col("cell").alias(s)) for t, s in ((a, "left"), (b, "right"))]
+    met = each[0].join(each[1], ["left_id", "right_id", "pre"], "full")
+    first = met.filter(~F.col("left").eqNullSafe(F.col("right"))).groupBy("left_id", "right_id").agg(
+        F.min("pre").alias("first_difference"))
+    return judged.join(first, ["left_id", "right_id"], "left").select("left_id", "right_id", "equal", "first_difference")
+
+
 # --- resolution -------------------------------------------------------------
 
 

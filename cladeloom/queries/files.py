@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cladeloom.operators import patterns as P
 from cladeloom.operators import trees as O
+from cladeloom.operators.ranking import global_rank
 from cladeloom.queries.base import LINE_SITES, Query, rounded, sql_round
 from cladeloom.queries.trees import FOREST, SUPPLIER_TREE
-from cladeloom.session import scratch_path
+from cladeloom.session import materialize, scratch_path
 from cladeloom.sources import newick as X
 from cladeloom.sources import tables as T
 from cladeloom.sources.phylip import align_to_taxa, read_phylip, write_phylip
@@ -69,6 +70,31 @@ def newick_roundtrip(spark, sf):
     )
 
 
+def newick_rejects(spark, sf):
+    """Trees read and rejected: whole ones in one folder, trees cut in half in another, and a folder that is not there."""
+    texts = materialize(X.to_newick(O.number_nodes(T.customer_forest(spark, sf))), "texts")
+    half = F.substring("newick", F.lit(1), (F.length("newick") / 2).cast("int"))
+    cut = F.col("tree_id") % 5 == 0
+    folders = {kind: scratch_path(spark, f"newick_{kind}") for kind in ("whole", "half", "absent")}
+    X.write_newick(texts.filter(~cut), folders["whole"])
+    X.write_newick(texts.filter(cut).select("tree_id", half.alias("newick")), folders["half"])
+    nodes, rejects = X.read_trees(spark, list(folders.values()))
+    kind = F.regexp_extract("file", "newick_([a-z]+)-", 1).alias("kind")
+    read = nodes.select("tree_id.file", "tree_id.tree_number").select(kind, F.lit("read").alias("state"), "file", "tree_number")
+    bad = rejects.select(kind, F.col("reason").alias("state"), "file", "tree_number")
+    return read.unionByName(bad).groupBy("kind", "state").agg(
+        F.count_distinct(F.struct("file", "tree_number")).alias("n_trees"), F.count("*").alias("n_rows"))
+
+
+def newick_new_taxa(spark, sf):
+    """Leaves of the supplier tree, numbered behind the known third of them in the order of the text."""
+    tree = materialize(O.number_nodes(T.supplier_tree(spark, sf)), "numbered")
+    known = global_rank(tree.filter("is_leaf AND node_id % 3 = 0").select(F.col("label").alias("taxon")), [F.col("taxon")], "taxon_id")
+    nodes = X.parse_newick(X.to_newick(tree))
+    named, taxa = X.attach_new_taxa(nodes, known)
+    return named.filter("is_leaf").select("label", "taxon_id")
+
+
 def newick_forest(spark, sf):
     """Every customer's tree through text files: leaves and lengths survive."""
     path = scratch_path(spark, "newick")
@@ -115,6 +141,19 @@ SELECT pattern, count(*) AS freq FROM c GROUP BY pattern"""),
         f"""WITH {SUPPLIER_TREE}
 SELECT CAST(1 AS BIGINT) AS tree_id, replace(label, ' ', '') AS label, CAST(depth AS BIGINT) AS depth,
   {sql_round("length")} AS length, is_leaf, pre, post FROM walk"""),
+    "newick_rejects": Query(
+        newick_rejects,
+        f"""WITH {FOREST}
+SELECT CASE WHEN tree_id % 5 = 0 THEN 'half' ELSE 'whole' END AS kind, CASE WHEN tree_id % 5 = 0 THEN 'malformed' ELSE 'read' END AS state,
+  count(DISTINCT tree_id) AS n_trees, count(*) FILTER (tree_id % 5 <> 0 OR parent_id IS NULL) AS n_rows
+FROM nodes GROUP BY ALL UNION ALL SELECT 'absent', 'cannot be read', 1, 1"""),
+    "newick_new_taxa": Query(
+        newick_new_taxa,
+        f"""WITH {SUPPLIER_TREE},
+known AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS taxon_id FROM walk WHERE is_leaf AND node_id % 3 = 0),
+new AS (SELECT label, (SELECT count(*) FROM known) + row_number() OVER (ORDER BY pre) - 1 AS taxon_id
+  FROM walk WHERE is_leaf AND node_id % 3 <> 0)
+SELECT label, taxon_id FROM known UNION ALL SELECT label, taxon_id FROM new"""),
     "newick_roundtrip_forest": Query(
         newick_forest,
         f"""WITH {FOREST} SELECT 'C' || CAST(tree_id AS VARCHAR) AS root,

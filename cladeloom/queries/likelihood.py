@@ -18,7 +18,7 @@ from cladeloom.programs import score_trees
 from cladeloom.queries.base import (
     EVENT_SITES, EVENT_TAXA, LINE_SITES, Query, rounded, sql_round,
 )
-from cladeloom.queries.models import KAPPA, PI
+from cladeloom.queries.models import GTR, KAPPA, PI, series_sql
 from cladeloom.queries.trees import FOREST, SUPPLIER_TREE
 from cladeloom.session import materialize
 from cladeloom.sources import tables as T
@@ -157,6 +157,12 @@ def site_loglik_shared(spark, sf):
     return _site_rows(pattern_loglik(patterns, plan, taxa, HKY85(KAPPA, PI), reuse=True))
 
 
+def site_loglik_gtr(spark, sf):
+    """A model of the user's own: six exchange rates."""
+    patterns, taxa = line_patterns(spark, sf)
+    return _site_rows(pattern_loglik(patterns, decompose(one_tree(spark, T7)), taxa, GTR))
+
+
 def site_loglik_consed(spark, sf):
     """The same from one dictionary of sub-patterns over all partitions."""
     patterns, taxa = line_patterns(spark, sf)
@@ -321,6 +327,16 @@ _LINE_LOGLIK = f"""
 WITH {LINE_SITES}, {_T7_CTES}
 SELECT pattern_id, freq, {sql_round("loglik")} AS loglik
 FROM {_T7_ROOT} JOIN li_patterns USING (pattern_id)"""
+def _gtr_rows(t):
+    return [" + ".join(f"(SELECT p FROM gtr WHERE i = {i} AND j = {j} AND t = round({t}, 9)) * x{j}" for j in range(4))
+            for i in range(4)]
+
+
+_GTR_CTES, _GTR_ROOT = unrolled(_parse(T7), range(1, 8), "li_patterns", "pattern_id", _gtr_rows, GTR.pi)
+_LINE_GTR = f"""
+WITH RECURSIVE {LINE_SITES}, {series_sql("SELECT round(unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]), 9) AS t")}, {_GTR_CTES}
+SELECT pattern_id, freq, {sql_round("loglik")} AS loglik
+FROM {_GTR_ROOT} JOIN li_patterns USING (pattern_id)"""
 _NATION = f"""
 WITH {EVENT_SITES},
 scored AS (SELECT CAST(n_nationkey AS BIGINT) AS tree_id, (1 + n_nationkey % 7)::DOUBLE / 4 AS f,
@@ -437,6 +453,7 @@ FROM {_N_ROOT} JOIN ev_patterns USING (pattern_id) GROUP BY tree_id, f"""),
     "branch_update_loglik": Query(branch_update("balanced"), _updates_sql()),
     "branch_update_pruning": Query(branch_update("pruning"), _updates_sql()),
     "site_loglik_shared": Query(site_loglik_shared, _LINE_LOGLIK),
+    "site_loglik_gtr": Query(site_loglik_gtr, _LINE_GTR),
     "site_loglik_consed": Query(site_loglik_consed, _LINE_LOGLIK),
     "subpattern_counts": Query(subpattern_counts, _SUBPATTERNS),
     "log_prior_forest": Query(

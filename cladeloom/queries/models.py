@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeloom.functions.models import HKY85, JukesCantor
+from cladeloom.functions.models import HKY85, GeneralReversible, JukesCantor
 from cladeloom.queries.base import Query, rounded, sql_round
 from cladeloom.sources import tables as T
 
 KAPPA, PI = 2.0, (0.3, 0.2, 0.2, 0.3)
+GTR = GeneralReversible((1.0, 3.5, 0.7, 0.9, 4.0, 1.2), (0.3, 0.25, 0.15, 0.3))
+
+
+def series_sql(lengths: str) -> str:
+    """CTEs ending in gtr(t, i, j, p): the power series of the rate matrix over ``lengths`` (t). Needs WITH RECURSIVE."""
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    cells = ", ".join(f"({i}, {j}, {r}::DOUBLE)" for (i, j), r in zip(pairs, GTR.rates))
+    base = ", ".join(f"({i}, {f}::DOUBLE)" for i, f in enumerate(GTR.frequencies))
+    return f"""
+freq(i, f) AS (VALUES {base}), half(i, j, r) AS (VALUES {cells}),
+off AS (SELECT h.i, h.j, r * f AS q FROM (SELECT i, j, r FROM half UNION ALL SELECT j, i, r FROM half) h JOIN freq ON freq.i = h.j),
+rate AS (SELECT sum(q * f) AS mean FROM off JOIN freq USING (i)),
+gen AS (SELECT i, j, q / mean AS q FROM off, rate UNION ALL SELECT i, i, -sum(q) / any_value(mean) FROM off, rate GROUP BY i),
+lengths AS ({lengths}),
+term AS (SELECT 0 AS k, t, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM lengths, freq a, freq b
+  UNION ALL SELECT k + 1, t, term.i, gen.j, sum(v * q) * any_value(t) / (k + 1) FROM term JOIN gen ON gen.i = term.j
+  WHERE k < 30 GROUP BY k, t, term.i, gen.j),
+gtr AS (SELECT t, i, j, sum(v) AS p FROM term GROUP BY t, i, j)"""
 
 
 def matrix(model):
@@ -47,6 +65,10 @@ QUERIES = {
 SELECT {sql_round("t", 2)} AS t, i, j,
        {sql_round("CASE WHEN i = j THEN 0.25 + 0.75 * exp(-4.0 * t / 3) ELSE 0.25 - 0.25 * exp(-4.0 * t / 3) END", 9)} AS p
 FROM lengths, pairs"""),
+    "gtr_matrix": Query(
+        matrix(GTR),
+        f"""WITH RECURSIVE {series_sql("SELECT DISTINCT round(l_discount, 2) AS t FROM lineitem")}
+SELECT {sql_round("t", 2)} AS t, i, j, {sql_round("p", 9)} AS p FROM gtr"""),
     "hky_matrix": Query(
         matrix(HKY85(KAPPA, PI)),
         f"""{_GRID}

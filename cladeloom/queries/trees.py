@@ -213,6 +213,15 @@ def tree_equality(spark, sf):
     return same.select("pre", "post", "label")
 
 
+def tree_pairs_equal(spark, sf):
+    """Trees of customers against copies in which some tips have other lengths."""
+    trees = materialize(O.number_nodes(T.customer_forest(spark, sf)), "numbered")
+    moved = (F.col("is_leaf") & (F.col("node_id") % 37 == 0)).cast("double")
+    copies = trees.withColumn("length", F.col("length") + moved)
+    pairs = trees.select(F.col("tree_id").alias("left_id"), F.col("tree_id").alias("right_id"))
+    return O.compare_trees(trees, copies, pairs, ["node_id", "length"])
+
+
 def resolve_fk(spark, sf):
     resolved = O.resolve(_numbered(spark, sf))
     return _metric_rows(O.tree_metrics(resolved.withColumn("dist", F.lit(0.0)))).drop(
@@ -510,6 +519,11 @@ SELECT tree_id, node_id, parent_id FROM nodes WHERE is_leaf AND parent_id IN (SE
   row_number() OVER (ORDER BY depth > 0, k1 DESC, depth > 1, k2 DESC, depth > 2, k3 DESC) - 1 AS pre,
   row_number() OVER (ORDER BY depth = 0, k1 DESC, depth <= 1, k2 DESC, depth <= 2, k3 DESC) - 1 AS post FROM walk)
 SELECT w.pre, w.post, w.label FROM walk w JOIN mirror m ON w.pre = m.pre AND w.post = m.post AND w.label = m.label"""),
+    "tree_pairs_equal": Query(
+        tree_pairs_equal,
+        f"""WITH {FOREST}, placed AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY node_id) - 1 AS pre FROM nodes),
+diff AS (SELECT tree_id, min(pre) FILTER (is_leaf AND node_id % 37 = 0) AS first_difference FROM placed GROUP BY tree_id)
+SELECT tree_id AS left_id, tree_id AS right_id, first_difference IS NULL AS equal, first_difference FROM diff"""),
     "resolve_forest": Query(resolve_forest, _RESOLVE_FOREST),
     "resolve_fk": Query(
         resolve_fk,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeloom.operators.ranking import global_rank
 from cladeloom.session import materialize
 
 # The token classes of the format.
@@ -18,11 +19,13 @@ OUTSIDE_COMMENT = r"(?![^\[]*\])"
 TREE_START = r"(?<=[^,(])(?=\()"
 
 
-def read_newick_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_newick_text(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
     """(file, tree_number, newick): one row per tree of one or many files.
 
     Files split at ';', so a large file is read by many tasks. Tree numbers
     run from 1 in file order; they come from one small count per file split.
+    Text with an unbalanced comment fails or, without ``strict``, is a tree
+    whose ``newick`` is NULL.
     """
     lines = spark.read.text(paths, lineSep=";").select(
         F.col("_metadata.file_path").alias("file"),
@@ -36,12 +39,12 @@ def read_newick_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.when(
             F.length(F.regexp_replace("text", r"[^\[]", ""))
             != F.length(F.regexp_replace("text", r"[^\]]", "")),
-            F.raise_error(F.concat(F.lit("unbalanced comment near: "), F.col("text"))),
+            F.raise_error(F.concat(F.lit("unbalanced comment near: "), F.col("text"))) if strict else F.lit(None),
         ).otherwise(F.col("text")),
     )
     trees = lines.select(
         "file", "_start", "_at",
-        F.posexplode(F.split("text", TREE_START + OUTSIDE_COMMENT)).alias("_k", "newick"),
+        F.posexplode_outer(F.split("text", TREE_START + OUTSIDE_COMMENT)).alias("_k", "newick"),
     )
     trees = materialize(trees, "tree_texts")  # one scan: places depend on its splits
     within = F.struct("_at", "_k")
@@ -65,7 +68,42 @@ def _fail_if(bad: Column, message: str, value: Column) -> Column:
 
 
 def parse_newick(trees: DataFrame, default_length: float = 0.0) -> DataFrame:
-    """Node table of (tree_id, newick). Text before the first ';' is the tree."""
+    """Node table of (tree_id, newick); a malformed tree fails. Text before the first ';' is the tree."""
+    nodes = _parsed(trees, default_length)
+    checked = nodes.withColumn("node_id", _fail_if(F.col("broken"), "malformed Newick", F.col("node_id")))
+    # Written whole, so that no later choice of columns prunes a check away.
+    return materialize(checked.drop("broken"), "parsed")
+
+
+def parse_newick_or_reject(trees: DataFrame, default_length: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Node table of the well-formed trees of (tree_id, newick), and the ids (tree_id) of all others."""
+    nodes = materialize(_parsed(trees, default_length).filter("NOT broken").drop("broken"), "parsed")
+    good = nodes.filter("parent_id IS NULL").select("tree_id")
+    return nodes, trees.select("tree_id").join(good, "tree_id", "left_anti")
+
+
+def read_trees(spark: SparkSession, paths: list[str], default_length: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Node table of every tree that can be read, and (file, tree_number, reason) of what cannot.
+
+    A missing file, or a malformed tree in a file, leaves the others as they are.
+    ``tree_id`` is (file, tree_number); a missing file has no tree number.
+    """
+    there, missing = [], []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        (there if system.globStatus(place) else missing).append(path)
+    lost = spark.createDataFrame([(p, None, "cannot be read") for p in missing], "file string, tree_number bigint, reason string")
+    texts = read_newick_text(spark, there, strict=False) if there else spark.createDataFrame(
+        [], "file string, tree_number bigint, newick string")
+    trees = materialize(texts.select(F.struct("file", "tree_number").alias("tree_id"), "newick"), "tree_texts")
+    nodes, rejected = parse_newick_or_reject(trees, default_length)
+    malformed = rejected.select("tree_id.file", "tree_id.tree_number", F.lit("malformed").alias("reason"))
+    return nodes, materialize(lost.unionByName(malformed), "rejects")
+
+
+def _parsed(trees: DataFrame, default_length: float) -> DataFrame:
+    """Nodes with ``broken``, whether their tree is malformed."""
     text = F.split(F.regexp_replace("newick", r"\s+", ""), ";" + OUTSIDE_COMMENT)[0]
     tokens = trees.select(
         "tree_id", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("at", "tok")
@@ -133,17 +171,16 @@ def parse_newick(trees: DataFrame, default_length: float = 0.0) -> DataFrame:
     ).filter("up = 1")
     siblings = Window.partitionBy("tree_id", "parent_id").orderBy("post")
     broken = F.col("bad") | (F.col("open_left") != 0)
-    parsed = nodes.select(
+    return nodes.select(
         "tree_id",
-        _fail_if(broken, "malformed Newick", F.col("post")).alias("node_id"),
+        F.col("post").alias("node_id"),
         "parent_id",
         (F.row_number().over(siblings) - 1).cast("bigint").alias("child_ord"),
         "label", "meta", "length", "is_leaf", "depth",
         F.when(F.col("is_leaf"), F.col("pre")).otherwise(F.col("open_pre")).alias("pre"),
         "post",
+        broken.alias("broken"),
     )
-    # Written whole, so that no later choice of columns prunes a check away.
-    return materialize(parsed, "parsed")
 
 
 def attach_taxa(nodes: DataFrame, taxa: DataFrame, check: bool = True) -> DataFrame:
@@ -160,6 +197,22 @@ def attach_taxa(nodes: DataFrame, taxa: DataFrame, check: bool = True) -> DataFr
     ), "named")
 
 
+def attach_new_taxa(nodes: DataFrame, taxa: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``taxon_id``, and taxa (taxon, taxon_id) with the unknown leaves appended.
+
+    New taxa are numbered after the largest known number, by where they first appear: tree
+    by tree, in preorder.
+    """
+    largest = taxa.agg(F.coalesce(F.max("taxon_id"), F.lit(-1)).cast("bigint").alias("m")).first()["m"]
+    leaves = nodes.filter("is_leaf AND label IS NOT NULL")
+    unknown = leaves.join(taxa.select(F.col("taxon").alias("label")), "label", "left_anti")
+    first = unknown.groupBy("label").agg(F.min(F.struct("tree_id", "pre")).alias("_first"))
+    placed = global_rank(first, [F.col("_first")], "_rank")
+    new = placed.select(F.col("label").alias("taxon"), (F.col("_rank") + largest + 1).alias("taxon_id"))
+    every = materialize(taxa.select("taxon", F.col("taxon_id").cast("bigint")).unionByName(new), "taxa")
+    return attach_taxa(nodes, every), every
+
+
 def to_newick(
     nodes: DataFrame, name: str = "label", lengths: bool = True, meta: bool = False
 ) -> DataFrame:

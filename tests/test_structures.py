@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.functions import codes
+from cladeloom.functions.models import HKY85, GeneralReversible, JukesCantor
 from cladeloom.operators import patterns as P
 from cladeloom.operators import trees as O
 from cladeloom.operators.names import closest_by_pieces, match_names
@@ -386,3 +387,58 @@ def test_names_by_pieces(spark):
     assert len(near) > 20 and sum(r.pairs for r in near) < 0.02 * len(near) * len(names)
     assert len(rows) > 50 and sum(r.pairs for r in rows) < 0.25 * len(rows) * len(names)
     assert closest_by_pieces(queries, candidates.limit(0))[0].count() == 0
+
+
+def test_files_with_trees_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "good.nwk").write_text("(A:1,B:2);\n(C,(D,E)x);")
+    (tmp_path / "cut.nwk").write_text("(A:1,(B:2,C;(G,H:3);((;")
+    (tmp_path / "comment.nwk").write_text("(A,B[no end);")
+    (tmp_path / "empty.nwk").write_text("")
+    names = ["good", "cut", "comment", "empty", "absent"]
+    nodes, rejects = X.read_trees(spark, [f"{tmp_path}/{n}.nwk" for n in names])
+    got = {(r.file.split("/")[-1], r.tree_number): r.n for r in
+           nodes.groupBy("tree_id.file", "tree_id.tree_number").agg(F.count("*").alias("n")).collect()}
+    assert got == {("good.nwk", 1): 3, ("good.nwk", 2): 5, ("cut.nwk", 2): 3}
+    bad = {(r.file.split("/")[-1], r.tree_number, r.reason) for r in rejects.collect()}
+    assert bad == {("cut.nwk", 1, "malformed"), ("cut.nwk", 3, "malformed"), ("comment.nwk", 1, "malformed"),
+                   ("absent.nwk", None, "cannot be read")}
+    assert X.read_trees(spark, [f"{tmp_path}/none.nwk"])[0].count() == 0
+
+
+def test_new_taxa_follow_the_known_ones(spark):
+    trees = spark.createDataFrame([(2, "(C,(zed,A));"), (1, "((B,new),A);")], "tree_id bigint, newick string")
+    taxa = spark.createDataFrame([("A", 0), ("B", 4)], "taxon string, taxon_id bigint")
+    named, every = X.attach_new_taxa(X.parse_newick(trees), taxa)
+    want = {"A": 0, "B": 4, "new": 5, "C": 6, "zed": 7}
+    assert {r.taxon: r.taxon_id for r in every.collect()} == want
+    assert all(r.taxon_id == want[r.label] for r in named.filter("is_leaf").collect())
+    none = X.attach_new_taxa(X.parse_newick(trees), taxa.limit(0))[1]
+    assert {r.taxon: r.taxon_id for r in none.collect()} == {"B": 0, "new": 1, "A": 2, "C": 3, "zed": 4}
+
+
+def test_compare_trees(spark):
+    texts = ["((A:1,B:2)x:1,C:3);", "((A:1,B:2)x:1,C:3);", "((A:1,B:2)x:1,C:4);", "(C:3,(A:1,B:2)x:1);", "((A:1,B:2):1,C:3);", "(A,B);"]
+    nodes = parse(spark, *texts)
+    pairs = spark.createDataFrame([(0, k) for k in range(6)] + [(0, 99), (98, 99), (0, 1)], "left_id bigint, right_id bigint")
+    got = {(r.left_id, r.right_id): (r.equal, r.first_difference) for r in
+           O.compare_trees(nodes, nodes, pairs, ["label", "length"]).collect()}
+    assert got == {(0, 0): (True, None), (0, 1): (True, None), (0, 2): (False, 4), (0, 3): (False, 1), (0, 4): (False, 1),
+                   (0, 5): (False, 0), (0, 99): (False, 0), (98, 99): (True, None)}
+    shapes = O.compare_trees(nodes, nodes, pairs.filter("right_id IN (2, 4)"), [])
+    assert all(r.equal for r in shapes.collect())
+
+
+def test_general_reversible_model():
+    pi, kappa = (0.3, 0.2, 0.2, 0.3), 2.5
+    t = np.array([0.0, 0.01, 0.3, 5.0])
+    gtr = GeneralReversible((1, kappa, 1, 1, kappa, 1), pi)
+    assert np.allclose(gtr.matrices(t), HKY85(kappa, pi).matrices(t), atol=1e-12)
+    assert np.allclose(GeneralReversible((2,) * 6).matrices(t), JukesCantor().matrices(t), atol=1e-12)
+    odd = GeneralReversible((1.0, 3.5, 0.7, 0.9, 4.0, 0.0), (3, 2.5, 1.5, 3))
+    p = odd.matrices(t)
+    assert np.allclose(p.sum(2), 1) and np.allclose(p[0], np.eye(4))
+    assert np.allclose(np.array(odd.pi)[:, None] * p[2], (np.array(odd.pi)[:, None] * p[2]).T)
+    assert np.allclose(p[1] @ p[1], odd.matrices([0.02])[0])
+    for bad in (((1,) * 5,), ((1,) * 5 + (-1,),), ((0,) * 6,), ((1,) * 6, (1, 1, 1, 0))):
+        with pytest.raises(ValueError):
+            GeneralReversible(*bad)
