@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.common import text_or_empty
+from cladeloom.llm.decontamination import unused
 
 BASE = ["email", "ip", "card", "phone"]
 LOOSE = ["credential", "number"]
@@ -241,8 +242,13 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
                         _listed(F.col("_all")).alias("spans"))
 
 
+WORKING = {"_text", "_base", "_loose", "_all"}  # columns in use here
+
+
 def redact(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in angle brackets."""
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets, whatever other columns it has."""
+    own = {c: unused(docs, f"_own{k}") for k, c in enumerate(docs.columns) if c.lower() in WORKING}
+    given = docs.withColumnsRenamed(own)
     text, start = F.col("_text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -258,4 +264,5 @@ def redact(docs: DataFrame, model: SpanModel) -> DataFrame:
     spans = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     changed = F.when(F.size("_all") > 0, done).otherwise(F.col("text"))
-    return _with_spans(docs, model).withColumn("text", changed).select(*docs.columns)
+    masked = _with_spans(given, model).withColumn("text", changed)
+    return masked.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

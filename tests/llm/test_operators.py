@@ -427,3 +427,10 @@ def test_waiting_pieces_hold_only_their_ids():
     held = [p.ids for row in packer.waiting for p in row]
     assert sum(len(i) for i in held) == packer.total
     assert sum((i if i.base is None else i.base).nbytes for i in held) < 20_000_000
+
+
+def test_redaction_with_clashing_names(spark):
+    given = spark.createDataFrame([(1, "write to a@b.com", "keep me", "x", "y", "z")],
+                                  "doc_id bigint, text string, _text string, _BASE string, _all string, _own0 string")
+    row = pii.redact(given, pii.SpanModel()).first()
+    assert tuple(row) == (1, "write to <EMAIL>", "keep me", "x", "y", "z") and row.__fields__ == given.columns
