@@ -12,8 +12,9 @@ sets (a 128-bit digest) form one class, and only classes are joined.
   them, the centre of the band, and with that of the band below. Links found so
   far give components.
 * Then every tile is searched for pairs between different components, first for the
-  likeliest partner of each set in each other component, and, when those links have
-  joined components, for all pairs that are left. Pairs whose sizes allow a link are bounded from above by hashed bitmaps: bits that only one
+  likeliest partner of each set in each other component. Tiles in which that left
+  out a pair are searched again for all pairs between components as they are now; in
+  the others every pair has been looked at. Pairs whose sizes allow a link are bounded from above by hashed bitmaps: bits that only one
   of two bitmaps has are shingles that only one set has. Very large tiles are cut
   into pairs of blocks.
 * What passes a bound is verified by intersecting the sorted arrays.
@@ -336,7 +337,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 
 
 def _cross_pairs(tiles: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components under one tile that the bitmaps do not rule out."""
+    """Pairs (a, b) of different components under one tile that the bitmaps do not rule out.
+
+    Rows (h) without a pair name the shingles of tiles in which ``best`` left out pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -350,23 +354,31 @@ def _cross_pairs(tiles: DataFrame, best: bool) -> DataFrame:
             yield from found(held, np.array([0, held.num_rows]))
 
     def found(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, root, n, block = (rows.column(c).to_numpy() for c in ("k", "root", "n", "block"))
+        h, k, root, n, block = (rows.column(c).to_numpy() for c in ("h", "k", "root", "n", "block"))
         bits = rows.column("bits")
         for lo, hi in zip(edges, edges[1:]):
             if (root[lo:hi] == root[lo]).all():
                 continue
             maps = [np.frombuffer(b.as_py(), np.uint64) for b in bits.slice(lo, hi - lo)]
-            a, b = search_tile(k[lo:hi], root[lo:hi], n[lo:hi], block[lo:hi], maps, best)
+            a, b, more = search_tile(k[lo:hi], root[lo:hi], n[lo:hi], block[lo:hi], maps, best)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=names)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(h[lo:lo + 1])],
+                                                 names=names)
+
+    names = ["a", "b", "h"]
 
     dealt = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, h bigint")
 
 
-def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray]:
+def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of a tile with different roots, sizes that allow a link, and bitmaps that do.
 
+    The third value tells whether ``best`` left out any such pair.
+
     ``n`` is negative where the shingle lies beyond the prefix of a smaller set. In
     a tile of two blocks only pairs across the blocks are looked at. With ``best``
     each set is paired with one set of each other component, that of the highest
@@ -382,7 +394,7 @@ def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(length == width)
         groups[int(width)] = (int(at[0]), np.stack([maps[i] for i in at]))
     two = len(np.unique(block)) > 1
-    first, second = [], []
+    first, second, more = [], [], False
     for i in range(len(k)):
         end = int(np.searchsorted(size, size[i] * 5 // 4, side="right"))
         for width, (start, stack) in groups.items():
@@ -403,11 +415,13 @@ def search_tile(k, root, n, block, maps, best) -> tuple[np.ndarray, np.ndarray]:
             fits = other[fit]
             if best and len(fits) > 1:
                 fits = fits[np.argsort(-most[fit] / size[lo:hi][fits], kind="stable")]
-                fits = fits[np.unique(root[lo:hi][fits], return_index=True)[1]]
+                likeliest = fits[np.unique(root[lo:hi][fits], return_index=True)[1]]
+                more |= len(likeliest) < len(fits)
+                fits = likeliest
             first.append(np.full(len(fits), k[i]))
             second.append(k[lo:hi][fits])
     none = np.empty(0, np.int64)
-    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+    return (np.concatenate(first), np.concatenate(second), more) if first else (none, none, more)
 
 
 def _mixed(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -466,9 +480,13 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for best in (True, False):
         rows = _mixed(rows, classes, roots)  # components only grow: tiles of one component stay so
         discard(read)
-        crossing = _cross_pairs(_tiles(rows, classes), best).distinct()
-        roots, read = _merged(roots, _verified(docs, crossing, classes)), rows
-    discard(read)
+        crossing = materialize(_cross_pairs(_tiles(rows, classes), best), "crossing", again=F.count("h"))
+        pairs = crossing.filter("h IS NULL").select("a", "b").distinct()
+        roots, read = _merged(roots, _verified(docs, pairs, classes)), rows
+        if not metric(crossing, "again"):
+            break
+        rows = rows.join(crossing.select("h").distinct(), "h", "left_semi")
+    discard(read, crossing)
 
     rooted = firsts.join(roots, F.col("key") == F.col("node"), "left")
     rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
