@@ -8,7 +8,10 @@ the Dice coefficient of their distinct word bigrams reaches the threshold t. As
 that needs t * m / (2 - t) <= n <= m * (2 - t) / t for n and m bigrams, templates
 are indexed by the sizes they can match, and a unit meets only templates listed
 under its own size. For the same reason t / (2 - t) of the bigrams of a unit occur
-in some template; other units are left out before the join.
+in some template; other units are left out before the join. Likewise t / (2 - t) of
+the bigrams of a template occur in a unit it matches, so at least one of any
+m - ceil(t * m / (2 - t)) + 1 of them: the longest words of as many bigrams are
+anchors, and paragraphs without an anchor are not cut into units.
 
 Defined results: null and empty texts and units of fewer than two words match
 nothing; rows of one id (null is an id, too) count as one document; repeated rows
@@ -19,6 +22,8 @@ to 3 end a sentence, a line, a paragraph.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,9 +114,18 @@ def bigrams(words: str) -> Column:
     return F.array_distinct(pairs)
 
 
-def _cut(df: DataFrame, key: str, shortest: int, longest: int) -> DataFrame:
-    """Units with ``shortest`` to ``longest`` bigrams: key, pairs, n."""
+def anchor_words(pairs: list[str], threshold: float) -> set[str]:
+    """Words of which every unit that matches a template of these bigrams holds at least one."""
+    spare = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)
+    longest = sorted((max(p.split(" "), key=lambda w: (len(w), w)) for p in pairs), key=lambda w: (-len(w), w))
+    return set(longest[:spare + 1])
+
+
+def _cut(df: DataFrame, key: str, shortest: int, longest: int, anchors: list[str] | None = None) -> DataFrame:
+    """Units with ``shortest`` to ``longest`` bigrams, of paragraphs with an anchor if any are given: key, pairs, n."""
     cut = df.select(key, F.explode(F.split(marked(text_or_empty()), "\x03")).alias("paragraph"))
+    if anchors is not None:
+        cut = cut.filter(F.exists(F.split("paragraph", "[ \\x01\\x02]+"), lambda w: w.isin(anchors)))
     words = cut.select(key, F.explode(units(F.col("paragraph"))).alias("unit")).select(key, words_of(F.col("unit")).alias("words"))
     pairs = words.filter(F.size("words") > shortest).select(key, bigrams("words").alias("pairs")).withColumn("n", F.size("pairs"))
     return pairs.filter(F.col("n").between(shortest, longest))
@@ -131,12 +145,15 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     index = size_index(templates, threshold)
     seen = index.agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).first()
     small, low, high = seen["rows"] <= MAX_BROADCAST_ROWS, seen["low"] or 1, seen["high"] or 0
-    found = _cut(docs, "doc_id", low, high)
-    if small:
-        known = index.select(F.explode("template").alias("pair")).distinct().limit(MAX_KNOWN + 1).collect()
-        if len(known) <= MAX_KNOWN:
-            met = F.size(F.filter("pairs", lambda p: p.isin([r["pair"] for r in known])))
-            found = found.filter(met >= F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    known = index.select("template").distinct() if small else None
+    if known is not None and (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= MAX_KNOWN:
+        parts = [r["template"] for r in known.collect()]
+        anchors = set().union(*(anchor_words(p, threshold) for p in parts))
+        found = _cut(docs, "doc_id", low, high, sorted(anchors))
+        met = F.size(F.filter("pairs", lambda p: p.isin(sorted(set().union(*parts)))))
+        found = found.filter(met >= F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    else:
+        found = _cut(docs, "doc_id", low, high)
     dice = 2.0 * F.size(F.array_intersect("pairs", "template")) / (F.col("n") + F.col("m"))
     return (
         found.join(F.broadcast(index) if small else index, "n")

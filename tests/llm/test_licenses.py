@@ -87,3 +87,18 @@ def test_no_templates_and_hard_rows(spark):
     found = got(licenses.scan(docs, licenses.notices(spark)))
     assert found == {(None, "MIT"): (2, 1.0), (2, "MIT"): (1, 1.0), (4, "MIT"): (1, 1.0)}
     assert licenses.scan(docs, licenses.notices(spark).limit(0)).collect() == []
+
+
+def test_every_match_holds_an_anchor():
+    """Whatever two thirds of a template's bigrams a unit has, one of its anchors is among its words."""
+    import random
+
+    draw = random.Random(4)
+    for _, text in licenses.NOTICES + licenses.TEXTS:
+        for pairs in brute_pairs(text):
+            named = sorted(" ".join(p) for p in pairs)
+            anchors = licenses.anchor_words(named, licenses.THRESHOLD)
+            least = -(-2 * len(named) // 3)
+            free = [p for p in named if not anchors & set(p.split())]
+            assert len(free) < least
+            assert anchors & {w for p in draw.sample(named, least) for w in p.split()}
