@@ -222,9 +222,12 @@ def test_bitmaps_bound_the_overlap():
         assert most >= len(np.intersect1d(a, b))
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 60, 10_000])
+def test_components_of_paths_and_stars(spark, small):
+    """By rounds only, by rounds and one task, in one task."""
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)]
-    rows = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    rows = components(spark.createDataFrame(edges, "a bigint, b bigint"), small).collect()
+    assert len(rows) == 101
     roots = {r["node"]: r["root"] for r in rows}
     assert len({roots[i] for i in range(61)}) == 1 and len({roots[i] for i in range(100, 140)}) == 1
     assert len(set(roots.values())) == 2
