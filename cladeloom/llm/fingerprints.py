@@ -139,7 +139,7 @@ def _in_ranges(docs: DataFrame, per_range: int) -> tuple[DataFrame, int]:
         .agg(F.min(F.struct("part", "text", "doc_id")).alias("row"))
         .select("row.doc_id", "row.text", F.col("before").alias("part"), F.lit(True).alias("last"))
     )
-    return rows.withColumn("last", F.lit(False)).unionByName(carried), max(1, len(parts))
+    return rows.withColumn("last", F.lit(False)).unionByName(carried), max(parts, default=0) + 1
 
 
 def _place(bounds: list[float], value: Column, width: int = 64) -> Column:
@@ -175,7 +175,7 @@ def neighbours(docs: DataFrame, per_range: int = ROWS_PER_RANGE) -> DataFrame:
 
     sorted_rows = (
         rows.select("doc_id", "text", "part", "last")
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "text")
     )
     return sorted_rows.mapInArrow(run, SCHEMA)
