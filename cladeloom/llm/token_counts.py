@@ -5,7 +5,7 @@ the path of the last pre-token is kept, and only what lies below the shared
 prefix is computed anew. A node holds the best score of any split of its prefix
 into pieces and the number of pieces of that split; the numbers at the ends of
 pre-tokens are the terminal counts, kept for later batches of the task (at most
-``MEMORY`` of them). A document's count is the sum over its pre-tokens.
+``MEMORY`` characters of pre-tokens, ``OVERHEAD`` added for each). A document's count is the sum over its pre-tokens.
 
 A pre-token is a run of characters that are not white space, with the word mark
 before it. Piece scores are the logarithm of a Zipf law over the rank in the
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from cladeloom.llm.common import text_or_empty
 
 MARK = "▁"
-MEMORY = 500_000
+MEMORY = 50_000_000
+OVERHEAD = 100
 SCHEMA = "doc_id bigint, n_chars bigint, n_pretokens bigint, n_tokens bigint"
 
 
@@ -94,13 +95,16 @@ def count_tokens(docs: DataFrame, model_path: str, memory: int = MEMORY) -> Data
     """doc_id, n_chars, n_pretokens, n_tokens; ``model_path`` must exist on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = PieceTrie(load_pieces(model_path)), {}
+        trie, known, held = PieceTrie(load_pieces(model_path)), {}, 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             split = [t.split() for t in texts]
             new = set().union(*map(set, split)) - known.keys() if split else set()
-            if len(known) + len(new) > memory:
+            more = sum(map(len, new)) + OVERHEAD * len(new)
+            if held + more > memory and known:
                 known, new = {}, set().union(*map(set, split))
+                held, more = 0, sum(map(len, new)) + OVERHEAD * len(new)
+            held += more
             known.update(trie.terminal_counts(new))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, split), pa.int64()),
