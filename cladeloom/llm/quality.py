@@ -10,7 +10,8 @@ id); scoring reads every whole text.
 
 Defined results: a null text is an empty one and is scored as such; without
 labels of both kinds every score is the share of good labels, or 0.5; repeated
-rows are scored each for itself; other columns are ignored.
+rows are scored each for itself, and of rows with one id only that of the least
+statistics is fitted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,8 +157,9 @@ def applies(rule: Rule, x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleEnsemble:
     sample = F.broadcast(bounded_labels(labels, "quality", max_rows))
     rows = with_statistics(docs.join(sample.select("doc_id"), "doc_id", "left_semi")).join(sample, "doc_id")
-    table = rows.toPandas().sort_values(["doc_id"], kind="stable")
     names = [c for c in rows.columns if c not in ("doc_id", "y")]
+    single = rows.groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "y", "s.*")
+    table = single.toPandas().sort_values(["doc_id"], kind="stable")
     y = table["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5

@@ -8,11 +8,14 @@ marked words they hold, a marked word being one that occurs nearly only in toxic
 documents.
 
 Fitting takes a bounded sample of labelled rows (``MAX_ROWS``, by a hash of the
-id) and at most ``MAX_WORDS`` words; scoring reads every whole text.
+id). Features are all words in at least ``MIN_DOCS`` of them whose share of toxic
+documents is ``MIN_Z`` standard deviations or more away from that of all (if no word
+is, those farthest away); scoring reads every whole text.
 
 Defined results: a null text is an empty one and gets the severity of a document
 without known words; without any toxic label nothing is known and every severity
-is 0; repeated rows are scored each for itself; columns besides ``doc_id`` and
+is 0; repeated rows are scored each for itself, and of rows with one id only that of
+the least text is fitted; columns besides ``doc_id`` and
 ``text`` are kept as they are, whatever their names.
 """
 
@@ -30,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.common import bounded_labels, text_or_empty
-from cladeloom.session import materialize
+from cladeloom.session import materialize, metric
 
 MAX_ROWS = 20_000
-MAX_WORDS = 2_048
+MIN_Z = 2.0
 MIN_DOCS = 5
 GRADES = 4
 REJECT_AT = 0.5
@@ -64,8 +67,9 @@ class OrdinalModel:
 
 
 def _sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, y, word, n) of the sampled documents; of repeated ids the texts are joined."""
+    """(doc_id, y, word, n) of the sampled documents, one row of each id."""
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +88,7 @@ def _sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return typed.mapInArrow(run, "doc_id bigint, y int, word string, n bigint")
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS
-) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z) -> OrdinalModel:
     sample = materialize(bounded_labels(labels, "toxic", max_rows), "toxic_sample")
     said = materialize(_sample_words(docs, sample), "toxic_words")
     totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
@@ -95,13 +97,13 @@ def fit(
     base = totals["bad"] / totals["n"]
     stats = said.groupBy("word").agg(F.count("*").alias("docs"), F.sum("y").alias("bad"))
     spread = F.sqrt(F.col("docs") * base * (1 - base))
-    vocabulary = (
+    known = materialize(
         stats.filter(F.col("docs") >= min(MIN_DOCS, totals["bad"]))
-        .withColumn("z", (F.col("bad") - F.col("docs") * base) / spread)
-        .orderBy(F.abs("z").desc(), "word")
-        .limit(max_words)
-        .collect()
+        .withColumn("z", F.abs(F.col("bad") - F.col("docs") * base) / spread),
+        "toxic_stats", farthest=F.max("z"),
     )
+    least = min(min_z, metric(known, "farthest") or 0.0)
+    vocabulary = known.filter(F.col("z") >= least).orderBy(F.col("z").desc(), "word").collect()
     place = {r["word"]: k for k, r in enumerate(vocabulary)}
     if not place:
         return OrdinalModel()
@@ -132,29 +134,42 @@ def _grades(y: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (hits > low) + (hits > high), 0)
 
 
-def _fit(at, k, x, grades, width, steps: int = 400, rate: float = 0.05, ridge: float = 2e-4):
-    """Weights and increasing thresholds that maximise the penalised likelihood (Adam)."""
+def slope(params, at, k, x, grades, width, ridge):
+    """Gradient of the penalised negative log-likelihood a document.
+
+    ``params``: weights, the first cut, logarithms of the gaps between cuts.
+    """
     n = len(grades)
-    params = np.concatenate([np.zeros(width), [2.0], np.zeros(GRADES - 2)])  # weights, first cut, log gaps
+    w, gaps = params[:width], np.exp(params[width + 1:])
+    cuts = params[width] + np.concatenate([[0.0], np.cumsum(gaps)])
+    score = np.bincount(at, weights=w[k] * x, minlength=n)
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    with np.errstate(over="ignore"):
+        upper = 1 / (1 + np.exp(score - edges[grades + 1]))
+        lower = 1 / (1 + np.exp(score - edges[grades]))
+    inside = np.maximum(upper - lower, 1e-12)
+    by_score = 1 - upper - lower
+    up, down = upper * (1 - upper) / inside, lower * (1 - lower) / inside
+    by_cut = np.bincount(grades, weights=-up, minlength=GRADES)[:-1]
+    by_cut = by_cut + np.bincount(grades, weights=down, minlength=GRADES)[1:]
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    return np.concatenate([
+        np.bincount(k, weights=by_score[at] * x, minlength=width) / n + ridge * w,
+        [tail[0] / n], tail[1:] * gaps / n,
+    ])
+
+
+def _fit(at, k, x, grades, width, steps: int = 400, rate: float = 0.05, ridge: float = 2e-4, still: float = 1e-6):
+    """Weights and increasing thresholds that maximise the penalised likelihood (Adam).
+
+    Ends after ``steps``, or before once no part of the gradient passes ``still``.
+    """
+    params = np.concatenate([np.zeros(width), [2.0], np.zeros(GRADES - 2)])
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        w, gaps = params[:width], np.exp(params[width + 1:])
-        cuts = params[width] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(at, weights=w[k] * x, minlength=n)
-        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-        with np.errstate(over="ignore"):
-            upper = 1 / (1 + np.exp(score - edges[grades + 1]))
-            lower = 1 / (1 + np.exp(score - edges[grades]))
-        inside = np.maximum(upper - lower, 1e-12)
-        by_score = 1 - upper - lower  # of the negative log-likelihood
-        up, down = upper * (1 - upper) / inside, lower * (1 - lower) / inside
-        by_cut = np.bincount(grades, weights=-up, minlength=GRADES)[:-1]
-        by_cut = by_cut + np.bincount(grades, weights=down, minlength=GRADES)[1:]
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([
-            np.bincount(k, weights=by_score[at] * x, minlength=width) / n + ridge * w,
-            [tail[0] / n], tail[1:] * gaps / n,
-        ])
+        gradient = slope(params, at, k, x, grades, width, ridge)
+        if np.abs(gradient).max() < still:
+            break
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         params = params - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
