@@ -4,6 +4,11 @@ A chain draws the same numbers for iteration k whatever happened before, so
 its trace does not depend on how the work is spread: each Spark job scores, per
 chain, all states the next few iterations could reach, partition by partition;
 only the sums come back.
+
+Values of components are either built in each pass, or, for larger trees, kept in
+written tables: a row per chain, component and block of patterns. A pass then reads
+the components above the edges it tries, with their siblings, first brings up to
+date those above edges accepted in the pass before, and writes only these.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import copy
 import math
 import time
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,10 +34,14 @@ from cladeloom.operators.likelihood import (
     plan_with_taxa,
 )
 from cladeloom.plans import kernels
-from cladeloom.session import materialize, metric, spread
+from cladeloom.session import discard, materialize, metric, spread
 
 BLOCK_BYTES = 64 << 20
 BYTES_PER_VALUE = 100  # a mix of 4- and 16-number components
+KEEP_ABOVE = 2_048  # components of a tree from which reading a path beats building all of them
+KEPT_SCHEMA = (
+    "chain bigint, comp bigint, block bigint, form string, value binary, scale binary, history string, loglik double"
+)
 
 TRACE_SCHEMA = (
     "chain bigint, iteration bigint, branch bigint, old_length double, new_length double, "
@@ -164,12 +174,15 @@ def run_mcmc(
     options: MCMCOptions | None = None,
     model: SubstitutionModel | None = None,
     lookahead: int = 4,
+    keep: bool | None = None,
 ) -> DataFrame:
     """Trace of every chain, started from the tree's own branch lengths.
 
     ``plan`` holds one tree; its layout (balanced or pruning) sets how many
     components one update touches, not the trace. ``lookahead`` iterations share
-    a job; fewer jobs cost up to 2 ** ``lookahead`` updates each.
+    a job; fewer jobs cost up to 2 ** ``lookahead`` updates each. ``keep`` tells
+    whether component values are kept between passes; unless given, they are for
+    trees of more than ``KEEP_ABOVE`` components. The trace is the same.
     """
     options, model = options or MCMCOptions(), model or JukesCantor()
     placed = materialize(plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS), "plan")
@@ -179,29 +192,31 @@ def run_mcmc(
     if len(trees) != 1:
         raise ValueError("run_mcmc takes the plan of exactly one tree")
     (tree,) = trees.values()
-    dealt = spread(patterns.select("pattern_id", "pattern", "freq"), "pattern_id")
-    return _shared_passes(materialize(dealt, "patterns"), tree, options, lookahead)
+    if metric(placed) > KEEP_ABOVE if keep is None else keep:
+        scores = KeptValues(patterns, tree).score
+    else:
+        dealt = spread(patterns.select("pattern_id", "pattern", "freq"), "pattern_id")
+        scores = partial(_score, materialize(dealt, "patterns"), tree, branch_components(tree))
+    return _shared_passes(patterns.sparkSession, scores, tree, options, lookahead)
 
 
 def _trace_columns() -> list[str]:
     return [c.split()[0] for c in TRACE_SCHEMA.split(", ")]
 
 
-def _shared_passes(patterns, tree: TreePlan, options: MCMCOptions, lookahead: int) -> DataFrame:
-    """One job per ``lookahead`` iterations of all chains.
+def _shared_passes(spark, scores_of, tree: TreePlan, options: MCMCOptions, lookahead: int) -> DataFrame:
+    """One pass per ``lookahead`` iterations of all chains, by ``scores_of(chains, k, steps)``.
 
     The driver keeps lengths and decisions, a few numbers per chain. Outcomes
     are named by their accept/reject history, e.g. '' , 'a', 'r', 'ar'.
     """
-    spark = patterns.sparkSession
-    comps = branch_components(tree)
-    start = tree.lengths[comps]
-    first = _score(patterns, tree, comps, [Chain(0, start, 0.0, options)], 0, 0)
+    start = tree.lengths[branch_components(tree)]
+    first = scores_of([Chain(0, start, 0.0, options)], 0, 0)
     chains = [Chain(c, start, first[0, "start"], options) for c in range(options.chains)]
     for k in range(0, options.iterations, lookahead):
         steps = min(lookahead, options.iterations - k)
         t0 = time.perf_counter()
-        scores = _score(patterns, tree, comps, chains, k, steps)
+        scores = scores_of(chains, k, steps)
         seconds = (time.perf_counter() - t0) / steps
         for chain in chains:
             history = ""
@@ -212,25 +227,27 @@ def _shared_passes(patterns, tree: TreePlan, options: MCMCOptions, lookahead: in
     return spark.createDataFrame(pd.DataFrame(rows, columns=_trace_columns()), TRACE_SCHEMA)
 
 
+def _explore(work, chain: Chain, comps, lengths, at: int, end: int, history: str, out: dict) -> None:
+    """Add the total of every proposal reachable in iterations ``at`` to ``end`` to ``out``."""
+    if at == end:
+        return
+    branch, old, new = chain.propose(at, lengths)
+    if chain.needs_score(new):
+        before = work.change(int(comps[branch]), new)
+        out[chain.chain, history] = out.get((chain.chain, history), 0.0) + work.total()
+        lengths[branch] = new
+        _explore(work, chain, comps, lengths, at + 1, end, history + "a", out)
+        work.restore(before)
+        lengths[branch] = old
+    _explore(work, chain, comps, lengths, at + 1, end, history + "r", out)
+
+
 def _score(patterns, tree, comps, chains, k: int, steps: int) -> dict:
     """Summed log-likelihoods of every reachable proposal, keyed by chain and history."""
     bare = [c.without_trace() for c in chains]
     shared = patterns.sparkSession.sparkContext.broadcast((tree, comps, bare))
     rows_per_block = max(64, BLOCK_BYTES // (len(tree.kind) * BYTES_PER_VALUE))
 
-    def explore(work, chain, lengths, at, history, out):
-        if at == k + steps:
-            return
-        branch, old, new = chain.propose(at, lengths)
-        if chain.needs_score(new):
-            before = work.change(int(comps[branch]), new)
-            out[chain.chain, history] = out.get((chain.chain, history), 0.0) + work.total()
-            lengths[branch] = new
-            explore(work, chain, lengths, at + 1, history + "a", out)
-            work.restore(before)
-            lengths[branch] = old
-        explore(work, chain, lengths, at + 1, history + "r", out)
-
     def run(batches):
         plan, edges, states = shared.value
         out = {}
@@ -247,7 +264,7 @@ def _score(patterns, tree, comps, chains, k: int, steps: int) -> dict:
                     if steps == 0:
                         key = chain.chain, "start"
                         out[key] = out.get(key, 0.0) + work.total()
-                    explore(work, chain, chain.lengths.copy(), k, "", out)
+                    _explore(work, chain, edges, chain.lengths.copy(), k, k + steps, "", out)
         if out:
             yield pd.DataFrame(
                 [(c, h, v) for (c, h), v in out.items()], columns=["chain", "history", "value"]
@@ -263,6 +280,156 @@ def _score(patterns, tree, comps, chains, k: int, steps: int) -> dict:
     return found
 
 
+class PathUpdater(BranchUpdater):
+    """The values one pass needs of a block, read instead of built; ``codes`` by taxon."""
+
+    def __init__(self, plan: TreePlan, codes: dict, freq: np.ndarray, stored: dict, lengths: dict):
+        self.plan, self.freq, self.codes = plan, freq, codes
+        self.root = plan.order[-1]
+        self.value = {c: v for c, (v, _) in stored.items()}
+        self.scale = {c: s for c, (_, s) in stored.items()}
+        for c, matrix in zip(lengths, plan.model.matrices(np.array(list(lengths.values())))):
+            self.value[c], self.scale[c] = plan.edge(c, codes, matrix), 0
+
+
+class KeptValues:
+    """Versions of component values in written tables, and which of them is current.
+
+    The driver knows, per chain and component, the table with its last version; what
+    chains have in common since the start is there once, under chain -1. Tables
+    without a current version are deleted. ``touched`` lists how many components each
+    chain had brought up to date in each pass.
+    """
+
+    def __init__(self, patterns: DataFrame, tree: TreePlan, rows_per_block: int | None = None):
+        self.tree, self.comps = tree, branch_components(tree)
+        self.place = {int(c): at for at, c in enumerate(self.comps)}
+        rows_per_block = rows_per_block or max(64, BLOCK_BYTES // (len(tree.kind) * BYTES_PER_VALUE))
+        kept = materialize(patterns.select("pattern_id", "pattern", "freq"), "patterns")
+        blocks = max(1, -(-metric(kept) // rows_per_block))
+        block = F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)).alias("block")
+        shared = patterns.sparkSession.sparkContext.broadcast(tree)
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(_built(shared.value, pdf), columns=_kept_columns())
+
+        laid = spread(kept.select(block, "pattern", "freq"), "block").groupBy("block").applyInPandas(build, KEPT_SCHEMA)
+        self.tables = {-1: materialize(laid.sortWithinPartitions("comp"), "kept_values")}
+        self.version: dict[tuple[int, int], int] = {}
+        self.lengths: dict[int, np.ndarray] = {}
+        self.touched: list[dict[int, int]] = []
+
+    def _above(self, edges) -> set[int]:
+        found = set()
+        for c in edges:
+            c = int(self.tree.parent[c])
+            while c >= 0 and c not in found:
+                found.add(c)
+                c = int(self.tree.parent[c])
+        return found
+
+    def _wanted(self, chain: int, merges: set[int], edges: set[int]) -> tuple[dict, set[int]]:
+        """Components to read by table, and the edges whose values are made from lengths."""
+        tree, by_table = self.tree, {-1: {(-1, -1)}}
+        ends = {int(c) for m in merges for c in (tree.left[m], tree.right[m])} | merges | edges
+        for c in ends:
+            if tree.kind[c]:
+                at = self.version.get((chain, c), -1)
+                by_table.setdefault(at, set()).add((chain if at >= 0 else -1, c))
+            elif tree.taxon[c] >= 0:
+                by_table[-1].add((-1, c))
+        return by_table, {c for c in ends if not tree.kind[c]}
+
+    def score(self, chains: list[Chain], k: int, steps: int) -> dict:
+        if not steps:
+            return self._sums(self.tables[-1])
+        work, wanted = [], {}
+        for chain in chains:
+            before = self.lengths.get(chain.chain, self.tree.lengths[self.comps])
+            stale = self._above(self.comps[np.flatnonzero(chain.lengths != before)])
+            tried = {int(self.comps[b]) for b in chain.branches[k:k + steps]}
+            by_table, edges = self._wanted(chain.chain, stale | self._above(tried), tried)
+            for table, rows in by_table.items():
+                wanted.setdefault(table, set()).update(rows)
+            read = {(c, n) for rows in by_table.values() for c, n in rows}
+            work.append((chain.without_trace(), sorted(stale), sorted(edges), read))
+            self.lengths[chain.chain] = chain.lengths.copy()
+        self.touched.append({chain.chain: len(stale) for chain, stale, _, _ in work})
+        rows = None
+        for table, pairs in wanted.items():
+            some = self.tables[table].filter("history IS NULL")
+            held = F.lit(False)
+            for c in {c for c, _ in pairs}:
+                held = held | (F.col("chain") == c) & F.col("comp").isin(sorted(n for d, n in pairs if d == c))
+            some = some.filter(held).select("chain", "comp", "block", "form", "value", "scale")
+            rows = some if rows is None else rows.unionByName(some)
+        shared = rows.sparkSession.sparkContext.broadcast((self.tree, self.comps, self.place, work))
+
+        def update(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(_updated(*shared.value, pdf, k, k + steps), columns=_kept_columns())
+
+        done = spread(rows, "block").groupBy("block").applyInPandas(update, KEPT_SCHEMA)
+        self.tables[k] = materialize(done, "kept_values")
+        shared.unpersist()
+        for chain, stale, _, _ in work:
+            self.version.update({(chain.chain, c): k for c in stale})
+        sums = self._sums(self.tables[k])
+        for old in set(self.tables) - {-1} - set(self.version.values()):
+            discard(self.tables.pop(old))
+        return sums
+
+    def _sums(self, table: DataFrame) -> dict:
+        sums = table.filter("history IS NOT NULL").groupBy("chain", "history").agg(F.sum("loglik").alias("value"))
+        return {(r.chain, r.history): r.value for r in sums.collect()}
+
+
+def _kept_columns() -> list[str]:
+    return [c.split()[0] for c in KEPT_SCHEMA.split(", ")]
+
+
+def _kept_row(chain: int, comp: int, block: int, value: np.ndarray, scale) -> tuple:
+    form = " ".join(map(str, value.shape))
+    return chain, comp, block, form, value.tobytes(), np.asarray(scale, np.int64).tobytes(), None, None
+
+
+def _built(plan: TreePlan, pdf: pd.DataFrame):
+    """Frequencies (component -1), codes of leaf edges and values of merges of one block."""
+    block = int(pdf["block"].iloc[0])
+    work = BranchUpdater(plan, codes_of_strings(pdf["pattern"].tolist()), pdf["freq"].to_numpy(float))
+    yield _kept_row(-1, -1, block, work.freq, 0)
+    for c in np.flatnonzero((plan.kind == 0) & (plan.taxon >= 0)).tolist():
+        yield _kept_row(-1, c, block, work.codes[plan.taxon[c]].astype(np.uint8), 0)
+    for c in plan.order:
+        yield _kept_row(-1, c, block, work.value[c], work.scale[c])
+    yield 0, None, block, None, None, None, "start", work.total()
+
+
+def _updated(plan: TreePlan, comps, place, work, pdf: pd.DataFrame, k: int, end: int):
+    """New versions of stale components of one block, and sums of what the chains try."""
+    block, stored, codes, freq = int(pdf["block"].iloc[0]), {}, {}, None
+    for row in pdf.itertuples():
+        if row.comp < 0:
+            freq = np.frombuffer(row.value)
+        elif plan.kind[row.comp]:
+            scale = np.frombuffer(row.scale, np.int64)
+            value = np.frombuffer(row.value).reshape([int(n) for n in row.form.split()])
+            stored[row.chain, row.comp] = value, scale if len(scale) > 1 else int(scale[0])
+        else:
+            codes[int(plan.taxon[row.comp])] = np.frombuffer(row.value, np.uint8)
+    for chain, stale, edges, read in work:
+        mine = {n: stored[c, n] for c, n in read if (c, n) in stored}
+        updater = PathUpdater(plan, codes, freq, mine, {c: chain.lengths[place[c]] for c in edges})
+        todo = set(stale)
+        for c in plan.order if todo else ():
+            if c in todo:
+                updater._merge(c)
+                yield _kept_row(chain.chain, c, block, updater.value[c], updater.scale[c])
+        out: dict = {}
+        _explore(updater, chain, comps, chain.lengths.copy(), k, end, "", out)
+        for (number, history), value in out.items():
+            yield number, None, block, None, None, None, history, value
+
+
 def prior_of_trees(nodes: DataFrame, rate: float) -> DataFrame:
     """(tree_id, log_prior): sum of ln(rate) - rate * length over the edges."""
     edges = nodes.filter("parent_id is not null")

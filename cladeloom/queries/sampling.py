@@ -40,9 +40,6 @@ def simulate_states(spark, sf):
     return states.select("label", "site", F.col("state").cast("bigint").alias("state"))
 
 
-
-
-
 def mcmc_trace(layout, proposal="truncated"):
     def run(spark, sf):
         patterns, taxa = event_patterns(spark, sf)
@@ -55,9 +52,18 @@ def mcmc_trace(layout, proposal="truncated"):
 
 def mcmc_shared(spark, sf):
     """Line-number taxa; every pass runs over the partitions of all patterns."""
+    return _line_trace(spark, sf, keep=False)
+
+
+def mcmc_kept(spark, sf):
+    """The same chains from component values kept in written tables."""
+    return _line_trace(spark, sf, keep=True)
+
+
+def _line_trace(spark, sf, keep):
     patterns, taxa = line_patterns(spark, sf)
     options = MCMCOptions(width=0.05, iterations=8, chains=2)
-    return run_mcmc(patterns, decompose(one_tree(spark, T7)), taxa, options).drop("seconds")
+    return run_mcmc(patterns, decompose(one_tree(spark, T7)), taxa, options, keep=keep).drop("seconds")
 
 
 def _level(name, upper, depth):
@@ -88,4 +94,5 @@ QUERIES = {
     "mcmc_trace_pruning": Query(mcmc_trace("pruning")),
     "mcmc_trace_symmetric": Query(mcmc_trace("balanced", "symmetric")),
     "mcmc_trace_shared": Query(mcmc_shared),
+    "mcmc_trace_kept": Query(mcmc_kept),
 }

@@ -12,13 +12,14 @@ from cladeloom.functions.models import HKY85, JukesCantor
 from cladeloom.operators import likelihood
 from cladeloom.operators.layered import layered_loglik
 from cladeloom.operators.likelihood import (
+    PLAN_COLUMNS,
     joined_loglik,
     load_plans,
     pattern_loglik,
     plan_with_taxa,
     tree_loglik,
 )
-from cladeloom.operators.mcmc import MCMCOptions, branch_updates, run_mcmc
+from cladeloom.operators.mcmc import KeptValues, MCMCOptions, _shared_passes, branch_updates, run_mcmc
 from cladeloom.operators.pruning import pattern_cells
 from cladeloom.operators.subpatterns import component_taxa, consed_loglik
 from cladeloom.operators.simulate import simulate_sequences, simulate_trees
@@ -257,8 +258,8 @@ def test_mcmc_same_trace_everywhere(nodes, taxa, patterns5, proposal):
     one = nodes.filter("tree_id = 3")
     options = MCMCOptions(width=0.2, iterations=12, chains=2, seed=5, proposal=proposal)
     traces = []
-    for layout, lookahead in (("balanced", 1), ("pruning", 5), ("balanced", 3)):
-        trace = run_mcmc(patterns5, decompose(one, layout), taxa, options, lookahead=lookahead)
+    for layout, lookahead, keep in (("balanced", 1, False), ("pruning", 5, True), ("balanced", 3, True)):
+        trace = run_mcmc(patterns5, decompose(one, layout), taxa, options, lookahead=lookahead, keep=keep)
         traces.append(trace.orderBy("chain", "iteration").collect())
     first = traces[0]
     assert len(first) == 24 and len({r.accepted for r in first}) == 2
@@ -270,6 +271,36 @@ def test_mcmc_same_trace_everywhere(nodes, taxa, patterns5, proposal):
             assert a.new_length == pytest.approx(b.new_length, abs=1e-12)
 
 
+def test_kept_values_touch_paths_only(spark):
+    """A caterpillar of 200 leaves in the balanced layout: what a pass brings up to date is a path an acceptance."""
+    newick = "A0:0.1"
+    for i in range(1, 200):
+        newick = f"({newick},A{i}:0.2):0.1"
+    nodes = parse_newick(spark.createDataFrame([(0, newick + ";")], "tree_id bigint, newick string"))
+    taxa = spark.createDataFrame([(i, f"A{i}") for i in range(200)], "taxon_id bigint, taxon string")
+    patterns = spark.createDataFrame(
+        [(k, "".join("0123"[(i * (k + 3) + k) % 4] for i in range(200)), k + 1) for k in range(7)],
+        "pattern_id bigint, pattern string, freq bigint")
+    plan = materialize(decompose(nodes, "balanced"))
+    placed = plan_with_taxa(plan, taxa).select(*PLAN_COLUMNS)
+    (tree,) = load_plans(placed, JukesCantor()).values()
+    kept = KeptValues(patterns, tree, rows_per_block=3)
+    steps, options = 2, MCMCOptions(width=0.2, iterations=6, chains=2, seed=5)
+    trace = _shared_passes(spark, kept.score, tree, options, steps).orderBy("chain", "iteration").collect()
+    plain = run_mcmc(patterns, plan, taxa, options, lookahead=steps, keep=False).orderBy("chain", "iteration").collect()
+    for a, b in zip(trace, plain, strict=True):
+        assert (a.chain, a.branch, a.accepted) == (b.chain, b.branch, b.accepted)
+        assert a.log_posterior == pytest.approx(b.log_posterior, abs=1e-8)
+    height = max(len(kept._above([c])) for c in kept.comps)
+    assert height < 40 and len(tree.order) > 390
+    accepted = {(r.chain, r.iteration // steps) for r in trace if r.accepted}
+    assert accepted
+    for at, touched in enumerate(kept.touched):
+        for chain, count in touched.items():
+            assert count <= steps * height
+            assert (count > 0) == ((chain, at - 1) in accepted)
+
+
 @pytest.mark.parametrize("layout", ["balanced", "pruning"])
 def test_branch_update_equals_full_evaluation(spark, nodes, taxa, patterns5, layout):
     plan = materialize(decompose(nodes.filter("tree_id = 2"), layout))
