@@ -442,3 +442,31 @@ def test_general_reversible_model():
     for bad in (((1,) * 5,), ((1,) * 5 + (-1,),), ((0,) * 6,), ((1,) * 6, (1, 1, 1, 0))):
         with pytest.raises(ValueError):
             GeneralReversible(*bad)
+
+
+def test_names_with_foreign_bytes(spark, monkeypatch):
+    """Bytes that no candidate has at their place are far from all: no pairs of names and candidates are compared."""
+    from cladeloom.operators import names as N
+
+    names = [f"Species#{k:06d}" for k in range(300)] * 3 + ["é", None]  # equal names count as one, the lowest index wins
+    asked = [n.replace("00", "0x") + "y" for n in names[:300]] + ["Species#xx0123", "yy", None]
+
+    def gap(a, b):
+        a, b = a.encode(), b.encode()
+        return sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
+
+    want = {q: min((gap(q, n), k) for k, n in enumerate(names[:-1])) for q in asked[:-1]}
+    candidates = spark.createDataFrame(list(enumerate(names)), "idx bigint, name string")
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    near, far = N.closest_by_masks(queries, candidates)
+    assert {r.query: (r.distance, r.idx) for r in near.collect()} == want
+    assert {r.query for r in far.collect()} == {None}
+    few, rest = N.closest_by_masks(queries, candidates, max_masks=1)
+    assert 0 < few.count() < near.count() and few.count() + rest.count() == len(asked)
+
+    def refuse(*args):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(N, "closest_by_distance", refuse)
+    got = match_names(queries.filter("endswith(query, 'y') AND query != 'yy'"), candidates.filter("name IS NOT NULL"))
+    assert {r.query: (r.distance, r.idx) for r in got.collect()} == {q: w for q, w in want.items() if q.endswith("y") and q != "yy"}
