@@ -6,19 +6,76 @@ many children rely on adaptive skew splitting; grouped results combine first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
 
+from cladeloom.operators.blocks import Walk, by_tree, column, has_plain_ids, links, tree_numbers
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
-from cladeloom.session import materialize, metric, spread
+from cladeloom.session import known_rows, materialize, metric, spread
 
 KEY = ["tree_id", "node_id"]
 PATH_END = (1 << 63) - 1
 
 
-def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
+def _in_tasks(
+    nodes: DataFrame, work: Callable[[pa.Table], pa.Table], fields: list[StructField],
+    by_joins: Callable[[DataFrame], DataFrame], max_rows: int | None,
+) -> DataFrame:
+    """``work`` on trees that fit a task, ``by_joins`` on the others; the last field is NULL in no other row."""
+    if not has_plain_ids(nodes):
+        return by_joins(nodes)
+    left = fields[-1].name
+    done = materialize(by_tree(nodes, work, fields, max_rows), "trees", large=F.count_if(F.col(left).isNull()))
+    if not metric(done, "large"):
+        return done
+    large = materialize(done.filter(F.col(left).isNull()).select("tree_id").distinct(), "large")
+    rest = by_joins(nodes.join(large, "tree_id", "left_semi")).select(*done.columns)
+    return done.filter(F.col(left).isNotNull()).unionByName(rest)
+
+
+def _fields(nodes: DataFrame, *dropped: str) -> list[StructField]:
+    return [StructField(f.name, f.dataType) for f in nodes.schema.fields if f.name not in ("tree_id", *dropped)]
+
+
+def _walk(block: pa.Table) -> Walk:
+    names = block.column_names
+    order = (column(block, "child_ord", -PATH_END),) if "child_ord" in names else ()
+    return Walk(tree_numbers(block), links(block), order)
+
+
+def _placed(block: pa.Table, numbers: bool) -> pa.Table:
+    """Rows below a root with depth and dist and, if asked for, pre and post."""
+    walk = _walk(block)
+    null = block.column("length").is_null().to_numpy()
+    dist = walk.down(block.column("length").cast(pa.float64()).fill_null(0.0).to_numpy())
+    found = {"dist": pa.array(dist, mask=walk.unknown(null))}
+    if numbers:
+        found |= {k: pa.array(v) for k, v in zip(("pre", "post"), walk.numbers())}
+    found["depth"] = pa.array(walk.depth.astype(np.int32))
+    kept = pa.table({**{n: block.column(n) for n in block.column_names if n not in found}, **found})
+    return kept if (walk.depth >= 0).all() else kept.filter(pa.array(walk.depth >= 0))
+
+
+def root_distances(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Adds ``depth`` (edges) and ``dist`` (length) from the root to every node.
 
+    Trees that fit a task are walked there, after one shuffle; larger ones by joins.
+    """
+    nodes = nodes.drop("depth", "dist", "path")
+    return _in_tasks(
+        nodes, lambda block: _placed(block, False),
+        [*_fields(nodes), StructField("dist", DoubleType()), StructField("depth", IntegerType())],
+        _root_distances_by_joins, max_rows)
+
+
+def _root_distances_by_joins(nodes: DataFrame, with_path: bool = False) -> DataFrame:
+    """Depth and dist in trees of any size.
+
     Pointer doubling: each round joins a node to the ancestor reached so far
     and doubles the distance covered, so a tree of height h needs log2(h)
     rounds. ``with_path`` also collects the child positions on the way down.
@@ -58,15 +115,23 @@ def root_distances(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     return nodes.drop("depth", "dist", "path").join(found, KEY)
 
 
-def number_nodes(nodes: DataFrame) -> DataFrame:
+def number_nodes(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Adds ``depth``, ``dist``, ``pre`` and ``post`` to a parent-pointer table.
 
-    Meant for shallow hierarchies: the sort key is the path of child positions.
-    Parsed trees carry their numbers already.
+    Trees that fit a task are numbered there, after one shuffle. Larger ones should be
+    shallow: their sort key is the path of child positions. Parsed trees carry their
+    numbers already.
     """
+    nodes = nodes.drop("depth", "dist", "path", "pre", "post")
+    added = [StructField("dist", DoubleType()), StructField("pre", LongType()), StructField("post", LongType()),
+             StructField("depth", IntegerType())]
+    return _in_tasks(nodes, lambda block: _placed(block, True), [*_fields(nodes), *added], _number_by_joins, max_rows)
+
+
+def _number_by_joins(nodes: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     small = groups_are_small(nodes, "tree_id")
-    walked = root_distances(nodes, with_path=True)
+    walked = _root_distances_by_joins(nodes, with_path=True)
     ranked = rank_in_group(walked, "tree_id", [F.col("path")], "pre", small)
     after = F.concat(F.col("path"), F.array(F.lit(PATH_END)))
     return rank_in_group(
@@ -98,9 +163,8 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
     Leaves, nodes, total length, root-to-tip, height and leaf depths, whether
     binary, largest child count, rooted and unrooted cherries.
     """
-    walked = materialize(
-        walked.select(*KEY, "parent_id", "length", "is_leaf", "depth", "dist"), "walked"
-    )
+    if known_rows(walked) is None:
+        walked = materialize(walked.select(*KEY, "parent_id", "length", "is_leaf", "depth", "dist"), "walked")
     leaf = F.col("is_leaf")
     per_node = walked.groupBy("tree_id").agg(
         F.count("*").alias("n_nodes"),
@@ -110,27 +174,24 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
         F.max(F.when(leaf, F.col("depth"))).cast("bigint").alias("height"),
         F.sum(F.when(leaf, F.col("depth"))).cast("bigint").alias("sum_height"),
     )
-    kids = child_counts(walked)
+    kids = walked.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(
+        F.count("*").alias("n_children"),
+        F.sum(leaf.cast("bigint")).alias("n_leaf_children"),
+        F.min("depth").alias("_level"),
+    )
+    # A root with one leaf child and one inner child that itself has exactly one
+    # leaf child hides a further cherry across the root.
+    one_leaf = F.col("n_leaf_children") == 1
     shape = kids.groupBy("tree_id").agg(
         F.min(F.when(F.col("n_children") == 2, 1).otherwise(0)).alias("_binary"),
         F.max("n_children").alias("max_children"),
         F.sum(
             F.when((F.col("n_children") == 2) & (F.col("n_leaf_children") == 2), 1).otherwise(0)
         ).alias("cherries"),
+        (F.bool_or((F.col("_level") == 1) & (F.col("n_children") == 2) & one_leaf)
+         & F.bool_or((F.col("_level") == 2) & one_leaf)).cast("int").alias("_hidden"),
     )
-    # A root with one leaf child and one inner child that itself has exactly one
-    # leaf child hides a further cherry across the root.
-    root_kids = walked.filter("depth = 0").select(*KEY).join(kids, KEY).filter(
-        "n_children = 2 and n_leaf_children = 1"
-    ).select("tree_id")
-    hidden = (
-        walked.filter("depth = 1 and not is_leaf").select(*KEY)
-        .join(root_kids, "tree_id", "left_semi")
-        .join(kids, KEY)
-        .filter("n_leaf_children = 1")
-        .select("tree_id", F.lit(1).alias("_hidden"))
-    )
-    joined = per_node.join(shape, "tree_id", "left").join(hidden, "tree_id", "left")
+    joined = per_node.join(shape, "tree_id", "left")
     return joined.select(
         "tree_id", "n_nodes", "n_leaves", "total_length", "root_to_tip", "height", "sum_height",
         (F.col("sum_height") / F.col("n_leaves")).alias("avg_height"),
@@ -183,13 +244,27 @@ def leftmost_heights(numbered: DataFrame) -> DataFrame:
     )
 
 
-def node_heights(walked: DataFrame) -> DataFrame:
+def node_heights(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Adds ``edge_height``: edges from a node down to its furthest leaf.
 
-    Needs ``depth``. Each round hands the deepest node seen to the ancestor
+    Trees that fit a task are walked there, after one shuffle; larger ones by joins.
+    """
+    def work(block: pa.Table) -> pa.Table:
+        walk = _walk(block)
+        high = block.append_column("edge_height", pa.array(walk.deepest() - walk.depth))
+        return high if (walk.depth >= 0).all() else high.filter(pa.array(walk.depth >= 0))
+
+    nodes = nodes.drop("edge_height")
+    return _in_tasks(nodes, work, [*_fields(nodes), StructField("edge_height", LongType())], _node_heights_by_joins, max_rows)
+
+
+def _node_heights_by_joins(walked: DataFrame) -> DataFrame:
+    """``edge_height`` in trees of any size.
+
+    Each round hands the deepest node seen to the ancestor
     reached so far and doubles the reach, so height h takes log2(h) rounds.
     """
-    walked = materialize(walked, "walked")
+    walked = materialize(walked if "depth" in walked.columns else _root_distances_by_joins(walked), "walked")
     active = F.count("_anc")
     step = materialize(walked.select(
         *KEY, F.col("parent_id").alias("_anc"), F.col("depth").cast("bigint").alias("_deepest")
@@ -467,89 +542,85 @@ def compare_trees(a: DataFrame, b: DataFrame, pairs: DataFrame, columns: list[st
 # --- resolution -------------------------------------------------------------
 
 
-def resolve(numbered: DataFrame) -> DataFrame:
+def resolve(numbered: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Binary trees with the same likelihood.
 
     Unary nodes vanish with their own edge length. A node with k > 2 children
     wraps its first two under a new zero-length node until two are left, which
     yields k - 2 chained nodes. Needs ``pre``, ``post``, ``depth``; returns
-    fresh ids (postorder numbers), numbers and depths.
+    fresh ids (postorder numbers), numbers, depths and distances. Trees that fit a
+    task are resolved there, after one shuffle; larger ones by joins.
     """
+    kept = ["tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "pre", "post", "depth"]
+    fields = [StructField("node_id", LongType()), StructField("parent_id", LongType()), StructField("child_ord", LongType()),
+              StructField("label", StringType()), StructField("length", DoubleType()), StructField("is_leaf", BooleanType()),
+              StructField("pre", LongType()), StructField("post", LongType()), StructField("dist", DoubleType()),
+              StructField("depth", IntegerType())]
+    return _in_tasks(numbered.select(*kept), _resolved, fields, _resolve_by_joins, max_rows)
+
+
+def _resolved(block: pa.Table) -> pa.Table:
+    """Whole trees without unary nodes, children beyond two under chained wrappers."""
+    parent, tree = links(block), tree_numbers(block)
+    unary = np.bincount(parent[parent >= 0], minlength=len(parent)) == 1
+    while True:  # pointers jump over chains of unary nodes, two at a time
+        over = (parent >= 0) & unary[parent]
+        if not over.any():
+            break
+        parent = np.where(over, parent[parent], parent)
+    row = np.flatnonzero(~unary)
+    at = np.cumsum(~unary) - 1
+    parent = np.where(parent[row] >= 0, at[parent[row]], parent[row])
+    n, tree = len(row), tree[row]
+
+    kids = np.lexsort((column(block, "pre")[row], parent))
+    kids = kids[np.searchsorted(parent[kids], 0):]
+    count = np.bincount(parent[kids], minlength=n)
+    place = np.zeros(n, np.int64)
+    place[kids] = np.arange(len(kids)) - (np.cumsum(count) - count)[parent[kids]]
+    inner = np.maximum(count - 2, 0)  # wrappers of a node, numbered from its first child up
+    base = n + np.cumsum(inner) - inner - 1
+    wrapped = np.zeros(n, bool)
+    wrapped[kids] = place[kids] <= count[parent[kids]] - 2
+    wrapped[kids] &= count[parent[kids]] > 2
+    up = np.where(wrapped, base[parent] + np.maximum(place, 1), parent)
+    owner = np.repeat(np.arange(n), inner)
+    wrap = n + np.arange(len(owner))
+    above = np.where(wrap < base[owner] + inner[owner], wrap + 1, owner)
+
+    parent = np.concatenate([up, above])
+    order = np.concatenate([np.minimum(place, 1), np.zeros(len(owner), np.int64)])
+    tree = np.concatenate([tree, tree[owner]])
+    source = pa.array(np.concatenate([row, np.zeros(len(owner), np.int64)]), mask=np.arange(len(parent)) >= n)
+    length = block.column("length").cast(pa.float64()).take(source).combine_chunks()
+    null = length.is_null().to_numpy(zero_copy_only=False)
+    null[n:] = False
+    walk = Walk(tree, parent, (order,))
+    pre, post = walk.numbers()
+    dist = pa.array(walk.down(length.fill_null(0.0).to_numpy()), mask=walk.unknown(null))
+    out = pa.table({
+        "tree_id": block.column("tree_id").take(pa.array(np.concatenate([row, row[owner]]))),
+        "node_id": pa.array(post),
+        "parent_id": pa.array(post[parent], mask=parent < 0),
+        "child_ord": pa.array(order),
+        "label": block.column("label").take(source),
+        "length": pa.array(np.where(np.arange(len(parent)) < n, length.fill_null(0.0).to_numpy(), 0.0), mask=null),
+        "is_leaf": block.column("is_leaf").take(source).fill_null(False),
+        "pre": pa.array(pre), "post": pa.array(post), "dist": dist,
+        "depth": pa.array(walk.depth.astype(np.int32)),
+    })
+    chosen = np.lexsort((post, tree))
+    return out.take(pa.array(chosen[walk.depth[chosen] >= 0]))
+
+
+def _resolve_by_joins(numbered: DataFrame) -> DataFrame:
+    """Trees of any size: ranks over all tasks and joins."""
     numbered = materialize(numbered, "numbered")
-    small = groups_are_small(numbered, "tree_id")
     kids = child_counts(numbered).select(*KEY, "n_children")
     nodes = numbered.select(
         *KEY, "parent_id", "label", "length", "is_leaf", "pre", "post", "depth"
     ).join(kids, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    nodes = _skip_unary(materialize(nodes, "counted"))
-    return _resolve_in_tasks(nodes) if small else _resolve_by_joins(nodes)
-
-
-def _resolve_in_tasks(nodes: DataFrame) -> DataFrame:
-    """Trees that fit a task: one shuffle by tree, all numbering in windows."""
-    family = Window.partitionBy("tree_id", "parent_id")
-    m = (F.row_number().over(family.orderBy("pre")) - 1).alias("_m")
-    placed = spread(nodes, "tree_id").select(
-        "*", m, F.count("*").over(family).alias("_k"),
-        F.min(_open_at()).over(family).alias("_first_open"),
-    )
-
-    def mark(at, sub, opens, length, leaf, label):
-        return F.struct(
-            at.cast("bigint").alias("at"), sub.cast("bigint").alias("sub"),
-            F.lit(opens).alias("opens"), length.alias("length"), leaf.alias("is_leaf"),
-            label.cast("string").alias("label"),
-        )
-
-    own = [F.col("length"), F.col("is_leaf"), F.col("label")]
-    new = [F.lit(0.0), F.lit(False), F.lit(None)]
-    zero = F.lit(0)
-    wraps = F.col("parent_id").isNotNull() & F.col("_m").between(F.lit(1), F.col("_k") - 2)
-    node_marks = F.array(mark(_open_at(), zero, True, *own), mark(_close_at(), zero, False, *own))
-    wrap_marks = F.array(
-        mark(F.col("_first_open"), -F.col("_m"), True, *new),
-        mark(_close_at(), F.lit(1), False, *new),
-    )
-    marks = placed.select(
-        "tree_id", F.inline(F.when(wraps, F.concat(node_marks, wrap_marks)).otherwise(node_marks))
-    )
-    so_far = Window.partitionBy("tree_id").orderBy("at", "sub").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    opened = F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(so_far)
-    closed = F.sum(F.when(F.col("opens"), 0).otherwise(1)).over(so_far)
-    marks = marks.select("*", opened.alias("_o"), closed.alias("_c")).withColumn(
-        "depth", (F.col("_o") - F.col("_c") - F.when(F.col("opens"), 1).otherwise(0)).cast("int")
-    )
-    # Opening and closing bracket of a node alternate within its depth.
-    level = Window.partitionBy("tree_id", "depth").orderBy("at", "sub").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    closes = marks.withColumn(
-        "pre", F.last(F.when(F.col("opens"), F.col("_o") - 1), True).over(level)
-    ).filter("not opens").withColumn("post", F.col("_c") - 1)
-    # The parent is the next node to close one level up.
-    roles = closes.withColumn(
-        "_up", F.explode(F.when(F.col("is_leaf"), F.array(F.lit(1))).otherwise(
-            F.array(F.lit(0), F.lit(1))))
-    ).withColumn("_ring", F.col("depth") - F.col("_up"))
-    ring = Window.partitionBy("tree_id", "_ring").orderBy(F.col("post").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    found = roles.withColumn(
-        "parent_id", F.last(F.when(F.col("_up") == 0, F.col("post")), True).over(ring)
-    ).filter("_up = 1")
-    order = Window.partitionBy("tree_id", "parent_id").orderBy("post")
-    return found.select(
-        "tree_id", F.col("post").alias("node_id"), "parent_id",
-        (F.row_number().over(order) - 1).cast("bigint").alias("child_ord"),
-        "label", "length", "is_leaf", "depth", "pre", "post",
-    )
-
-
-def _resolve_by_joins(nodes: DataFrame) -> DataFrame:
-    """Trees of any size: ranks over all tasks and joins."""
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(_skip_unary(materialize(nodes, "counted")), "nodes")
     family = nodes.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(
         F.count("*").alias("_k"), F.min(_open_at()).alias("_first_open")
     )
@@ -587,7 +658,7 @@ def _resolve_by_joins(nodes: DataFrame) -> DataFrame:
         F.col("_first_open").alias("o"), (-m).alias("o2"),
         _close_at().alias("c"), F.lit(1).cast("bigint").alias("c2"),
     )
-    return _renumber(rows.unionByName(wrappers))
+    return _root_distances_by_joins(_renumber(rows.unionByName(wrappers)))
 
 
 def _open_at() -> Column:

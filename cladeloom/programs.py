@@ -22,7 +22,7 @@ from cladeloom.sources.newick import to_newick
 def tree_heights(nodes: DataFrame) -> DataFrame:
     """Per tree: taxa, lengths, and heights of the pruning and balanced plans."""
     resolved = materialize(O.resolve(nodes), "resolved")
-    shape = O.tree_metrics(O.root_distances(resolved)).select(
+    shape = O.tree_metrics(resolved).select(
         "tree_id", F.col("n_leaves").alias("ntax"), "root_to_tip", "total_length"
     )
     balanced = plan_heights(decompose(resolved)).withColumnsRenamed(

@@ -174,7 +174,7 @@ def graft_siblings(spark, sf):
 
 def node_heights(spark, sf):
     """Edges from every node of the forest down to its furthest leaf."""
-    return O.node_heights(_walked_forest(spark, sf)).select("tree_id", "node_id", "edge_height")
+    return O.node_heights(T.customer_forest(spark, sf)).select("tree_id", "node_id", "edge_height")
 
 
 def reroot_forest(spark, sf):
@@ -230,8 +230,7 @@ def resolve_fk(spark, sf):
 
 
 def resolve_forest(spark, sf):
-    resolved = O.root_distances(_resolved_forest(spark, sf))
-    return _metric_rows(O.tree_metrics(resolved)).drop("cherries", "unrooted_cherries")
+    return _metric_rows(O.tree_metrics(_resolved_forest(spark, sf))).drop("cherries", "unrooted_cherries")
 
 
 def pruning_heights(spark, sf):

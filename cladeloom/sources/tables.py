@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import symbol_of_code
-from cladeloom.session import materialize
+from cladeloom.session import materialize, spread
 
 MAX_PIVOT_TAXA = 512  # above this the aggregate row would outgrow code generation
 
@@ -141,9 +141,9 @@ def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree per customer: customer - order - line; only orders that have lines."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = (
-        read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    )
+    lines = spread(  # told apart where they meet their order
+        read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey"
+    ).distinct()
     leaf = materialize(
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .select("o_custkey", "o_orderkey", "l_linenumber"), "leaves",

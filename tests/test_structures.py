@@ -470,3 +470,68 @@ def test_names_with_foreign_bytes(spark, monkeypatch):
     monkeypatch.setattr(N, "closest_by_distance", refuse)
     got = match_names(queries.filter("endswith(query, 'y') AND query != 'yy'"), candidates.filter("name IS NOT NULL"))
     assert {r.query: (r.distance, r.idx) for r in got.collect()} == {q: w for q, w in want.items() if q.endswith("y") and q != "yy"}
+
+
+def test_trees_in_tasks_agree_with_joins(spark, monkeypatch):
+    """Numbers, heights and resolution of odd trees: in tasks, by joins, and with some trees too large for a task."""
+    from cladeloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in range(40):
+        n = int(rng.integers(1, 30))
+        ids = rng.permutation(n * 3)[:n].tolist()
+        for k, node in enumerate(ids):
+            up = None if k == 0 else ids[int(rng.integers(k)) if t % 2 else max(0, k - int(rng.integers(1, 3)))]
+            length = None if rng.random() < 0.05 else float(rng.integers(1, 9))
+            rows.append((t - 5, node, up, -k if t % 3 else k, f"n{k}", length))
+    rows += [(99, 1, 7, 0, "lost", 1.0)]  # a parent that is not there
+    plain = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, child_ord bigint, label string, length double")
+    inner = plain.select("tree_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_in", F.lit(True))
+    plain = materialize(plain.join(inner, ["tree_id", "node_id"], "left").withColumn("is_leaf", F.col("_in").isNull()).drop("_in"))
+
+    def same(name, by_joins, nodes):
+        whole = getattr(O, name)(nodes)
+        want = sorted(map(str, by_joins(nodes).select(*whole.columns).collect()))
+        for got in (whole, getattr(O, name)(nodes, max_rows=12).select(*whole.columns)):
+            assert sorted(map(str, got.collect())) == want, name
+
+    same("root_distances", O._root_distances_by_joins, plain)
+    same("number_nodes", O._number_by_joins, plain)
+    numbered = O.number_nodes(plain)
+    assert numbered.filter("tree_id = 99").isEmpty()
+    same("node_heights", O._node_heights_by_joins, plain)
+    same("resolve", O._resolve_by_joins, numbered)
+
+
+def test_trees_are_shuffled_once(spark, monkeypatch):
+    """Walks and resolution of trees that fit a task join nothing."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("joins")
+
+    for name in ("_root_distances_by_joins", "_number_by_joins", "_node_heights_by_joins", "_resolve_by_joins"):
+        monkeypatch.setattr(O, name, refuse)
+    nodes = parse(spark, "(A:1,(B:1,C:1):1,D:1);").drop("depth", "pre", "post")
+    numbered = O.number_nodes(nodes)
+    assert O.node_heights(nodes).count() == O.root_distances(nodes).count() == 6
+    assert O.tree_metrics(O.resolve(numbered)).first().is_binary
+
+
+def test_newick_in_batches_agrees_with_windows(spark, monkeypatch):
+    """Well-formed and broken texts, comments, odd numbers; whole texts meet no shuffle of their tokens."""
+    texts = ["(A:1,(B:2.5,C)x[n]:1e-3,D[m]:.5)r;", "A;", "(A,B);", "((((A:1):2):3):4):5;", "(A,B", "A,B)", "(A,,B);", "()", "", "(((",
+             "(A:1:2,B);", "(A:x,B);", "(A:NaN,B:1d);", "(A:,B);", "(A[a:b,(c],B[]:2)[z]:3;", "(A B:1,C)(D);", "(A,B)C D;", "(A:1,B:2):",
+             "[c](A,B);", "(A:+1.,B:-2)'q' ;x", "((A,B),(C,D));(E,F);", "(A)B)C(", "x]y;", "(é:1,ü:2)ß;"]
+    rng = np.random.default_rng(5)
+    texts += ["".join(rng.choice(list("((()),,:1A[]"), int(rng.integers(2, 14)))) for _ in range(300)]
+    trees = materialize(spark.createDataFrame(list(enumerate(texts)), "tree_id bigint, newick string"))
+    text = F.split(F.regexp_replace("newick", r"\s+", ""), ";" + X.OUTSIDE_COMMENT)[0]
+    want = X._parsed_by_windows(trees.select("tree_id", text.alias("newick")), 7.0).collect()
+    got = X._parsed(trees, 7.0).collect()
+    assert sorted(map(str, (r for r in got if not r.broken))) == sorted(map(str, (r for r in want if not r.broken)))
+    assert {r.tree_id for r in got if r.broken} == {r.tree_id for r in want if r.broken}
+    assert len({r.tree_id for r in got if not r.broken}) > 12
+    plain = trees.filter("newick LIKE '((A,B),%'")
+    plan = X._parsed(plain, 7.0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan or "MapInPandas" in plan
