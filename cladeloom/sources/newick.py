@@ -7,8 +7,14 @@ preorder and postorder numbers in the tree; parsed nodes use ``post`` as id.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from cladeloom.operators.ranking import global_rank
 from cladeloom.session import materialize
@@ -16,6 +22,13 @@ from cladeloom.session import materialize
 # The token classes of the format.
 TOKEN = r"\[[^\]]*\]|[(),:]|[^(),:;\[\]]+"
 OUTSIDE_COMMENT = r"(?![^\[]*\])"
+ODD_LENGTH = r":(?![+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?([,()\[\]:;]|$))"
+NONE, OPEN, CLOSE, COMMA, COLON, NOTE, WORD = range(7)
+PARSED = [StructField(name, kind) for name, kind in (
+    ("node_id", LongType()), ("parent_id", LongType()), ("child_ord", LongType()), ("label", StringType()),
+    ("meta", StringType()), ("length", DoubleType()), ("is_leaf", BooleanType()), ("depth", IntegerType()),
+    ("pre", LongType()), ("post", LongType()), ("broken", BooleanType()))]
+BATCH_CHARS = 1 << 22  # characters of whole texts parsed at a time
 TREE_START = r"(?<=[^,(])(?=\()"
 
 
@@ -103,10 +116,111 @@ def read_trees(spark: SparkSession, paths: list[str], default_length: float = 0.
 
 
 def _parsed(trees: DataFrame, default_length: float) -> DataFrame:
-    """Nodes with ``broken``, whether their tree is malformed."""
+    """Nodes with ``broken``, whether their tree is malformed.
+
+    Texts are parsed where they lie, batch by batch. Where a colon is followed by
+    anything but a plain decimal number, Spark's own cast decides (``_parsed_by_windows``).
+    """
     text = F.split(F.regexp_replace("newick", r"\s+", ""), ";" + OUTSIDE_COMMENT)[0]
-    tokens = trees.select(
-        "tree_id", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("at", "tok")
+    trees = trees.select("tree_id", text.alias("newick"))
+    odd = F.col("newick").rlike(ODD_LENGTH)
+    schema = StructType([trees.schema["tree_id"], *PARSED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("newick").fill_null("").to_pylist()
+            ends = np.cumsum([len(t) for t in sizes])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1).tolist(), len(sizes)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    out = _nodes_of(batch.column("tree_id").slice(lo, hi - lo), sizes[lo:hi], default_length)
+                    yield from out.combine_chunks().to_batches()
+
+    plain = trees.filter(~odd).mapInArrow(run, schema)
+    return plain.unionByName(_parsed_by_windows(trees.filter(odd), default_length))
+
+
+def _nodes_of(ids: pa.Array, texts: list[str], default_length: float) -> pa.Table:
+    """Node table of some texts; the tokens of all of them lie in one array."""
+    split = [re.findall(TOKEN, t) for t in texts]
+    tokens = [t for tree in split for t in tree]
+    many = np.array([len(tree) for tree in split], np.int64)
+    tree = np.repeat(np.arange(len(split)), many)
+    n = len(tokens)
+    kinds = {"(": OPEN, ")": CLOSE, ",": COMMA, ":": COLON, "[": NOTE}
+    kind = np.fromiter((kinds.get(t[0], WORD) for t in tokens), np.int8, n)
+
+    def shifted(by: int) -> np.ndarray:
+        """Kinds of the tokens ``by`` places on in the same tree, else NONE."""
+        at = np.arange(n) + by
+        inside = (at >= 0) & (at < n)
+        at = np.where(inside, at, 0)
+        return np.where(inside & (tree[at] == tree), kind[at], NONE) if n else kind
+
+    def per_tree(steps: np.ndarray) -> np.ndarray:
+        total = np.cumsum(steps)
+        heads = np.cumsum(many) - many
+        return total - np.repeat((np.append(0, total)[heads]), many)
+
+    prev, follow = shifted(-1), [shifted(k) for k in range(1, 5)]
+    opened, closed, word = kind == OPEN, kind == CLOSE, kind == WORD
+    starts = np.isin(prev, (NONE, OPEN, COMMA))
+    leaf = word & starts
+    node = leaf | closed
+    labelled = closed & (follow[0] == WORD)
+    a, b = np.where(labelled, follow[1], follow[0]), np.where(labelled, follow[2], follow[1])
+    c = np.where(labelled, follow[3], follow[2])
+    noted = a == NOTE
+    skip = np.where(a == COLON, 1, np.where(noted & (b == COLON), 2, 0))
+    valued = (skip > 0) & (np.where(skip == 1, b, c) == WORD)
+    level = per_tree(opened.astype(np.int64) - closed)
+    misplaced = (
+        (np.isin(kind, (COMMA, CLOSE)) & starts)
+        | (word & ~starts & ~np.isin(prev, (CLOSE, COLON)))
+        | (opened & ~starts)
+        | ((kind == COMMA) & (level < 1))
+        | (level < 0)
+        | ((kind == COLON) & (follow[0] != WORD))
+    )
+    broken = np.bincount(tree, misplaced, len(split)) > 0
+    broken |= np.bincount(tree, opened.astype(float) - closed, len(split)) != 0
+    post, pre = per_tree(node.astype(np.int64)) - 1, per_tree((opened | leaf).astype(np.int64)) - 1
+
+    # Keys (tree, level, place): the enclosing bracket closes next one level up, a bracket opened last on its own.
+    wide, low = int(level.max(initial=0) - level.min(initial=0)) + 4, int(level.min(initial=0)) - 2
+    key = (tree * wide + level - low) * (n + 1) + np.arange(n)
+    at = np.flatnonzero(node)
+    closes, opens = np.flatnonzero(closed), np.flatnonzero(opened)
+    order = closes[np.argsort(key[closes])]
+    asked = key[at] - (n + 1)
+    nearest = np.searchsorted(key[order], asked)
+    found = np.append(order, 0)[nearest]
+    has = (nearest < len(order)) & (key[found] // (n + 1) == asked // (n + 1)) if n else nearest < 0
+    own = (tree[opens] * wide + level[opens] - 1 - low) * (n + 1) + opens
+    rank = np.argsort(own)
+    mine = np.append(rank, 0)[np.maximum(np.searchsorted(own[rank], key[at]) - 1, 0)]
+    first = np.where(leaf[at], pre[at], pre[np.append(opens, 0)[mine]] if len(opens) else pre[at])
+    family = np.where(has, found, n + at)
+    line = np.lexsort((at, family))
+    place = np.zeros(len(at), np.int64)
+    heads = np.flatnonzero(np.diff(family[line], prepend=-1))
+    place[line] = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+
+    start = at + 1 + labelled[at]  # where a comment or a colon may stand
+    lengths = [float(tokens[s + k]) if v else default_length for s, k, v in zip(start.tolist(), skip[at].tolist(), valued[at].tolist())]
+    labels = [tokens[k] if f else tokens[k + 1] if m else None for k, f, m in zip(at.tolist(), leaf[at].tolist(), labelled[at].tolist())]
+    notes = [re.sub(r"^\[|\]$", "", tokens[s]) if m else None for s, m in zip(start.tolist(), noted[at].tolist())]
+    return pa.table({
+        "tree_id": ids.take(pa.array(tree[at])), "node_id": post[at],
+        "parent_id": pa.array(post[found] if n else post[at], mask=~has), "child_ord": place,
+        "label": pa.array(labels, pa.string()), "meta": pa.array(notes, pa.string()), "length": pa.array(lengths, pa.float64()),
+        "is_leaf": leaf[at], "depth": level[at].astype(np.int32), "pre": first, "post": post[at], "broken": broken[tree[at]],
+    })
+
+
+def _parsed_by_windows(trees: DataFrame, default_length: float) -> DataFrame:
+    tokens = trees.repartition("tree_id").select(
+        "tree_id", F.posexplode(F.regexp_extract_all("newick", F.lit(TOKEN), 0)).alias("at", "tok")
     )
     w = Window.partitionBy("tree_id").orderBy("at")
     up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,7 +247,7 @@ def _parsed(trees: DataFrame, default_length: float) -> DataFrame:
         .withColumn("is_leaf", leaf)
         .withColumn("label", F.when(leaf, F.col("tok")).when(labelled, F.col("n1")))
         .withColumn("meta", F.when(commented, F.regexp_replace(a, r"^\[|\]$", "")))
-        .withColumn("length", F.coalesce(length.cast("double"), F.lit(default_length)))
+        .withColumn("length", F.coalesce(length.try_cast("double"), F.lit(default_length)))
         .withColumn("level", F.sum(opened.cast("int") - closed.cast("int")).over(up_to))
     )
     misplaced = (
@@ -142,7 +256,7 @@ def _parsed(trees: DataFrame, default_length: float) -> DataFrame:
         | (opened & ~starts_item)
         | ((F.col("tok") == ",") & (F.col("level") < 1))
         | (F.col("level") < 0)
-        | ((F.col("tok") == ":") & (F.col("n1").cast("double").isNull()))
+        | ((F.col("tok") == ":") & (F.col("n1").try_cast("double").isNull()))
     )
     tokens = (
         tokens.withColumn("bad", F.max(F.coalesce(misplaced, F.lit(False))).over(whole))
@@ -231,12 +345,9 @@ def to_newick(
     if lengths:
         tail = F.concat(tail, F.lit(":"), F.col("length").cast("string"))
     comma = F.when(F.col("first"), F.lit("")).otherwise(F.lit(","))
-    # A first child opens right after its parent in preorder.
-    parents = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("_pp"))
-    placed = (
-        nodes.join(parents, ["tree_id", "parent_id"], "left")
-        .withColumn("first", F.col("_pp").isNull() | (F.col("pre") == F.col("_pp") + 1))
-    )
+    # A first child opens right after its parent, the only node one level up it can follow.
+    before = F.lag("depth").over(Window.partitionBy("tree_id").orderBy("pre"))
+    placed = nodes.withColumn("first", F.coalesce(before < F.col("depth"), F.lit(True)))
     opening = F.struct(
         (2 * F.col("pre") - F.col("depth")).alias("at"),
         F.concat(comma, F.when(F.col("is_leaf"), F.lit("")).otherwise(F.lit("("))).alias("s"),
