@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
@@ -365,15 +366,30 @@ def contract(nodes: DataFrame, victims: DataFrame) -> DataFrame:
     return ranked.select(*nodes.columns)
 
 
-def insert_children(nodes: DataFrame, new: DataFrame) -> DataFrame:
+def insert_children(nodes: DataFrame, new: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Add leaf rows; a parent that was a leaf becomes internal."""
-    grown = new.select("tree_id", F.col("parent_id").alias("node_id")).distinct().withColumn(
+    rows = nodes.withColumn("_new", F.lit(False)).unionByName(
+        new.select(*nodes.columns).withColumn("_new", F.lit(True)))
+
+    def work(block: pa.Table) -> pa.Table:
+        parent = links(block)
+        below = parent[block.column("_new").to_numpy()]
+        grown = np.zeros(len(parent), bool)
+        grown[below[below >= 0]] = True
+        leaf = pc.and_kleene(block.column("is_leaf"), pa.array(~grown))
+        return block.set_column(block.column_names.index("is_leaf"), "is_leaf", leaf)
+
+    fields = [*_fields(nodes, "node_id"), StructField("node_id", LongType())]
+    return _in_tasks(rows, work, fields, _insert_children_by_joins, max_rows).select(*nodes.columns)
+
+
+def _insert_children_by_joins(rows: DataFrame) -> DataFrame:
+    grown = rows.filter("_new").select("tree_id", F.col("parent_id").alias("node_id")).distinct().withColumn(
         "_grown", F.lit(True)
     )
-    old = nodes.join(grown, KEY, "left").withColumn(
+    return rows.join(grown, KEY, "left").withColumn(
         "is_leaf", F.col("is_leaf") & F.col("_grown").isNull()
-    )
-    return old.select(*nodes.columns).unionByName(new.select(*nodes.columns))
+    ).drop("_grown", "_new")
 
 
 def graft(nodes: DataFrame, other: DataFrame, at: DataFrame, child_ord: int = -1) -> DataFrame:

@@ -505,6 +505,17 @@ def test_trees_in_tasks_agree_with_joins(spark, monkeypatch):
     same("resolve", O._resolve_by_joins, numbered)
 
 
+def test_inserted_children_in_tasks(spark, monkeypatch):
+    nodes = parse(spark, "(A:1,(B:1,C:1):1,D:1);").drop("meta")
+    new = nodes.filter("label IN ('A', 'C')").withColumn("parent_id", F.col("node_id")).withColumn("node_id", F.col("node_id") + 100)
+    by_joins = sorted(map(str, O.insert_children(nodes, new, max_rows=2).collect()))
+    monkeypatch.setattr(O, "_insert_children_by_joins", None)  # trees that fit a task join nothing
+    got = O.insert_children(nodes, new).collect()
+    assert sorted(map(str, got)) == by_joins
+    assert sorted((r.node_id, r.is_leaf) for r in got if r.label in ("A", "B", "C")) == [
+        (0, False), (1, True), (2, False), (100, True), (102, True)]
+
+
 def test_trees_are_shuffled_once(spark, monkeypatch):
     """Walks and resolution of trees that fit a task join nothing."""
     def refuse(*args, **kwargs):
