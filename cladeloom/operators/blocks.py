@@ -25,7 +25,7 @@ def by_tree(
     nodes: DataFrame, work: Callable[[pa.Table], pa.Table], fields: list[StructField],
     max_rows: int | None = None,
 ) -> DataFrame:
-    """``work`` on the rows of whole trees, sorted by (tree_id, node_id).
+    """``work`` on the rows of whole trees, sorted by (tree_id, node_id), after one shuffle or, where they are ``placed``, none.
 
     Trees of more than ``max_rows`` rows come back as rows with a tree_id and otherwise
     NULL, at least one each. Rows without tree or node are left out. ``tree_id`` and
@@ -34,18 +34,38 @@ def by_tree(
     schema = StructType([StructField("tree_id", LongType()), *fields])
     limit = MAX_WINDOW_ROWS if max_rows is None else max_rows
     shape = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    placed = spread(nodes.filter("tree_id IS NOT NULL AND node_id IS NOT NULL"), "tree_id")
+    whole = nodes.filter("tree_id IS NOT NULL AND node_id IS NOT NULL")
+    if not is_placed(nodes):
+        whole = spread(whole, "tree_id").sortWithinPartitions("tree_id", "node_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, whole in _blocks(batches, limit):
-            if whole:
-                found = work(block)
+        for block, complete in _blocks(batches, limit):
+            if complete:
+                found = work(_sorted(block))
                 cells = [found.column(f.name).cast(f.type) for f in shape]
             else:
                 cells = [block.column("tree_id")[:1], *(pa.nulls(1, f.type) for f in list(shape)[1:])]
             yield from pa.Table.from_arrays(cells, schema=shape).combine_chunks().to_batches()
 
-    return placed.sortWithinPartitions("tree_id", "node_id").mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
+
+
+def placed(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``rows`` marked as sorted by tree within their partitions, whole trees in each, as far as ``like`` is."""
+    if like is None or is_placed(like):
+        rows._cladeloom_placed = True
+    return rows
+
+
+def is_placed(rows: DataFrame) -> bool:
+    return getattr(rows, "_cladeloom_placed", False)
+
+
+def _sorted(block: pa.Table) -> pa.Table:
+    trees, nodes = block.column("tree_id").to_numpy(), block.column("node_id").to_numpy()
+    if ((np.diff(nodes) >= 0) | (np.diff(trees) != 0)).all():
+        return block
+    return block.take(pa.array(np.lexsort((nodes, trees))))
 
 
 def has_plain_ids(nodes: DataFrame) -> bool:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
 
-from cladeloom.operators.blocks import Walk, by_tree, column, has_plain_ids, links, tree_numbers
+from cladeloom.operators.blocks import Walk, by_tree, column, has_plain_ids, links, placed, tree_numbers
 from cladeloom.operators.ranking import groups_are_small, rank_in_group
 from cladeloom.session import known_rows, materialize, metric, spread
 
@@ -23,7 +23,7 @@ KEY = ["tree_id", "node_id"]
 PATH_END = (1 << 63) - 1
 
 
-def _in_tasks(
+def in_tasks(
     nodes: DataFrame, work: Callable[[pa.Table], pa.Table], fields: list[StructField],
     by_joins: Callable[[DataFrame], DataFrame], max_rows: int | None,
 ) -> DataFrame:
@@ -67,8 +67,8 @@ def root_distances(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
 
     Trees that fit a task are walked there, after one shuffle; larger ones by joins.
     """
-    nodes = nodes.drop("depth", "dist", "path")
-    return _in_tasks(
+    nodes = placed(nodes.drop("depth", "dist", "path"), nodes)
+    return in_tasks(
         nodes, lambda block: _placed(block, False),
         [*_fields(nodes), StructField("dist", DoubleType()), StructField("depth", IntegerType())],
         _root_distances_by_joins, max_rows)
@@ -123,10 +123,10 @@ def number_nodes(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
     shallow: their sort key is the path of child positions. Parsed trees carry their
     numbers already.
     """
-    nodes = nodes.drop("depth", "dist", "path", "pre", "post")
+    nodes = placed(nodes.drop("depth", "dist", "path", "pre", "post"), nodes)
     added = [StructField("dist", DoubleType()), StructField("pre", LongType()), StructField("post", LongType()),
              StructField("depth", IntegerType())]
-    return _in_tasks(nodes, lambda block: _placed(block, True), [*_fields(nodes), *added], _number_by_joins, max_rows)
+    return in_tasks(nodes, lambda block: _placed(block, True), [*_fields(nodes), *added], _number_by_joins, max_rows)
 
 
 def _number_by_joins(nodes: DataFrame) -> DataFrame:
@@ -255,8 +255,8 @@ def node_heights(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
         high = block.append_column("edge_height", pa.array(walk.deepest() - walk.depth))
         return high if (walk.depth >= 0).all() else high.filter(pa.array(walk.depth >= 0))
 
-    nodes = nodes.drop("edge_height")
-    return _in_tasks(nodes, work, [*_fields(nodes), StructField("edge_height", LongType())], _node_heights_by_joins, max_rows)
+    nodes = placed(nodes.drop("edge_height"), nodes)
+    return in_tasks(nodes, work, [*_fields(nodes), StructField("edge_height", LongType())], _node_heights_by_joins, max_rows)
 
 
 def _node_heights_by_joins(walked: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def insert_children(nodes: DataFrame, new: DataFrame, max_rows: int | None = Non
         return block.set_column(block.column_names.index("is_leaf"), "is_leaf", leaf)
 
     fields = [*_fields(nodes, "node_id"), StructField("node_id", LongType())]
-    return _in_tasks(rows, work, fields, _insert_children_by_joins, max_rows).select(*nodes.columns)
+    return in_tasks(rows, work, fields, _insert_children_by_joins, max_rows).select(*nodes.columns)
 
 
 def _insert_children_by_joins(rows: DataFrame) -> DataFrame:
@@ -558,21 +558,43 @@ def compare_trees(a: DataFrame, b: DataFrame, pairs: DataFrame, columns: list[st
 # --- resolution -------------------------------------------------------------
 
 
-def resolve(numbered: DataFrame, max_rows: int | None = None) -> DataFrame:
+def resolve(nodes: DataFrame, max_rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """Binary trees with the same likelihood.
 
     Unary nodes vanish with their own edge length. A node with k > 2 children
     wraps its first two under a new zero-length node until two are left, which
-    yields k - 2 chained nodes. Needs ``pre``, ``post``, ``depth``; returns
-    fresh ids (postorder numbers), numbers, depths and distances. Trees that fit a
+    yields k - 2 chained nodes. Needs ``pre``, ``post``, ``depth``, or numbers the nodes
+    in the same pass; returns fresh ids (postorder numbers), numbers, depths and
+    distances, or only ``columns`` of them. Trees that fit a
     task are resolved there, after one shuffle; larger ones by joins.
     """
-    kept = ["tree_id", "node_id", "parent_id", "label", "length", "is_leaf", "pre", "post", "depth"]
-    fields = [StructField("node_id", LongType()), StructField("parent_id", LongType()), StructField("child_ord", LongType()),
-              StructField("label", StringType()), StructField("length", DoubleType()), StructField("is_leaf", BooleanType()),
-              StructField("pre", LongType()), StructField("post", LongType()), StructField("dist", DoubleType()),
-              StructField("depth", IntegerType())]
-    return _in_tasks(numbered.select(*kept), _resolved, fields, _resolve_by_joins, max_rows)
+    fields = [f for f in RESOLVED if columns is None or f.name in (*columns, "depth")]
+    rows, work = resolving(nodes, columns)
+    done = in_tasks(rows, work, fields, resolve_by_joins, max_rows)
+    return done if columns is None else done.select("tree_id", *[c for c in columns if c != "tree_id"])
+
+
+RESOLVED = [StructField("node_id", LongType()), StructField("parent_id", LongType()), StructField("child_ord", LongType()),
+            StructField("label", StringType()), StructField("length", DoubleType()), StructField("is_leaf", BooleanType()),
+            StructField("pre", LongType()), StructField("post", LongType()), StructField("dist", DoubleType()),
+            StructField("depth", IntegerType())]
+
+
+def resolving(nodes: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, Callable[[pa.Table], pa.Table]]:
+    """The rows to resolve and the work on blocks of them."""
+    fresh = not {"pre", "post", "depth"} <= set(nodes.columns)
+    kept = ["tree_id", "node_id", "parent_id", "length", "is_leaf",
+            *([c for c in ("child_ord",) if c in nodes.columns] if fresh else ["pre", "post", "depth"]),
+            *(["label"] if columns is None or "label" in columns else [])]
+    rows = placed(nodes.select(*kept), nodes)
+    return rows, (lambda block: _resolved(_placed(block, True))) if fresh else _resolved
+
+
+def resolve_by_joins(rows: DataFrame) -> DataFrame:
+    """Trees of any size, numbered first if need be."""
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.lit(None).cast("string"))
+    return _resolve_by_joins(rows if "pre" in rows.columns else _number_by_joins(rows))
 
 
 def _resolved(block: pa.Table) -> pa.Table:
@@ -619,7 +641,7 @@ def _resolved(block: pa.Table) -> pa.Table:
         "node_id": pa.array(post),
         "parent_id": pa.array(post[parent], mask=parent < 0),
         "child_ord": pa.array(order),
-        "label": block.column("label").take(source),
+        **({"label": block.column("label").take(source)} if "label" in block.column_names else {}),
         "length": pa.array(np.where(np.arange(len(parent)) < n, length.fill_null(0.0).to_numpy(), 0.0), mask=null),
         "is_leaf": block.column("is_leaf").take(source).fill_null(False),
         "pre": pa.array(pre), "post": pa.array(post), "dist": dist,

@@ -20,7 +20,7 @@ def _walked_forest(spark, sf):
 
 
 def _resolved_forest(spark, sf):
-    return O.resolve(O.number_nodes(T.customer_forest(spark, sf)))
+    return O.resolve(T.customer_forest(spark, sf))
 
 
 def tree_nodes(spark, sf):
@@ -234,7 +234,8 @@ def resolve_forest(spark, sf):
 
 
 def pruning_heights(spark, sf):
-    return D.pruning_heights(_resolved_forest(spark, sf)).select(
+    resolved = O.resolve(T.customer_forest(spark, sf), columns=["tree_id", "parent_id", "is_leaf", "depth"])
+    return D.pruning_heights(resolved).select(
         "tree_id", "pruning_height", rounded("pruning_avg_height").alias("pruning_avg_height")
     )
 

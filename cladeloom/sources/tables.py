@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeloom.functions.codes import symbol_of_code
-from cladeloom.session import materialize, spread
+from cladeloom.operators.blocks import placed
+from cladeloom.session import spread
 
 MAX_PIVOT_TAXA = 512  # above this the aggregate row would outgrow code generation
 
@@ -144,37 +145,28 @@ def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(  # told apart where they meet their order
         read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey"
     ).distinct()
-    leaf = materialize(
+    leaf = spread(
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select("o_custkey", "o_orderkey", "l_linenumber"), "leaves",
+        .select("o_custkey", "o_orderkey", "l_linenumber"), "o_custkey",
     )
-    ok, ln = F.col("o_orderkey"), F.col("l_linenumber")
-    tree = F.col("o_custkey").alias("tree_id")
-    leaves = leaf.select(
-        tree,
-        (ok * 8 + ln).alias("node_id"),
-        (ok * 8).alias("parent_id"),
-        ln.cast("bigint").alias("child_ord"),
-        F.concat(F.lit("L"), ok.cast("string"), F.lit("_"), ln.cast("string")).alias("label"),
-        ((1 + (ok + ln) % 5).cast("double") / 100).alias("length"),
-        F.lit(True).alias("is_leaf"),
-    )
-    inner = leaf.select("o_custkey", "o_orderkey").distinct().select(
-        tree,
-        (ok * 8).alias("node_id"),
-        F.lit(-1).cast("bigint").alias("parent_id"),
-        ok.alias("child_ord"),
-        F.concat(F.lit("O"), ok.cast("string")).alias("label"),
-        key_length(ok).alias("length"),
-        F.lit(False).alias("is_leaf"),
-    )
-    roots = leaf.select("o_custkey").distinct().select(
-        tree,
-        F.lit(-1).cast("bigint").alias("node_id"),
-        F.lit(None).cast("bigint").alias("parent_id"),
-        F.lit(0).cast("bigint").alias("child_ord"),
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("label"),
-        F.lit(0.0).alias("length"),
-        F.lit(False).alias("is_leaf"),
-    )
-    return roots.unionByName(inner).unionByName(leaves)
+    ok, ln, level = F.col("o_orderkey"), F.col("l_linenumber"), F.col("_level")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber"))
+    # The first line of a customer or an order also gives the rows above it.
+    top = F.when(before.isNull(), 0).when(before != ok, 1).otherwise(2)
+    rows = leaf.withColumn("_top", top).withColumn("_level", F.explode(F.sequence("_top", F.lit(2))))
+
+    def by_level(root, inner, tip):
+        return F.when(level == 0, root).when(level == 1, inner).otherwise(tip)
+
+    return placed(rows.select(
+        F.col("o_custkey").alias("tree_id"),
+        by_level(F.lit(-1).cast("bigint"), ok * 8, ok * 8 + ln).alias("node_id"),
+        by_level(F.lit(None).cast("bigint"), F.lit(-1).cast("bigint"), ok * 8).alias("parent_id"),
+        by_level(F.lit(0).cast("bigint"), ok, ln.cast("bigint")).alias("child_ord"),
+        by_level(
+            F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.concat(F.lit("O"), ok.cast("string")),
+            F.concat(F.lit("L"), ok.cast("string"), F.lit("_"), ln.cast("string")),
+        ).alias("label"),
+        by_level(F.lit(0.0), key_length(ok), (1 + (ok + ln) % 5).cast("double") / 100).alias("length"),
+        (level == 2).alias("is_leaf"),
+    ))
