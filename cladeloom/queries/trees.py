@@ -241,14 +241,13 @@ def pruning_heights(spark, sf):
 
 
 def decomp_table(spark, sf):
-    return D.decompose(materialize(_resolved_forest(spark, sf), "resolved"))
+    return D.resolve_and_plan(T.customer_forest(spark, sf))
 
 
 def decomp_heights(spark, sf):
     """Heights of both layouts and their ratios, per tree."""
-    resolved = materialize(_resolved_forest(spark, sf), "resolved")
-    balanced = D.plan_heights(D.decompose(resolved))
-    return balanced.join(D.pruning_heights(resolved), "tree_id").select(
+    plan = D.resolve_and_plan(T.customer_forest(spark, sf), columns=["tree_id", "merge_type", "is_clade", "depth", "node_depth"])
+    return D.layout_heights(plan).select(
         "tree_id", "height", "avg_height", "pruning_height", "pruning_avg_height",
         (F.col("pruning_height") / F.col("height")).alias("height_ratio"),
         (F.col("pruning_avg_height") / F.col("avg_height")).alias("avg_height_ratio"),
@@ -257,8 +256,7 @@ def decomp_heights(spark, sf):
 
 def decomp_sizes(spark, sf):
     """Components of a plan by merge type group: edges and merges follow from the leaves."""
-    resolved = materialize(_resolved_forest(spark, sf), "resolved")
-    plan = D.decompose(resolved)
+    plan = D.resolve_and_plan(T.customer_forest(spark, sf), columns=["tree_id", "merge_type", "length"])
     return plan.groupBy("tree_id").agg(
         F.count("*").alias("n_components"),
         F.sum((F.col("merge_type") == 0).cast("bigint")).alias("n_edges"),
@@ -268,8 +266,7 @@ def decomp_sizes(spark, sf):
 
 
 def pruning_table(spark, sf):
-    resolved = materialize(_resolved_forest(spark, sf), "resolved")
-    plan = D.decompose(resolved, "pruning")
+    plan = D.resolve_and_plan(T.customer_forest(spark, sf), "pruning", ["tree_id", "merge_type", "depth"])
     return D.plan_heights(plan).select(
         "tree_id", F.col("height").alias("pruning_height"),
         rounded("avg_height").alias("pruning_avg_height"),

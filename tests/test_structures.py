@@ -546,3 +546,88 @@ def test_newick_in_batches_agrees_with_windows(spark, monkeypatch):
     plain = trees.filter("newick LIKE '((A,B),%'")
     plan = X._parsed(plain, 7.0)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan or "MapInPandas" in plan
+
+
+def _odd_trees(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for t in range(60):
+        n = int(rng.integers(1, 60))
+        ids = rng.permutation(n * 3)[:n].tolist()
+        for k, node in enumerate(ids):
+            up = None if k == 0 else ids[int(rng.integers(k)) if t % 2 else max(0, k - int(rng.integers(1, 3)))]
+            rows.append((t, node, up, k % 7, f"n{k}", None if rng.random() < 0.03 else float(rng.integers(1, 9))))
+    plain = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, child_ord bigint, label string, length double")
+    inner = plain.select("tree_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_in", F.lit(True))
+    return materialize(plain.join(inner, ["tree_id", "node_id"], "left").withColumn("is_leaf", F.col("_in").isNull()).drop("_in"))
+
+
+def test_plans_in_one_pass(spark, monkeypatch):
+    """Resolved and planned in one pass: the rows of the planners that take one tree or one layer at a time."""
+    from cladeloom.operators import blocks
+    from cladeloom.plans import decomposition as D
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 200)
+    plain = _odd_trees(spark)
+    resolved = materialize(O.resolve(O.number_nodes(plain)))
+    frame = resolved.toPandas().sort_values(["tree_id", "post"]).reset_index(drop=True)
+    one_by_one = spark.createDataFrame(next(D._plan_frame(frame, False)), D.PLAN_SCHEMA)
+    numbers = F.transform(F.array("span", "length"), lambda x: F.when(F.isnan(x), None).otherwise(x))
+
+    def rows(df):  # NaN of pandas is NULL in Spark
+        return sorted(map(str, df.withColumn("span", numbers[0]).withColumn("length", numbers[1]).select(*D._PLAN_COLUMNS).collect()))
+
+    want = rows(one_by_one)
+    for got in (D.resolve_and_plan(plain), decompose(resolved)):
+        assert rows(got) == want
+    assert rows(D.resolve_and_plan(plain, "pruning")) == rows(decompose(resolved, "pruning"))
+    both = D.layout_heights(D.resolve_and_plan(plain, columns=["tree_id", "merge_type", "is_clade", "depth", "node_depth"]))
+    alone = D.plan_heights(decompose(resolved)).join(D.pruning_heights(resolved), "tree_id")
+    assert sorted(map(str, both.select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
+
+
+def test_long_chains_of_pairs_are_planned_at_once(spark):
+    """A caterpillar, whose pairs all wait for each other."""
+    from cladeloom.plans import decomposition as D
+
+    n = 400
+    rows = [(0, 2 * k, None if k == 0 else 2 * k - 2, 0, False) for k in range(n)]
+    rows += [(0, 2 * k + 1, 2 * k, 1, True) for k in range(n)] + [(0, 2 * n, 2 * n - 2, 0, True)]
+    plain = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, child_ord bigint, is_leaf boolean")
+    plain = plain.withColumns({"label": F.lit("x"), "length": F.lit(1.0)})
+    plan = D.resolve_and_plan(plain)
+    assert plan.count() == 4 * (n + 1) - 5
+    frame = O.resolve(plain).toPandas().sort_values("post")
+    want = next(D._plan_frame(frame, False))
+    got = plan.select("comp_id", "merge_type", "depth").toPandas().sort_values("comp_id")
+    for c in ("merge_type", "depth"):
+        assert got[c].tolist() == want[c].tolist()
+
+
+def test_forest_and_plans_write_only_what_is_asked(spark, monkeypatch, tmp_path):
+    """One pass by tree from the lines of orders to heights: no table between, only asked columns written."""
+    from cladeloom import session
+    from cladeloom.queries import trees as T
+    from cladeloom.plans import decomposition as D
+
+    written = []
+    write = session.materialize
+
+    def noted(df, *args, **kwargs):
+        if getattr(df, "_cladeloom_metrics", None) is None:
+            written.append(df.columns)
+        return write(df, *args, **kwargs)
+
+    for place in (O, D, T):
+        monkeypatch.setattr(place, "materialize", noted)
+    for name, columns in (("pruning_heights_forest", {"tree_id", "parent_id", "is_leaf", "depth"}),
+                          ("pruning_table_forest", {"tree_id", "merge_type", "depth"}),
+                          ("decomp_sizes_forest", {"tree_id", "merge_type", "length", "depth"}),
+                          ("decomp_heights_forest", {"tree_id", "merge_type", "is_clade", "depth", "node_depth"})):
+        written.clear()
+        found = T.QUERIES[name].run(spark, "/root/testdata/sf0.001")
+        assert found.count() > 0
+        assert [set(w) for w in written] == [columns], name
+    written.clear()
+    T.QUERIES["decomp_table_forest"].run(spark, "/root/testdata/sf0.001").count()
+    assert len(written) == 1
