@@ -116,8 +116,8 @@ def _root_distances_by_joins(nodes: DataFrame, with_path: bool = False) -> DataF
     return nodes.drop("depth", "dist", "path").join(found, KEY)
 
 
-def number_nodes(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Adds ``depth``, ``dist``, ``pre`` and ``post`` to a parent-pointer table.
+def number_nodes(nodes: DataFrame, max_rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Adds ``depth``, ``dist``, ``pre`` and ``post`` to a parent-pointer table, or returns only ``columns`` of it.
 
     Trees that fit a task are numbered there, after one shuffle. Larger ones should be
     shallow: their sort key is the path of child positions. Parsed trees carry their
@@ -126,7 +126,8 @@ def number_nodes(nodes: DataFrame, max_rows: int | None = None) -> DataFrame:
     nodes = placed(nodes.drop("depth", "dist", "path", "pre", "post"), nodes)
     added = [StructField("dist", DoubleType()), StructField("pre", LongType()), StructField("post", LongType()),
              StructField("depth", IntegerType())]
-    return in_tasks(nodes, lambda block: _placed(block, True), [*_fields(nodes), *added], _number_by_joins, max_rows)
+    fields = [f for f in (*_fields(nodes), *added) if columns is None or f.name in (*columns, "depth")]
+    return in_tasks(nodes, lambda block: _placed(block, True), fields, _number_by_joins, max_rows)
 
 
 def _number_by_joins(nodes: DataFrame) -> DataFrame:
@@ -167,14 +168,7 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
     if known_rows(walked) is None:
         walked = materialize(walked.select(*KEY, "parent_id", "length", "is_leaf", "depth", "dist"), "walked")
     leaf = F.col("is_leaf")
-    per_node = walked.groupBy("tree_id").agg(
-        F.count("*").alias("n_nodes"),
-        F.sum(leaf.cast("bigint")).alias("n_leaves"),
-        F.sum("length").alias("total_length"),
-        F.max(F.when(leaf, F.col("dist"))).alias("root_to_tip"),
-        F.max(F.when(leaf, F.col("depth"))).cast("bigint").alias("height"),
-        F.sum(F.when(leaf, F.col("depth"))).cast("bigint").alias("sum_height"),
-    )
+    per_node = walked.groupBy("tree_id").agg(*_node_sums())
     kids = walked.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(
         F.count("*").alias("n_children"),
         F.sum(leaf.cast("bigint")).alias("n_leaf_children"),
@@ -192,7 +186,22 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
         (F.bool_or((F.col("_level") == 1) & (F.col("n_children") == 2) & one_leaf)
          & F.bool_or((F.col("_level") == 2) & one_leaf)).cast("int").alias("_hidden"),
     )
-    joined = per_node.join(shape, "tree_id", "left")
+    return _metric_columns(per_node.join(shape, "tree_id", "left"))
+
+
+def _node_sums() -> list[Column]:
+    leaf = F.col("is_leaf")
+    return [
+        F.count("*").alias("n_nodes"),
+        F.sum(leaf.cast("bigint")).alias("n_leaves"),
+        F.sum("length").alias("total_length"),
+        F.max(F.when(leaf, F.col("dist"))).alias("root_to_tip"),
+        F.max(F.when(leaf, F.col("depth"))).cast("bigint").alias("height"),
+        F.sum(F.when(leaf, F.col("depth"))).cast("bigint").alias("sum_height"),
+    ]
+
+
+def _metric_columns(joined: DataFrame) -> DataFrame:
     return joined.select(
         "tree_id", "n_nodes", "n_leaves", "total_length", "root_to_tip", "height", "sum_height",
         (F.col("sum_height") / F.col("n_leaves")).alias("avg_height"),
@@ -204,6 +213,41 @@ def tree_metrics(walked: DataFrame) -> DataFrame:
     )
 
 
+def edited_metrics(
+    nodes: DataFrame, edit: Callable[[pa.Table], pa.Table] | None = None,
+    by_joins: Callable[[DataFrame], DataFrame] | None = None, max_rows: int | None = None,
+) -> DataFrame:
+    """``tree_metrics`` of the trees ``edit`` makes of whole trees, walked and counted in the same pass.
+
+    Trees too large for a task are edited by ``by_joins``.
+    """
+    fields = [StructField("length", DoubleType()), StructField("is_leaf", BooleanType()), StructField("dist", DoubleType()),
+              StructField("n_children", LongType()), StructField("n_leaf_children", LongType()),
+              StructField("depth", IntegerType())]
+
+    def work(block: pa.Table) -> pa.Table:
+        walked = _placed(block if edit is None else edit(block), False)
+        parent, leaf = links(walked), walked.column("is_leaf").fill_null(False).to_numpy()
+        below = parent >= 0
+        return walked.append_column("n_children", pa.array(np.bincount(parent[below], minlength=len(parent)))).append_column(
+            "n_leaf_children", pa.array(np.bincount(parent[below & leaf], minlength=len(parent))))
+
+    def joined(rest: DataFrame) -> DataFrame:
+        walked = materialize(_root_distances_by_joins(rest if by_joins is None else by_joins(rest)), "walked")
+        return walked.join(child_counts(walked), KEY, "left").fillna(0, ["n_children", "n_leaf_children"])
+
+    walked = in_tasks(nodes, work, fields, joined, max_rows)
+    inner, one_leaf, depth = F.col("n_children") > 0, F.col("n_leaf_children") == 1, F.col("depth")
+    two = F.col("n_children") == 2
+    return _metric_columns(walked.groupBy("tree_id").agg(
+        *_node_sums(),
+        F.min(F.when(inner, two.cast("int"))).alias("_binary"),
+        F.max("n_children").alias("max_children"),
+        F.count_if(two & (F.col("n_leaf_children") == 2)).alias("cherries"),
+        (F.bool_or((depth == 0) & two & one_leaf) & F.bool_or((depth == 1) & one_leaf)).cast("int").alias("_hidden"),
+    ))
+
+
 # --- lengths and heights ----------------------------------------------------
 
 
@@ -418,6 +462,34 @@ def graft(nodes: DataFrame, other: DataFrame, at: DataFrame, child_ord: int = -1
     return host_rows.select(*columns).unionByName(hung.select(*columns))
 
 
+def with_copies(block: pa.Table) -> pa.Table:
+    """``graft`` of every tree of a block below each of its own rows that ``_host`` marks."""
+    tree, node = tree_numbers(block), column(block, "node_id")
+    host = block.column("_host").fill_null(False).to_numpy()
+    start = np.flatnonzero(np.diff(tree, prepend=-1))
+    size = np.diff(np.append(start, len(tree)))
+    move = node[start + size - 1] + 1 - node[start]
+    at = np.flatnonzero(host)
+    many = size[tree[at]]
+    row = np.repeat(start[tree[at]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    rooted = block.column("parent_id").is_null().to_numpy()
+    parent, shift = column(block, "parent_id"), move[tree[row]]
+    source = pa.array(np.concatenate([np.arange(len(tree)), row]))
+    leaf = pc.and_kleene(block.column("is_leaf"), pa.array(~host))
+    made = {
+        "node_id": pa.array(np.concatenate([node, node[row] + shift])),
+        "parent_id": pa.array(np.concatenate([parent, np.where(rooted[row], np.repeat(node[at], many), parent[row] + shift)]),
+                              mask=np.concatenate([rooted, np.zeros(len(row), bool)])),
+        "is_leaf": pa.concat_arrays([*_chunks(leaf), block.column("is_leaf").take(pa.array(row)).combine_chunks()]),
+    }
+    out = pa.table({c: made[c] if c in made else block.column(c).take(source) for c in block.column_names})
+    return out.take(pa.array(np.lexsort((made["node_id"].to_numpy(), tree[source.to_numpy()]))))
+
+
+def _chunks(values: pa.ChunkedArray | pa.Array) -> list[pa.Array]:
+    return values.chunks if isinstance(values, pa.ChunkedArray) else [values]
+
+
 def _reorder(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Fresh ``child_ord`` in every family from its order by (_at, _sub)."""
     rows = materialize(
@@ -508,6 +580,44 @@ def reroot(numbered: DataFrame, new_roots: DataFrame) -> DataFrame:
     )
 
 
+def reroot_at(nodes: DataFrame, top: Column, max_rows: int | None = None) -> DataFrame:
+    """(tree_id, node_id, parent_id, length) of ``reroot`` at the row of each tree where ``top`` holds.
+
+    Trees that fit a task are turned there; larger ones by joins.
+    """
+    rows = placed(nodes.select(*KEY, "parent_id", "length", top.alias("_top")), nodes)
+    fields = [StructField("parent_id", LongType()), StructField("length", DoubleType()), StructField("node_id", LongType())]
+
+    def by_joins(rest: DataFrame) -> DataFrame:
+        rest = materialize(rest.withColumns({
+            "child_ord": F.col("node_id"), "label": F.lit(None).cast("string"), "is_leaf": F.lit(False)}), "rest")
+        return reroot(_number_by_joins(rest.drop("_top")), rest.filter("_top"))
+
+    return in_tasks(rows, _turned, fields, by_joins, max_rows).select(*KEY, "parent_id", "length")
+
+
+def _turned(block: pa.Table) -> pa.Table:
+    known = _walk(block).depth >= 0
+    if not known.all():
+        block = block.filter(pa.array(known))
+    up, node = links(block), column(block, "node_id")
+    null = block.column("length").is_null().to_numpy()
+    length = block.column("length").cast(pa.float64()).fill_null(0.0).to_numpy()
+    parent, edge, gone = column(block, "parent_id").copy(), length.copy(), null.copy()
+    rooted = block.column("parent_id").is_null().to_numpy().copy()
+    at = new = np.flatnonzero(block.column("_top").fill_null(False).to_numpy())
+    while len(at):
+        at = at[up[at] >= 0]
+        above = up[at]
+        parent[above], rooted[above] = node[at], False
+        have = ~null[at]
+        edge[above[have]], gone[above[have]] = length[at[have]], False
+        at = above
+    rooted[new], edge[new], gone[new] = True, 0.0, False
+    return pa.table({"tree_id": block.column("tree_id"), "node_id": block.column("node_id"),
+                     "parent_id": pa.array(parent, mask=rooted), "length": pa.array(edge, mask=gone)})
+
+
 def same_trees(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
     """Ordered equality of two numbered tables on position and ``columns``."""
     key = ["tree_id", "pre", "post", *columns]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeloom.operators import trees as O
+from cladeloom.operators.blocks import placed
 from cladeloom.plans import decomposition as D
 from cladeloom.queries.base import Query, rounded, sql_round
 from cladeloom.session import materialize
@@ -130,9 +132,13 @@ def subtree_scan(spark, sf):
 def graft_trees(spark, sf):
     """A copy of every customer's tree grafted below its own root."""
     forest = T.customer_forest(spark, sf)
-    roots = forest.filter("parent_id is null")
-    grown = O.graft(forest, forest, roots)
-    return _metric_rows(O.tree_metrics(O.root_distances(grown)))
+    rows = placed(forest.select("tree_id", "node_id", "parent_id", "length", "is_leaf", F.col("parent_id").isNull().alias("_host")), forest)
+
+    def by_joins(large):
+        trees = large.withColumn("child_ord", F.col("node_id")).drop("_host")
+        return O.graft(trees, trees, large.filter("_host"))
+
+    return _metric_rows(O.edited_metrics(rows, O.with_copies, by_joins))
 
 
 def insert_children(spark, sf):
@@ -179,9 +185,10 @@ def node_heights(spark, sf):
 
 def reroot_forest(spark, sf):
     """Each customer's tree rooted at its lowest order."""
-    numbered = materialize(O.number_nodes(T.customer_forest(spark, sf)), "numbered")
-    first = numbered.filter("depth = 1").groupBy("tree_id").agg(F.min("node_id").alias("node_id"))
-    return O.reroot(numbered, first).select(
+    forest = T.customer_forest(spark, sf)
+    order = F.when(F.col("parent_id").isNotNull() & ~F.col("is_leaf"), F.col("node_id"))
+    lowest = F.min(order).over(Window.partitionBy("tree_id"))
+    return O.reroot_at(placed(forest.withColumn("_first", lowest), forest), F.col("node_id") == F.col("_first")).select(
         "tree_id", "node_id", "parent_id", rounded("length").alias("length")
     )
 
