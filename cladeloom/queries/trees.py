@@ -222,7 +222,8 @@ def tree_equality(spark, sf):
 
 def tree_pairs_equal(spark, sf):
     """Trees of customers against copies in which some tips have other lengths."""
-    trees = materialize(O.number_nodes(T.customer_forest(spark, sf)), "numbered")
+    columns = ["tree_id", "node_id", "length", "is_leaf", "pre", "post"]
+    trees = materialize(O.number_nodes(T.customer_forest(spark, sf), columns=columns), "numbered")
     moved = (F.col("is_leaf") & (F.col("node_id") % 37 == 0)).cast("double")
     copies = trees.withColumn("length", F.col("length") + moved)
     pairs = trees.select(F.col("tree_id").alias("left_id"), F.col("tree_id").alias("right_id"))

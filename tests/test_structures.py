@@ -631,3 +631,47 @@ def test_forest_and_plans_write_only_what_is_asked(spark, monkeypatch, tmp_path)
     written.clear()
     T.QUERIES["decomp_table_forest"].run(spark, "/root/testdata/sf0.001").count()
     assert len(written) == 1
+
+
+def test_copies_and_new_roots_in_tasks(spark, monkeypatch):
+    """Trees with copies of themselves and turned trees: in tasks without joins, and by joins where too large."""
+    plain = materialize(_odd_trees(spark).filter("tree_id < 12"))
+    one = plain.groupBy("tree_id").agg(F.max("node_id").alias("_new"))
+    marked = materialize(plain.join(one, "tree_id").withColumn("_host", F.col("node_id") == F.col("_new")))
+
+    def by_joins(large):
+        trees = large.drop("_host", "_new")
+        return O.graft(trees, trees, large.filter("_host"))
+
+    want = sorted(map(str, O.tree_metrics(O.root_distances(by_joins(marked))).collect()))
+    turned = sorted(map(str, O.reroot(
+        materialize(O.number_nodes(plain)), one.withColumnRenamed("_new", "node_id")
+    ).select("tree_id", "node_id", "parent_id", "length").collect()))
+    at_new = F.col("node_id") == F.col("_new")
+    assert sorted(map(str, O.edited_metrics(marked, O.with_copies, by_joins, max_rows=40).collect())) == want
+    assert sorted(map(str, O.reroot_at(marked, at_new, max_rows=40).collect())) == turned
+    assert sorted(map(str, O.edited_metrics(plain).collect())) == sorted(map(str, O.tree_metrics(O.root_distances(plain)).collect()))
+    for name in ("_root_distances_by_joins", "_number_by_joins", "graft", "reroot"):
+        monkeypatch.setattr(O, name, None)
+    assert sorted(map(str, O.edited_metrics(marked, O.with_copies, by_joins).collect())) == want
+    assert sorted(map(str, O.reroot_at(marked, at_new).collect())) == turned
+
+
+def test_edited_forests_write_only_what_is_asked(spark, monkeypatch):
+    """Grafted, turned and compared trees: one pass by tree, without labels."""
+    from cladeloom import session
+    from cladeloom.queries import trees as T
+
+    written = []
+
+    def noted(df, *args, **kwargs):
+        if getattr(df, "_cladeloom_metrics", None) is None:
+            written.append(set(df.columns))
+        return session.materialize(df, *args, **kwargs)
+
+    for place in (O, T):
+        monkeypatch.setattr(place, "materialize", noted)
+    for name, tables in (("graft_forest", 1), ("reroot_forest", 1), ("tree_pairs_equal", 2)):
+        written.clear()
+        assert T.QUERIES[name].run(spark, "/root/testdata/sf0.001").count() > 0
+        assert len(written) == tables and not any({"label", "child_ord"} & w for w in written), name
