@@ -178,11 +178,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4")
         packer = Packer(TaskContext.get().partitionId() << _PART_BITS)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
+                packer.add(doc_id, np.append(ids, end))
                 if len(packer.pieces) >= 2000:
                     yield packer.drain()
         packer.finish()
