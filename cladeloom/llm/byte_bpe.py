@@ -150,5 +150,13 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Of rows (doc_id, text): the id, and the ids of the text with ``end_id`` behind them."""
+    end = np.array([end_id], "<u4")
+    texts = (text.as_py() for text in batch.column(1))
+    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder_of(path).encode_all(texts)):
+        yield doc_id, np.append(ids, end)
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.byte_bpe import encoder_of
+from cladeloom.llm.byte_bpe import encoded
 from cladeloom.llm.common import text_or_empty
 
 CAPACITY = 2048
@@ -178,12 +178,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4")
         packer = Packer(TaskContext.get().partitionId() << _PART_BITS)
         for batch in batches:
-            texts = (text.as_py() for text in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
-                packer.add(doc_id, np.append(ids, end))
+            for doc_id, ids in encoded(batch, tokenizer_path, end_id):
+                packer.add(doc_id, ids)
                 if len(packer.pieces) >= 2000:
                     yield packer.drain()
         packer.finish()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeloom.llm.byte_bpe import encoder_of
+from cladeloom.llm.byte_bpe import encoded, encoder_of
 from cladeloom.llm.common import text_or_empty
 from cladeloom.session import materialize, metric, scratch_path, sized_partitions
 
@@ -180,15 +180,14 @@ def write_files(
     store.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        schema = sequence_schema(length, encoder.size)
+        schema = sequence_schema(length, encoder_of(tokenizer_path).size)
         part, number, writer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in encoded(batch, tokenizer_path, end_id):
                 if writer is None:
                     path = f"{folder.rstrip('/')}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrow"
                     writer = FileWriter(path, schema, rows)
-                writer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
+                writer.add(doc_id, ids)
                 if writer.tokens >= file_tokens:
                     yield closed(writer, part, number)
                     writer, number = None, number + 1

@@ -1,13 +1,16 @@
 """Ids of many texts at once."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cladeloom.llm.byte_bpe import Encoder
+from cladeloom.llm.byte_bpe import Encoder, encoded, encoder_of
 
-ENCODER = Encoder(public_tokenizers.path("byte_bpe_50k.json"), cache=2_000)
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = Encoder(BPE, cache=2_000)
 PARTS = st.text(st.sampled_from("ab Z9'sdmtrevl.,_\n\t  ''éß×’²\x1f"), max_size=12)
 SPECIAL = st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "'", " ", "ll", "'s"])
 
@@ -34,10 +37,24 @@ class _Counted(dict):
 
 @pytest.mark.parametrize("copies", [1, 500])
 def test_words_of_a_block_are_looked_up_once(copies):
-    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = Encoder(BPE)
     text = "It's one, and one more: 12 of 345.\n\n  Ünd noch einer's _x_ "
     want = encoder.encode_whole(text)
     assert encoder.encode(text) == want
     encoder._known = _Counted(encoder._known)
     assert [ids.tobytes() for ids in encoder.encode_all([text] * copies)] == [want] * copies
     assert encoder._known.asked <= 30
+
+
+def test_rows_of_a_batch_share_lookups():
+    """What op3 and op13 take: each row with its id and end, and no lookup for every occurrence of a word."""
+    texts = ["One, and one more.", "", "½ and one", "One<|endoftext|>", "and one more."] * 100
+    names = [None if k % 7 == 0 else k % 50 for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    encoder = encoder_of(BPE)
+    encoder._known = _Counted(encoder._known)
+    got = list(encoded(batch, BPE, 2))
+    assert encoder._known.asked <= 20
+    assert [doc_id for doc_id, _ in got] == names
+    assert [ids.tobytes() for _, ids in got] == [
+        encoder.encode_whole(text) + np.array([2], "<u4").tobytes() for text in texts]
