@@ -26,7 +26,7 @@ import pyarrow as pa
 PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-ɏ‐-‧]*")
 CACHE = 3 << 25  # characters kept, each entry counted as ENTRY more
 ENTRY = 128
-BLOCK = 1 << 21  # characters split together, and one text more
+BLOCK = 1 << 19  # characters split together, and one text more
 FRESH = 1 << 12  # pre-tokens the library gets at once
 
 BLANK, LETTER, DIGIT, OTHER = range(4)
