@@ -144,17 +144,19 @@ def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return begins
 
 
-@lru_cache(1)
-def encoder_of(path: str) -> Encoder:
+_encoder = lru_cache(1)(Encoder)
+
+
+def encoder_of(path: str, cache: int = CACHE) -> Encoder:
     """One for all tasks of a worker process, with what it has met so far."""
-    return Encoder(path)
+    return _encoder(path, cache)
 
 
-def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, path: str, end_id: int, cache: int = CACHE) -> Iterator[tuple[int | None, np.ndarray]]:
     """Of rows (doc_id, text): the id, and the ids of the text with ``end_id`` behind them."""
     end = np.array([end_id], "<u4")
     texts = (text.as_py() for text in batch.column(1))
-    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder_of(path).encode_all(texts)):
+    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder_of(path, cache).encode_all(texts)):
         yield doc_id, np.append(ids, end)
 
 

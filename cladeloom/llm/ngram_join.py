@@ -52,6 +52,7 @@ COMMON_AT = 8
 MAX_RUN = 1 << 20
 TILE = 4096
 MAX_WIDTH = 1 << 13
+PART = 1 << 18  # hashes counted or sent at once
 MAX_BROADCAST_ROWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +116,15 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def by_ranges(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """All hashes of sorted ``sets``, about ``PART`` at a time; equal ones come together."""
+    parts = 1 + sum(map(len, sets)) // PART
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(parts if sets else 0):
+        yield np.concatenate([s[at[k]:at[k + 1]] for s, at in zip(sets, cuts)])
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """A row (doc_id, n, key, k, bits) per document, and rows (h, seen) of shingles frequent in a batch.
 
@@ -135,24 +145,24 @@ def describe(docs: DataFrame) -> DataFrame:
                     held.append(found)
                     total += len(found)
                 if total > 4_000_000:
-                    yield frequent(held)
+                    yield from frequent(held)
                     held, total = [], 0
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(map(short_key, keys), pa.int64()), pa.array(bits, pa.binary()), none, none], names=names)
-            if held:
-                yield frequent(held)
+            yield from frequent(held)
 
     names = ["doc_id", "n", "key", "k", "bits", "h", "seen"]
 
-    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 3
-        size = int(often.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()),
-             pa.nulls(size, pa.binary()), _signed(values[often]), pa.array(counts[often])], names=names)
+    def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for part in by_ranges(held):
+            values, counts = np.unique(part, return_counts=True)
+            often = counts >= 3
+            size = int(often.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()),
+                 pa.nulls(size, pa.binary()), _signed(values[often]), pa.array(counts[often])], names=names)
 
     return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, k bigint, bits binary, h bigint, seen bigint")
 
@@ -199,7 +209,7 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     level = np.where(values[at] == found, levels[at], 0)
                     found = found[np.argsort(level, kind="stable")]
                 probe, index = n + (-4 * n // 5) + 1, n + (-8 * n // 9) + 1
-                hs.append(found[:probe])
+                hs.append(found[:probe].copy())  # not a view, which keeps the whole set
                 ks.append(np.full(probe, short_key(key), np.int64))
                 ns.append(np.where(np.arange(probe) < index, n, -n).astype(np.int32))
                 if len(hs) >= 2_000:
@@ -280,14 +290,20 @@ def _hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
+            keys, out, total = [], [], 0
             for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = shingles(text.as_py())
                 if class_key(found) == key:
                     keys.append(key)
                     out.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())],
-                                             names=["key", "hashes"])
+                    total += len(found)
+                if total > PART:
+                    yield sets(keys, out)
+                    keys, out, total = [], [], 0
+            yield sets(keys, out)
+
+    def sets(keys: list[bytes], hashes: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hashes, pa.binary())], names=["key", "hashes"])
 
     small = metric(wanted) <= MAX_BROADCAST_ROWS
     texts = _rows(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "key")

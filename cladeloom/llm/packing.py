@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.byte_bpe import encoded
+from cladeloom.llm.byte_bpe import CACHE, encoded
 from cladeloom.llm.common import text_or_empty
 
 CAPACITY = 2048
@@ -170,19 +170,20 @@ class Packer:
         )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``ids`` are little-endian unsigned 32-bit numbers. ``tokenizer_path`` names a
-    tokenizer file present on every machine.
+    tokenizer file present on every machine. ``cache`` bounds what a worker process
+    keeps of the pre-tokens it has met, and changes only memory and time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << _PART_BITS)
         for batch in batches:
-            for doc_id, ids in encoded(batch, tokenizer_path, end_id):
+            for doc_id, ids in encoded(batch, tokenizer_path, end_id, cache):
                 packer.add(doc_id, ids)
-                if len(packer.pieces) >= 2000:
+                if len(packer.pieces) >= 500:
                     yield packer.drain()
         packer.finish()
         yield packer.drain()

@@ -33,8 +33,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+def pack(docs: DataFrame, **options) -> DataFrame:
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), **options))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

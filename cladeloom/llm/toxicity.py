@@ -40,6 +40,7 @@ MIN_Z = 2.0
 MIN_DOCS = 5
 GRADES = 4
 REJECT_AT = 0.5
+WORDS = 1 << 16  # rows of words sent at once
 
 _WORD = re.compile(r"\w+")
 SCHEMA = "struct<severity: double, p_toxic: double, grade: int>"
@@ -74,15 +75,21 @@ def _sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ys, words, ns = [], [], [], []
-            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = word_counts(text)
-                ids += [doc_id] * len(counts)
-                ys += [y] * len(counts)
+            for doc_id, text, y in zip(*batch.columns):
+                counts = word_counts(text.as_py())
+                ids += [doc_id.as_py()] * len(counts)
+                ys += [y.as_py()] * len(counts)
                 words += counts.keys()
                 ns += counts.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(words, pa.string()),
-                 pa.array(ns, pa.int64())], names=["doc_id", "y", "word", "n"])
+                if len(ids) > WORDS:
+                    yield listed(ids, ys, words, ns)
+                    ids, ys, words, ns = [], [], [], []
+            yield listed(ids, ys, words, ns)
+
+    def listed(ids: list, ys: list, words: list, ns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(words, pa.string()), pa.array(ns, pa.int64())],
+            names=["doc_id", "y", "word", "n"])
 
     typed = rows.select(F.col("doc_id").cast("bigint"), "text", "y")
     return typed.mapInArrow(run, "doc_id bigint, y int, word string, n bigint")

@@ -39,7 +39,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pack(docs)
+    return pack(docs, cache=PACK_CACHE)
+
+
+PACK_CACHE = 1 << 25  # workers of one session also run the other stages, so they keep less than in op3
 
 
 STAGES = [
